@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, simhash, topk, urlfilter
+from . import langid, mixing, neardup, packing, simhash, suffixes, topk, urlfilter
 from .common import materialise
 
 #: (host, path, verdict): the rules of the production URL policy.
@@ -79,7 +79,24 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, url_list(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_topk, op3_langid, op4_fingerprint, op6_neardup, op7_mix, op8_urlfilter)}
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_topk, op3_langid, op4_fingerprint, op6_neardup, op7_mix, op8_urlfilter, op9_packing, op10_repeats)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in URL_RULES)
 _LISTED_SQL = ", ".join(f"('{h}', '{p}', 'block', false)" for h, p in LISTED_URLS)
