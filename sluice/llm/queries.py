@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, simhash, suffixes, topk, urlfilter
+from . import htmltext, langid, mixing, neardup, packing, simhash, suffixes, tokencount, topk, urlfilter
 from .common import materialise
 
 #: (host, path, verdict): the rules of the production URL policy.
@@ -36,6 +36,12 @@ def url_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "host string, path string, verdict string, is_rule boolean")
 
 
+def op1_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select("page_id", "url", htmltext.extract_text(F.col("html")).alias("text"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumn("_ints", topk.integer_vectors(F.col("embedding")))
     return topk.top_k(rows, "vec_id", "_ints", F.col("vec_id") % 20 == 0, 20)
@@ -64,6 +70,24 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens before and after two edits: a sixteenth from the
+    middle gives way to the text's first thirty-second, then a sixty-fourth from
+    the first quarter's end goes."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    part = lambda k: F.floor(n / k).cast("int")
+    change = lambda a, b, new: F.struct(a.alias("start"), b.alias("end"), new.alias("new"))
+    edits = F.array(
+        change(part(2), part(2) + part(16), F.substring("text", F.lit(1), part(32))),
+        change(part(4), part(4) + part(64), F.lit("")),
+    )
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return docs.select("doc_id", tokencount.count_tokens(F.col("text"), edits, path, pattern).alias("_c")).select("doc_id", "_c.*")
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -96,7 +120,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_topk, op3_langid, op4_fingerprint, op6_neardup, op7_mix, op8_urlfilter, op9_packing, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_maintext, op2_topk, op3_langid, op4_fingerprint, op5_tokens, op6_neardup, op7_mix, op8_urlfilter, op9_packing, op10_repeats)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in URL_RULES)
 _LISTED_SQL = ", ".join(f"('{h}', '{p}', 'block', false)" for h, p in LISTED_URLS)
