@@ -1,12 +1,81 @@
-"""Corpus preparation: documents in, packed training sequences out."""
+"""Corpus preparation: documents in, packed training sequences out.
+
+Every stage works on all that its predecessor kept.  Between stages the rows
+are written as Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.llm import langid, mixing, neardup, packing, suffixes
+from sluice.llm.common import materialise
+from sluice.llm.queries import tokenizer_file
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told go on; null, empty and letterless texts go.
+
+    The model learns from the stage's own rows with a known language.
+    """
+    model = langid.train(docs.where(~langid.held_out()))
+    told = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return told.where(F.col("lang_pred") != langid.UNDETERMINED).select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return neardup.one_per_group(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that occur elsewhere go; texts left empty go.
+
+    Characters that a cut runs through go with it.
+    """
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    cut = suffixes.remove_repeats(docs, carry=rest)
+
+    @F.pandas_udf("string")
+    def decoded(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    made = cut.withColumn("text", decoded("kept")).where(F.col("text") != "")
+    made = made.withColumn("n_chars", F.length("text").cast("long"))
+    return made.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to three times."""
+    mixed = mixing.mix(docs)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return mixed.where("copies > 0").select(*docs.columns, copies.alias("_copy")).drop("_copy")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048: one row per piece of a document."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", drop_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
-STAGES: list = []
+#: The stages are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, f"stage{i + 1}")
+    return docs

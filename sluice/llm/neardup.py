@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shuffle_partitions
+from .common import materialise, shuffle_partitions
 from .components import components
-from .simhash import shingle_fingerprints
+from .simhash import shingle_fingerprints, word_set_fingerprints
 
 RADIUS, SEGMENTS, BITS = 3, 4, 16
 #: Fingerprints under one key that are compared pair by pair; larger groups are
@@ -137,21 +137,28 @@ def find_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _expand(batches):
     for b in batches:
         fp = b["fp"].to_numpy(np.int64).astype(np.uint64)
+        seed = b["seed"].to_numpy(np.int64)
         for i in range(0, len(fp), 20_000):
             part = fp[i : i + 20_000]
             rows, keys = chain_keys(part)
-            yield pd.DataFrame({"key": keys.astype(np.int64), "fp": part[rows].astype(np.int64)})
+            keys = keys.astype(np.int64) | seed[i : i + 20_000][rows] << 40
+            yield pd.DataFrame({"key": keys, "fp": part[rows].astype(np.int64)})
 
 
 def _link(batches):
-    held_k, held_f = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def out(k, f):
-        a, b = find_links(k, f)
-        return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
+        parts = [pd.DataFrame({"seed": [], "a": [], "b": []})]
+        seeds = k >> 40
+        for s in np.unique(seeds):
+            own = slice(*np.searchsorted(seeds, [s, s + 1]))
+            a, b = find_links((k[own] & ((1 << 40) - 1)).astype(np.uint64), f[own])
+            parts.append(pd.DataFrame({"seed": np.full(len(a), s), "a": a.astype(np.int64), "b": b.astype(np.int64)}))
+        return pd.concat(parts[1:] or parts, ignore_index=True)
 
     for batch in batches:
-        k = np.concatenate([held_k, batch["key"].to_numpy(np.int64).astype(np.uint64)])
+        k = np.concatenate([held_k, batch["key"].to_numpy(np.int64)])
         f = np.concatenate([held_f, batch["fp"].to_numpy(np.int64).astype(np.uint64)])
         if not len(k):
             continue
@@ -165,25 +172,61 @@ def _link(batches):
 
 
 def links_within(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that join distinct longs ``fp`` exactly as all pairs within RADIUS would."""
+    """Links (seed, a, b) that join the distinct (seed, fp) of a seed exactly as all pairs within RADIUS would."""
     spark = fps.sparkSession
-    keyed = fps.select("fp").mapInPandas(_expand, "key long, fp long")
+    keyed = fps.select("seed", "fp").mapInPandas(_expand, "key long, fp long")
     dealt = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(_link, "a long, b long").distinct()
+    return dealt.mapInPandas(_link, "seed long, a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row of ``docs``: its ``carry`` columns, fp (long) and component_id.
+    """Per row of ``docs``: its ``carry`` columns (doc_id among them), fp (long) and component_id.
 
     component_id is the smallest doc_id of the component, null where all of
-    its ids are null.  Documents without words share the fingerprint 0 and link like any
-    other.  Exact copies fold into one fingerprint before anything is compared.
+    its ids are null.  Documents without words share the fingerprint 0 and link
+    like any other.  Exact copies fold into one fingerprint before anything is
+    compared.  An empty table gives no rows.
     """
     marked = materialise(shingle_fingerprints(docs, list(carry), shingle), "fingerprints")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("seed", F.lit(0)), "distinct")
     links = materialise(links_within(distinct), "near")
     roots = components(links, "a", "b")
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(lowest, "root").select("fp", "component_id")
     return marked.join(ids, "fp").select(*carry, "fp", "component_id")
+
+
+#: Independent word-set fingerprints of a text when groups of near copies are sought.
+SEEDS = 4
+
+
+def one_per_group(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """``docs`` with one row left of each group of near copies: the smallest doc_id.
+
+    Texts are near copies if any of ``seeds`` fingerprints over their distinct
+    words is within RADIUS bits of 64; groups are the connected components.
+    Several fingerprints, since one alone finds but half of the texts whose
+    five-word shingles agree to 0.8.  Equal texts are always one group, and of
+    repeated rows one stays.  A null id is larger than any; a null text is empty.
+    """
+    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    slim = docs.select("doc_id", key.alias("key"), "text")
+    marked = materialise(word_set_fingerprints(slim, ["doc_id", "key"], seeds), "fingerprints")
+    # A text stands for its copies, a fingerprint for its least text.
+    per = materialise(
+        marked.groupBy("seed", "fp").agg(F.min("key").alias("rep"), F.max("key").alias("other")), "distinct"
+    )
+    shared = per.where("rep <> other").select("seed", "fp", "rep")
+    same = marked.join(shared, ["seed", "fp"]).select(F.col("key").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    near = links_within(per)
+    end = lambda name: per.select("seed", F.col("fp").alias(name), F.col("rep").alias(f"{name}_key"))
+    across = near.join(end("a"), ["seed", "a"]).join(end("b"), ["seed", "b"]).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    roots = components(same.unionByName(across), "a", "b")
+    ids = marked.where("seed = 0").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "key")
+    grouped = ids.join(roots, ids.key == roots.node, "left").select("id", "key", F.coalesce("root", "key").alias("root"))
+    stay = grouped.groupBy("root").agg(F.min(F.struct("id", "key")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), key.alias("_key"))
+    kept = rows.join(stay, ["_id", "_key"], "left_semi")
+    once = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")

@@ -93,6 +93,18 @@ def shingle_fingerprints(docs: DataFrame, carry: list[str], shingle: int = 3, te
     return vote(terms, [*carry, row], h).drop(row)
 
 
+def word_set_fingerprints(docs: DataFrame, carry: list[str], seeds: int, text_col: str = "text") -> DataFrame:
+    """``carry``, seed and fp: each row's fingerprints over its distinct words, ``seeds`` independent ones."""
+    row, ws, seed, h = fresh(docs, "row", "ws", "seed", "h")
+    bag = F.array_distinct(words(ascii_lower(F.col(text_col))))
+    split = docs.select(*carry, F.monotonically_increasing_id().alias(row), bag.alias(ws))
+    terms = split.select(*carry, row, F.explode_outer(ws).alias(ws))
+    draws = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.when(F.col(ws).isNotNull(), F.xxhash64(ws, F.lit(s))).alias("h")) for s in range(seeds)]))
+    terms = terms.select(*carry, row, draws.alias(h)).select(*carry, row, F.col(f"{h}.s").alias(seed), F.col(f"{h}.h").alias(h))
+    out = vote(terms, [*carry, row, seed], h)
+    return out.select(*carry, F.col(seed).alias("seed"), "fp")
+
+
 def text_fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """Weighted fingerprint per row; ``keys`` must tell rows apart."""
     ws, t = fresh(rows, "ws", "t")
