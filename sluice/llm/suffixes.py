@@ -25,15 +25,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import _process_cache, discard, materialise, shuffle_partitions
+from .common import _process_cache, materialise, shuffle_partitions
 
 LENGTH, GRAM = 200, 48
 #: Bytes ordered by multikey quicksort before the blind tries take over.
 SHALLOW = 32
 #: Blocks of one anchor hash that one task sorts; hashes with more are counted
 #: string by string with a map-side aggregate instead, to the same result.
-HOT_BLOCKS = 4_096
+HOT_BLOCKS = 2_048
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -221,7 +222,7 @@ def _sort_blocks(length: int):
             h = held["h"].to_numpy(np.int64)
             last = int(np.argmax(h == h[-1])) if len(h) else 0
             # The last hash may go on in the next batch.
-            if last >= 2_000:
+            if last >= 1_000:
                 part, held = held.iloc[:last], held.iloc[last:].reset_index(drop=True)
                 for at in _portions(part["h"].to_numpy(np.int64)):
                     p = part.iloc[at]
@@ -234,7 +235,7 @@ def _sort_blocks(length: int):
     return run
 
 
-def _portions(h: np.ndarray, most: int = 4_000):
+def _portions(h: np.ndarray, most: int = 1_000):
     """Slices of a sorted array that keep equal values together, about ``most`` each."""
     at = 0
     while at < len(h):
@@ -287,26 +288,42 @@ def _mark(length: int):
     return run
 
 
+def _slices(batch, rows: int = 256):
+    """A batch in small parts: only a part at a time becomes Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _lists(column) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and flat fields of a list<struct> array; a null list counts as empty."""
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    flat = column.flatten()
+    fields = [f.to_numpy(zero_copy_only=False) for f in flat.flatten()]
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), fields
+
+
 def _contexts(length: int):
     """The bytes of chosen blocks; for hot hashes a digest of every string."""
 
     def run(batches):
-        for b in batches:
-            out = {k: [] for k in ("h", "blk", "n", "i", "rel", "ctx")}
-            for text, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
-                for x in blocks:
-                    first, last = x["first"], x["last"]
-                    if x["hot"]:
-                        for p in range(first, last + 1):
-                            w = hashlib.blake2b(data[p : p + length], digest_size=16).digest()
-                            for k, v in zip(out, (x["h"], x["blk"], x["n"], first + x["off"] - p, p - first, w)):
-                                out[k].append(v)
-                    else:
-                        for k, v in zip(out, (x["h"], x["blk"], x["n"], -1, 0, data[first : last + length])):
-                            out[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
+        for batch in batches:
+            for b in _slices(batch):
+                out = {k: [] for k in ("h", "blk", "n", "i", "rel", "ctx")}
+                at, (h, blk, n, off, first, last, hot) = _lists(b.column(1))
+                for row, text in enumerate(b.column(0).to_pylist()):
+                    data = text.encode("utf-8", "surrogatepass")
+                    for k in range(at[row], at[row + 1]):
+                        p, q = int(first[k]), int(last[k])
+                        if hot[k]:
+                            for x in range(p, q + 1):
+                                w = hashlib.blake2b(data[x : x + length], digest_size=16).digest()
+                                for name, v in zip(out, (h[k], blk[k], n[k], p + off[k] - x, x - p, w)):
+                                    out[name].append(v)
+                        else:
+                            for name, v in zip(out, (h[k], blk[k], n[k], -1, 0, data[p : q + length])):
+                                out[name].append(v)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
     return run
 
@@ -345,20 +362,33 @@ def repeated_ranges(src: DataFrame, length: int = LENGTH, hot_blocks: int = HOT_
 
 
 def _cut(length: int):
-    def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, span in zip(texts, spans):
-            data = text.encode("utf-8", "surrogatepass")
-            if span is None or not len(span):
-                rows.append((len(data), 0, 0, data))
-                continue
-            edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, [s["first"] for s in span], 1)
-            np.add.at(edge, [s["last"] + length for s in span], -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            rows.append((len(data), int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+    """Cut the ranges out of each text; columns: the row's fields, then the four results."""
+
+    def run(batches):
+        for batch in batches:
+            for b in _slices(batch):
+                sizes, gone_n, runs_n, kept = [], [], [], []
+                at, (first, last) = _lists(b.column("spans"))
+                for row, text in enumerate(b.column("_text").to_pylist()):
+                    data = text.encode("utf-8", "surrogatepass")
+                    sizes.append(len(data))
+                    lo, hi = at[row], at[row + 1]
+                    if lo == hi:
+                        gone_n.append(0)
+                        runs_n.append(0)
+                        kept.append(data)
+                        continue
+                    edge = np.zeros(len(data) + 1, np.int32)
+                    np.add.at(edge, first[lo:hi], 1)
+                    np.add.at(edge, last[lo:hi] + length, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    gone_n.append(int(gone.sum()))
+                    runs_n.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
+                    kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
+                row = b.column("_row")
+                made = [pa.array(sizes, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(runs_n, pa.int64()), pa.array(kept, pa.binary())]
+                names = [row.type.field(i).name for i in range(row.type.num_fields)]
+                yield pa.RecordBatch.from_arrays([*row.flatten(), *made], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -369,7 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     A null text is empty.  Texts of fewer than ``length`` bytes lose nothing.
     Rows that repeat another row's text whole lose all of it, as its strings
     start elsewhere too.  Bytes are cut as bytes: ``kept`` may end or begin
-    inside a character.
+    inside a character.  Columns of the four names are replaced.
     """
     made = ("n_bytes", "n_removed", "n_spans", "kept")
     keep = [c for c in (carry or docs.columns) if c not in made]
@@ -377,7 +407,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     ident = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text)))
     src = docs.select(F.unhex(ident).alias("key"), text.alias("text"))
     spans = repeated_ranges(src, length, hot_blocks)
-    rows = docs.select(F.unhex(ident).alias("_key"), text.alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
-    cut = F.pandas_udf(_cut(length), "n_bytes long, n_removed long, n_spans long, kept binary")
-    joined = rows.join(spans, rows._key == spans.key, "left")
-    return joined.select("_row", cut("_text", "spans").alias("_c")).select("_row.*", "_c.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(F.unhex(ident).alias("_key"), text.alias("_text"), row.alias("_row"))
+    joined = rows.join(spans, rows._key == spans.key, "left").select("_row", "_text", "spans")
+    fields = [T.StructField(f.name, f.dataType, True) for f in docs.select(*[f"`{c}`" for c in keep]).schema]
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.BinaryType())
+    schema = T.StructType(fields + [T.StructField(c, k, True) for c, k in zip(made, kinds)])
+    return joined.mapInArrow(_cut(length), schema)
