@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh, words
+from .ordering import range_of, range_splits
 
 _FIELD = 0x0000000100000001
 
@@ -141,50 +142,59 @@ def near_fingerprints(fps: DataFrame, queries: DataFrame, radius: int = 3) -> Da
     return pairs.where((distance <= radius) & (F.col("t") == first)).select("query_fp", "fp", distance.alias("distance"))
 
 
-def edited_pairs(docs: DataFrame, next_ids: DataFrame) -> DataFrame:
+def edited_pairs(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` with their next document and edited text.
 
     The edit replaces the last quarter (rounded down) of a text's code points by
-    as many, or all, from the start of the next document.  ``next_ids``:
-    doc_id, next_id over distinct ids.  Of rows that share an id the one with
-    the smallest md5 of its text is the document that others see.  A row with a
-    null id has no next document: its last quarter is cut.
+    as many, or all, from the start of the next document by ascending doc_id
+    (after the last: the first).  Of rows that share an id the one with the
+    smallest md5 of its text is the document that others see.  A row with a null
+    id has no next document: its last quarter is cut.
+
+    Texts are shuffled once, by ranges of doc_id; only the first document of
+    each range is looked up a second time for the range before.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    quarter = F.floor(F.length("text") / 4).cast("int")
-    needs = base.where("doc_id is not null").groupBy("doc_id").agg(F.max(quarter).alias("need"))
-    wanted = next_ids.join(needs, "doc_id").select(F.col("next_id").alias("giver"), F.col("doc_id").alias("for_id"), "need")
-    # Only a quarter's worth of each text is sent on to its predecessor.
-    given = base.join(wanted, base.doc_id == wanted.giver).select(
-        "for_id", "giver", F.struct(F.md5("text").alias("m"), F.substring("text", F.lit(1), F.col("need")).alias("start")).alias("g")
+    ids = base.select("doc_id").where("doc_id is not null")
+    splits = range_splits(ids, "doc_id")
+    aside = (-1 - F.pmod(F.xxhash64("text"), F.lit(64))).cast("int")
+    ranged = lambda df: df.withColumn("rg", F.when(F.col("doc_id").isNull(), aside).otherwise(range_of(F.col("doc_id"), splits)))
+    inside = Window.partitionBy("rg").orderBy("doc_id", "text_md5")
+    rows = ranged(base).withColumn("text_md5", F.md5("text"))
+    rows = rows.withColumn("is_new", ~F.lag("doc_id").over(inside).eqNullSafe(F.col("doc_id")))
+    rows = rows.withColumn(
+        "nx", F.expr("lead(CASE WHEN is_new THEN struct(doc_id, text) END) IGNORE NULLS OVER (PARTITION BY rg ORDER BY doc_id, text_md5)")
     )
-    repeated = given.groupBy("for_id", "giver").agg(F.min("g.m").alias("m"), F.min_by("g.start", "g.m").alias("start"))
-    return base.join(repeated.select(F.col("for_id").alias("doc_id"), F.col("giver").alias("next_id"), "start"), "doc_id", "left").select(
+    # One row per range: at most ordering.MAX_RANGES.
+    firsts = ids.withColumn("rg", range_of(F.col("doc_id"), splits)).groupBy("rg").agg(F.min("doc_id").alias("first"))
+    order = Window.orderBy("rg")
+    edges = firsts.select("rg", F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("edge_id"))
+    starts = base.join(F.broadcast(edges.select(F.col("edge_id").alias("doc_id")).distinct()), "doc_id")
+    starts = starts.groupBy(F.col("doc_id").alias("edge_id")).agg(F.min_by("text", F.md5("text")).alias("edge_text"))
+    rows = rows.join(edges.join(starts, "edge_id"), "rg", "left")
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    given = F.coalesce("nx.text", "edge_text", F.lit(""))
+    return rows.select(
+        "rg",
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        "next_id",
+        F.coalesce("nx.doc_id", "edge_id").alias("next_id"),
         F.length("text").cast("long").alias("n_chars"),
-        F.md5("text").alias("text_md5"),
+        "text_md5",
         "text",
-        F.concat(
-            F.substring("text", F.lit(1), F.length("text") - quarter),
-            F.substring(F.coalesce("start", F.lit("")), F.lit(1), quarter),
-        ).alias("edited"),
+        F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring(given, F.lit(1), quarter)).alias("edited"),
     )
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, next_id, n_chars, text_md5, edited_sha256, fp, edited_fp per row."""
-    from .ordering import with_next
-
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    rows = edited_pairs(docs, with_next(ids, "doc_id", "next_id"))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["row", "doc_id", "next_id", "n_chars", "text_md5", "edited_sha256"]
-    versions = rows.select(
-        *keys, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("b")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("b")))).alias("x")
-    ).select(*keys, "x.v", "x.b")
+    rows = edited_pairs(docs).withColumn("edited_sha256", F.sha2("edited", 256))
+    keys = ["rg", "row", "doc_id", "next_id", "n_chars", "text_md5", "edited_sha256"]
+    version = lambda v, c: F.struct(F.lit(v).alias("v"), F.col(c).alias("b"))
+    versions = rows.select(*keys, F.explode(F.array(version(0, "text"), version(1, "edited"))).alias("x")).select(*keys, "x.v", "x.b")
+    # Grouping keys hold the range, so votes are summed where the texts are.
     fps = text_fingerprints(versions, [*keys, "v"], "b")
-    return fps.groupBy(*keys).agg(
+    both = fps.groupBy(*keys).agg(
         F.max(F.when(F.col("v") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("v") == 1, F.col("fp"))).alias("edited_fp")
     )
+    return both.drop("rg", "row")
