@@ -11,6 +11,7 @@ documents find their place from their length and rank among equals alone.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 
@@ -26,8 +27,8 @@ CAPACITY, END_ID = 2_048, 0
 LARGE = 1 / 6
 #: Group counts that are tried; the plan with the fewest sequences is kept.
 GROUPS = (32, 96, 256)
-#: Words that one worker remembers the ids of.
-CACHE_WORDS = 400_000
+#: Words that one worker remembers the ids of: for good, and until they are too many.
+CACHE_WORDS, LATE_WORDS = 400_000, 200_000
 #: Parts that equal lengths are ranked in, so that a common length is no hot key.
 RANK_PARTS = 64
 
@@ -44,11 +45,48 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        kept = cache.packing = (path, Tokenizer.from_file(path), {})
-    return kept[1], kept[2]
-
-
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
+        tok = Tokenizer.from_file(path)
+        ends = np.zeros(tok.get_vocab_size(), bool)
+        ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        kept = cache.packing = (path, tok, ends, {}, {})
+    return kept[1:]
+
+
+#: Punctuation that ends a word is a pre-token of its own.
+_TAIL = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,;:!?]+)(?=\s|$)")
+#: A word of these is one pre-token.
+_PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+
+
+def _words(text: str) -> list[str]:
+    """White-space pieces of a text with the same ids as the text, fewer of them distinct."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        text = _TAIL.sub(r" \1", text.lower())
+    for gap in "\n\t\r\x0b\x0c":
+        text = text.replace(gap, " ")
+    return text.split(" ")
+
+
+def _learn(new: list[str], tok, ends: np.ndarray, known: dict[str, bytes]) -> None:
+    """Tokenise words not met before: plain ones joined, since their last ids are marked."""
+    plain = [w for w in new if _PLAIN.fullmatch(w)]
+    for i in range(0, len(plain), 500):
+        part = plain[i : i + 500]
+        ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) != len(part):
+            raise AssertionError("a plain word is not one pre-token of this vocabulary")
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(part, (4 * cut).tolist()):
+            known[w] = raw[at:end]
+            at = end
+    rest = [w for w in new if w not in known]
+    for w, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
+        known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def encode_batch(texts: list[str], path: str) -> list[bytes]:
@@ -57,18 +95,22 @@ def encode_batch(texts: list[str], path: str) -> list[bytes]:
     The vocabulary drops white space and never joins across it, so a text's
     ids are its words' ids in order; each word is tokenised once per worker.
     """
-    tok, known = _tokenizer(path)
-    split = [t.translate(_SPACES).split(" ") for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = {w for ws in split for w in ws if w not in known}
-    if new:
-        order = list(new)
-        for i in range(0, len(order), 20_000):
-            part = order[i : i + 20_000]
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in ws]) for ws in split]
+    tok, ends, known, late = _tokenizer(path)
+    split = [_words(t) for t in texts]
+    found = [list(map(known.get, ws)) for ws in split]
+    missed = [(ws, ids) for ws, ids in zip(split, found) if None in ids]
+    if missed:
+        if len(late) > LATE_WORDS:
+            late.clear()
+        lost = {w for ws, ids in missed for w, i in zip(ws, ids) if i is None}
+        new = [w for w in lost if w not in late]
+        if new:
+            # Words met first are mostly the frequent ones: they stay.
+            into = known if len(known) < CACHE_WORDS else late
+            _learn(new, tok, ends, into)
+        for ws, ids in missed:
+            ids[:] = [(known[w] if w in known else late[w]) if i is None else i for w, i in zip(ws, ids)]
+    return [b"".join(ids) for ids in found]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY) -> DataFrame:
