@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import queries_batch, queries_core
+from .operators import dashboard
+from .views import AS_OF, opportunities
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The dashboard: what closes within thirty days, best first."""
+    return dashboard.dashboard(opportunities(spark, sf_dir), F.lit(AS_OF).cast("date"), deadline="due_30_days")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**queries_core.QUERIES, **queries_batch.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**queries_core.SQL, **queries_batch.SQL}
