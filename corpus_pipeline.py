@@ -6,7 +6,6 @@ are written as Parquet in the shared folder and read again.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model learns from the stage's own rows with a known language.
     """
     model = langid.train(docs.where(~langid.held_out()))
-    told = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return told.where(F.col("lang_pred") != langid.UNDETERMINED).select("row.*")
+    told = docs.withColumn("_guess", langid.guess(model, F.col("text")))
+    return told.where(F.col("_guess.lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +35,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Characters that a cut runs through go with it.
     """
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = suffixes.remove_repeats(docs, carry=rest)
-
-    @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    made = cut.withColumn("text", decoded("kept")).where(F.col("text") != "")
+    made = suffixes.remove_repeats(docs, carry=rest, as_text=True).withColumnRenamed("kept", "text").where(F.col("text") != "")
     made = made.withColumn("n_chars", F.length("text").cast("long"))
     return made.select(*docs.columns)
 

@@ -91,3 +91,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def _process_cache():
     """A module object that outlives one task: workers are reused."""
     return sys.modules.setdefault("_sluice_process_cache", types.ModuleType("_sluice_process_cache"))
+
+
+def release() -> None:
+    """Give memory that a batch has freed back to the system.
+
+    Workers are reused and share an executor's memory with the JVM, so what one
+    batch needed at its peak must not stay with the worker.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it has its own ways

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import release
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
@@ -301,6 +303,8 @@ def extract_text(page: Column) -> Column:
     """Main text of an HTML column; null and empty pages give an empty text."""
 
     def extract(pages: pd.Series) -> pd.Series:
-        return pages.map(main_text).astype(str)
+        texts = pages.map(main_text).astype(str)
+        release()
+        return texts
 
     return F.pandas_udf(extract, "string")(F.coalesce(page, F.lit("")))

@@ -12,10 +12,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _process_cache
+from .common import _process_cache, fresh, release
 
 #: Hashed trigram buckets: the model is languages x BUCKETS floats, whatever the corpus.
 BUCKETS = 1 << 15
@@ -63,10 +63,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if (g := trigrams(text)).size:
-                    total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    np.add(total, np.bincount(g, minlength=BUCKETS), out=total)
+            for at in range(0, b.num_rows, 1_000):
+                part = b.slice(at, 1_000)
+                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if (g := trigrams(text)).size:
+                        total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                        np.add(total, np.bincount(g, minlength=BUCKETS), out=total)
+            release()
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict(
@@ -130,8 +133,8 @@ def infer(g: np.ndarray, table: np.ndarray):
     return chosen, w, float(min(1.0, max(0.0, score)))
 
 
-def predict(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """Add lang_pred, score, lang_set (array) and lang_share (array of double).
+def guess(model, text: Column) -> Column:
+    """struct(lang_pred, score, lang_set, lang_share) of a text.
 
     A null text, one without letters, and any text when no language was
     learned give ``und``, score 0 and empty arrays.
@@ -139,19 +142,27 @@ def predict(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     names, table = model
     kind = "lang_pred string, score double, lang_set array<string>, lang_share array<double>"
 
-    @F.pandas_udf(kind)
-    def guess(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series) -> pd.DataFrame:
         out = []
-        for text in texts:
-            g = trigrams(text)
+        for t in texts:
+            g = trigrams(t)
             if not g.size or not names:
                 out.append((UNDETERMINED, 0.0, [], []))
                 continue
             chosen, w, score = infer(g, table)
             out.append((names[chosen[0]], score, [names[i] for i in chosen], [float(x) for x in w]))
+        release()
         return pd.DataFrame(out, columns=["lang_pred", "score", "lang_set", "lang_share"])
 
-    return docs.withColumn("_guess", guess(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], "_guess.*")
+    return F.pandas_udf(run, kind)(text)
+
+
+def predict(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """``docs`` with the fields of ``guess`` as columns; columns of those names are replaced."""
+    made = ("lang_pred", "score", "lang_set", "lang_share")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    (g,) = fresh(docs, "_guess")
+    return docs.withColumn(g, guess(model, F.col(text_col))).select(*keep, f"{g}.*")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):

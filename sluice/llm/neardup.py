@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import materialise, release, shuffle_partitions
 from .components import components
 from .simhash import shingle_fingerprints, word_set_fingerprints
 
@@ -169,6 +169,7 @@ def _link(batches):
         held_k, held_f = k[last:], f[last:]
     if len(held_k):
         yield out(held_k, held_f)
+    release()
 
 
 def links_within(fps: DataFrame) -> DataFrame:

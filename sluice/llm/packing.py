@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _process_cache, materialise
+from .common import _process_cache, materialise, release
 
 CAPACITY, END_ID = 2_048, 0
 #: Lengths over this share of the capacity count as large.
@@ -28,7 +28,7 @@ LARGE = 1 / 6
 #: Group counts that are tried; the plan with the fewest sequences is kept.
 GROUPS = (32, 96, 256)
 #: Words that one worker remembers the ids of: for good, and until they are too many.
-CACHE_WORDS, LATE_WORDS = 400_000, 200_000
+CACHE_WORDS, LATE_WORDS = 250_000, 100_000
 #: Parts that equal lengths are ranked in, so that a common length is no hot key.
 RANK_PARTS = 64
 
@@ -89,6 +89,17 @@ def _learn(new: list[str], tok, ends: np.ndarray, known: dict[str, bytes]) -> No
         known[w] = np.array(e.ids, "<u4").tobytes()
 
 
+def _gaps(ids: list) -> list[int]:
+    """Where a list holds None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = ids.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 def encode_batch(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of whole texts, without special tokens added.
 
@@ -98,18 +109,19 @@ def encode_batch(texts: list[str], path: str) -> list[bytes]:
     tok, ends, known, late = _tokenizer(path)
     split = [_words(t) for t in texts]
     found = [list(map(known.get, ws)) for ws in split]
-    missed = [(ws, ids) for ws, ids in zip(split, found) if None in ids]
+    missed = [(ws, ids, at) for ws, ids in zip(split, found) if (at := _gaps(ids))]
     if missed:
         if len(late) > LATE_WORDS:
             late.clear()
-        lost = {w for ws, ids in missed for w, i in zip(ws, ids) if i is None}
+        lost = {ws[i] for ws, _, at in missed for i in at}
         new = [w for w in lost if w not in late]
         if new:
             # Words met first are mostly the frequent ones: they stay.
-            into = known if len(known) < CACHE_WORDS else late
-            _learn(new, tok, ends, into)
-        for ws, ids in missed:
-            ids[:] = [(known[w] if w in known else late[w]) if i is None else i for w, i in zip(ws, ids)]
+            _learn(new, tok, ends, known if len(known) < CACHE_WORDS else late)
+        for ws, ids, at in missed:
+            for i in at:
+                w = ws[i]
+                ids[i] = known[w] if w in known else late[w]
     return [b"".join(ids) for ids in found]
 
 
@@ -137,6 +149,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ("doc_
                         crc.append(zlib.crc32(x))
                 out = part.iloc[row].drop(columns="_text").reset_index(drop=True)
                 yield out.assign(piece=np.array(piece, np.int32), start=np.array(start, np.int64), length=np.array(length, np.int64), ids_crc32=np.array(crc, np.int64))
+            release()
 
     rows = docs.select(*carry, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _process_cache, materialise, shuffle_partitions
+from .common import _process_cache, materialise, release, shuffle_partitions
 
 LENGTH, GRAM = 200, 48
 #: Bytes ordered by multikey quicksort before the blind tries take over.
@@ -227,6 +227,7 @@ def _sort_blocks(length: int):
                 for at in _portions(part["h"].to_numpy(np.int64)):
                     p = part.iloc[at]
                     yield solve(*(p[c].to_numpy(np.int64) for c in ("h", "blk", "n")), p["ctx"].tolist())
+                release()
         if held is not None and len(held):
             for at in _portions(held["h"].to_numpy(np.int64)):
                 p = held.iloc[at]
@@ -254,7 +255,7 @@ def _mark(length: int):
     carries the count; all of them are known repeats, sent as merged ranges."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in _slices(batch, 1_000)):
             out = ([], [], [], [], [], [], [])
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = blocks_of(text.encode("utf-8", "surrogatepass"), length)
@@ -284,6 +285,7 @@ def _mark(length: int):
                 cols = [pa.concat_arrays(out[0])] + [np.concatenate(x).astype(t) for x, t in zip(out[1:], kinds)]
                 names = ("key", "h", "blk", "off", "first", "last", "n")
                 yield pa.RecordBatch.from_pydict(dict(zip(names, cols)))
+            release()
 
     return run
 
@@ -324,6 +326,7 @@ def _contexts(length: int):
                                 out[name].append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
+            release()
 
     return run
 
@@ -361,7 +364,7 @@ def repeated_ranges(src: DataFrame, length: int = LENGTH, hot_blocks: int = HOT_
     return spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def _cut(length: int):
+def _cut(length: int, as_text: bool):
     """Cut the ranges out of each text; columns: the row's fields, then the four results."""
 
     def run(batches):
@@ -386,20 +389,23 @@ def _cut(length: int):
                     runs_n.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                     kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
                 row = b.column("_row")
-                made = [pa.array(sizes, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(runs_n, pa.int64()), pa.array(kept, pa.binary())]
+                last_one = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                made = [pa.array(sizes, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(runs_n, pa.int64()), last_one]
                 names = [row.type.field(i).name for i in range(row.type.num_fields)]
                 yield pa.RecordBatch.from_arrays([*row.flatten(), *made], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            release()
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | None = None, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | None = None, hot_blocks: int = HOT_BLOCKS, as_text: bool = False) -> DataFrame:
     """``carry`` columns (default: all) of every row with n_bytes, n_removed, n_spans and kept (binary).
 
     A null text is empty.  Texts of fewer than ``length`` bytes lose nothing.
     Rows that repeat another row's text whole lose all of it, as its strings
     start elsewhere too.  Bytes are cut as bytes: ``kept`` may end or begin
-    inside a character.  Columns of the four names are replaced.
+    inside a character; ``as_text`` makes it a string, without the characters
+    that a cut runs through.  Columns of the four names are replaced.
     """
     made = ("n_bytes", "n_removed", "n_spans", "kept")
     keep = [c for c in (carry or docs.columns) if c not in made]
@@ -411,6 +417,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     rows = docs.select(F.unhex(ident).alias("_key"), text.alias("_text"), row.alias("_row"))
     joined = rows.join(spans, rows._key == spans.key, "left").select("_row", "_text", "spans")
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.select(*[f"`{c}`" for c in keep]).schema]
-    kinds = (T.LongType(), T.LongType(), T.LongType(), T.BinaryType())
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType() if as_text else T.BinaryType())
     schema = T.StructType(fields + [T.StructField(c, k, True) for c, k in zip(made, kinds)])
-    return joined.mapInArrow(_cut(length), schema)
+    return joined.mapInArrow(_cut(length, as_text), schema)

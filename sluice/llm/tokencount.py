@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import _process_cache
+from .common import _process_cache, release
 
 #: Characters that a leaf is aimed at.
 LEAF = 1_024
@@ -150,6 +150,7 @@ def count_tokens(text: Column, edits: Column, ranks_path: str, pattern: str) ->
             for e in es if es is not None else ():
                 tree.edit(int(e["start"] or 0), int(e["end"] or 0), e["new"] or "")
             rows.append((*before, tree.n_chars, tree.n_tokens, tree.encoded_chars - built))
+        release()
         return pd.DataFrame(rows, columns=["n_chars", "n_tokens", "edited_chars", "edited_tokens", "reencoded_chars"])
 
     kind = "n_chars long, n_tokens long, edited_chars long, edited_tokens long, reencoded_chars long"
