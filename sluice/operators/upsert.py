@@ -236,4 +236,4 @@ def dedupe_richest(previews: DataFrame) -> DataFrame:
 def best_links(links: DataFrame) -> DataFrame:
     """Per page and url the best score, ordered by it; the first of equals."""
     g = links.groupBy("page_url", "url").agg(F.max("score").alias("score"), F.min("ordinal").alias("ordinal"))
-    return g.withColumn("rank", F.row_number().over(Window.partitionBy("page_url").orderBy(F.col("score").desc(), "ordinal")))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("page_url").orderBy(F.col("score").desc(), "ordinal", "url")))

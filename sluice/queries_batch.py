@@ -187,7 +187,7 @@ def dedupe_richest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT l_orderkey AS page_url, CAST(l_linenumber AS BIGINT) AS url, max(l_partkey) AS score, min(l_suppkey) AS ordinal,
-           CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_partkey) DESC, min(l_suppkey)) AS INTEGER) AS rank FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+           CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_partkey) DESC, min(l_suppkey), l_linenumber) AS INTEGER) AS rank FROM lineitem GROUP BY l_orderkey, l_linenumber""")
 def best_links(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_url"), F.col("l_linenumber").cast("long").alias("url"), F.col("l_partkey").alias("score"), F.col("l_suppkey").alias("ordinal"))
     return upsert.best_links(rows)
