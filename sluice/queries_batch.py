@@ -382,3 +382,63 @@ def choose_organisation(spark: SparkSession, d: str) -> DataFrame:
 def organisation_from_site(spark: SparkSession, d: str) -> DataFrame:
     title = F.when(F.col("page_id") % 2 == 0, "Tenders - Acme Org").otherwise("jobs | home")
     return read(spark, d, "pages").select("page_id", text.organisation_from_site(title, F.lit("my-site.rw")).alias("organisation"))
+
+
+@query("SELECT page_id, array_to_string(list_transform(string_split(l, '-'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS organisation FROM (SELECT page_id, split_part(regexp_replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '^www\\.', ''), '.', 1) AS l FROM pages)")
+def organisation_from_domain(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", text.organisation_from_domain(F.lit("t"), "url").alias("organisation"))
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'timeout' WHEN c_custkey % 6 = 1 THEN 'unauthorised' WHEN c_custkey % 6 = 2 THEN 'forbidden'
+           WHEN c_custkey % 6 = 3 THEN 'rate limited' WHEN c_custkey % 6 = 4 THEN 'request failed' END AS problem FROM customer""")
+def search_problem(spark: SparkSession, d: str) -> DataFrame:
+    k = (F.col("c_custkey") % 6).cast("int")
+    status = F.get(F.array(F.lit(None).cast("int"), *map(F.lit, (401, 403, 429, 500, 200))), k)
+    return read(spark, d, "customer").select("c_custkey", tables.response_problem(status).alias("problem"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/up/x?y=' || page_id AS url FROM pages")
+def url_join(spark: SparkSession, d: str) -> DataFrame:
+    href = F.concat(F.lit("/a/../up/./x?y="), F.col("page_id").cast("string"))
+    return read(spark, d, "pages").select("page_id", urls.join_url("url", href).alias("url"))
+
+
+@query("SELECT page_id, 'Audit Of ' || page_id AS title FROM pages")
+def slug_title(spark: SparkSession, d: str) -> DataFrame:
+    url = F.concat(F.lit("https://x.example/docs/audit_of-"), F.col("page_id").cast("string"), F.lit(".PDF?x=1"))
+    return read(spark, d, "pages").select("page_id", text.slug_title(url, v.CRAWL_DOCUMENT_EXTENSIONS).alias("title"))
+
+
+@query("SELECT o_orderkey, 'Notice of the ' || o_orderpriority AS title FROM orders")
+def remove_site_names(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit("Notice of the "), "o_orderpriority", F.lit(" |  Some Site "))
+    return read(spark, d, "orders").select("o_orderkey", text.remove_site_names(raw, (("|", "some site"), ("-", "some site"))).alias("title"))
+
+
+@query(f"WITH {OPPORTUNITIES_SQL} SELECT id, deadline < {_TODAY} AS gone FROM opps WHERE deadline IS NOT NULL")
+def expiry_predicate(spark: SparkSession, d: str) -> DataFrame:
+    o = views.opportunities(spark, d).where("deadline is not null")
+    return o.select("id", dates.is_expired("deadline", as_of()).alias("gone"))
+
+
+@query("SELECT event_id, CAST(ts AS DATE) AS day FROM events")
+def parse_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    said = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return read(spark, d, "events").select("event_id", F.to_date(dates.parse_timestamp(said)).alias("day"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT ordinal, regexp_matches(url, '\\.(jpg|jpeg|png|gif|webp|mp4|mp3|zip)$') AS ignored FROM res")
+def ignored_results(spark: SparkSession, d: str) -> DataFrame:
+    return views.results(spark, d).select("ordinal", urls.is_ignored("url").alias("ignored"))
+
+
+@query("SELECT c_custkey AS id, c_name || ', ' || c_mktsegment AS label FROM customer")
+def candidate_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted results as source rows, over rows that are all accepted."""
+    k = F.col("c_custkey")
+    rows = read(spark, d, "customer").select(
+        F.concat("c_name", F.lit(", "), "c_mktsegment").alias("title"), F.lit("procurement tender supplier grant vendor rwanda ministry").alias("description"),
+        F.concat(F.lit("https://s"), k.cast("string"), F.lit(".gov.rw/tenders")).alias("url"), F.lit("q").alias("query"), k.alias("ordinal"),
+    )
+    return quality.candidates(quality.assess(rows), now()).select(F.col("ordinal").alias("id"), F.col("organisation_name").alias("label"))

@@ -69,3 +69,9 @@ def evolve(df: DataFrame, target: T.StructType) -> DataFrame:
             x = F.coalesce(x, F.lit(f.metadata["default"]).cast(f.dataType))
         out.append(x.alias(f.name))
     return df.select(*out)
+
+
+def require_empty(df: DataFrame, name: str) -> None:
+    """Refuse to drop or replace a table that holds rows; reads one row at most."""
+    if df.limit(1).count():
+        raise ValueError(f"{name} is not empty")

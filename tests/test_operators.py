@@ -284,6 +284,9 @@ def test_schemas_and_backfill(spark):
     thin = spark.createDataFrame([("t", "s", "u", NOW)], "title string, source_name string, source_url string, created_at timestamp")
     assert "status" in schemas.missing_columns(thin, schemas.OPPORTUNITIES)
     full = schemas.evolve(thin, schemas.OPPORTUNITIES)
+    schemas.require_empty(full.limit(0), "t")
+    with pytest.raises(ValueError, match="not empty"):
+        schemas.require_empty(full, "t")
     assert full.columns == schemas.OPPORTUNITIES.names and full.first().status == "New"
     r = one(upsert.backfill(full.withColumn("status", F.lit(" ")), F.lit(NOW)))
     assert (r.status, r.last_seen_at, r.is_expired) == ("New", NOW, False)
