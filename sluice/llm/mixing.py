@@ -54,20 +54,14 @@ def offset(source: Column, draw: int = 0, seed: int = 7) -> Column:
     return (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))).cast("decimal(20,15)")
 
 
-def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
-    """``carry`` columns (default: all) of every row of ``docs`` with size, source_size, target and copies.
+def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+    """doc_id, source, digest (of the text), size, source_size, target and copies of every row; no texts.
 
     Of ``DRAWS`` random offsets a source uses the one whose words come nearest
     its target (ties: the first), so small sources with a few long documents
-    stay near it too.  A null text has size 0 and a null source is a source of
-    its own, last in order.  Documents of size 0 are never taken.  Repeated
-    rows are documents of their own.  Columns of the four names are replaced.
+    stay near it too.
     """
-    made = ("size", "source_size", "target", "copies")
-    keep = [c for c in (carry or docs.columns) if c not in made]
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "doc_id", "source", count_words(F.col("text")).alias("size")
-    )
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("digest"), count_words(F.col("text")).alias("size"))
     targets = source_targets(rows.select("source", "size"), weights)
     # Sizes in binary: length and leading bits make ordered classes.
     bits = F.bin(F.col("size"))
@@ -86,13 +80,13 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ...
         F.col("source").alias("_s"), F.col("_len").alias("_l"), F.col("_top").alias("_t"), F.col("_salt").alias("_h"),
         F.coalesce(F.sum("_sum").over(run), F.lit(0)).cast("decimal(38,15)").alias("_base"),
     )
-    inner = Window.partitionBy("source", "_len", "_top", "_salt").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "_len", "_top", "_salt").orderBy("size", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
     placed = rated.withColumn("_in", F.sum("_x").over(inner).cast("decimal(38,15)")).join(
         bases,
         F.col("source").eqNullSafe(F.col("_s")) & (F.col("_len") == F.col("_l")) & (F.col("_top") == F.col("_t")) & (F.col("_salt") == F.col("_h")),
     )
     placed = materialise(
-        placed.select("_row", "source", "size", "source_size", "target", "_x", (F.col("_base") + F.col("_in")).cast("decimal(38,15)").alias("_end")), "placed"
+        placed.select("doc_id", "source", "digest", "size", "source_size", "target", "_x", (F.col("_base") + F.col("_in")).cast("decimal(38,15)").alias("_end")), "placed"
     )
     crossed = lambda u: (F.floor(F.col("_end") + u) - F.floor(F.col("_end") - F.col("_x") + u)).cast("long")
     drawn = placed.groupBy("source").agg(
@@ -101,4 +95,26 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ...
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{d}") - F.col("t")).alias("off"), F.lit(d).alias("d"), offset(F.col("source"), d, seed).alias("u")) for d in range(DRAWS)]))
     chosen = drawn.select(F.col("source").alias("_s"), nearest["u"].alias("_u"))
     out = placed.join(chosen, F.col("source").eqNullSafe(F.col("_s")))
-    return out.select("_row.*", "size", "source_size", "target", crossed(F.col("_u")).alias("copies"))
+    return out.select("doc_id", "source", "digest", "size", "source_size", "target", crossed(F.col("_u")).alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+    """Every row of ``docs`` with size, source_size, target and copies.
+
+    A null text has size 0 and a null source is a source of its own, last in
+    order.  Documents of size 0 are never taken.  Repeated rows are documents
+    of their own.  Columns of the four names are replaced.
+
+    Texts are shuffled once, to meet their row of ``shares``; rows that share
+    an id are told apart by source, size and digest, and alike ones by number.
+    """
+    made = ("size", "source_size", "target", "copies")
+    keep = [c for c in docs.columns if c not in made]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "doc_id", "source", F.xxhash64("text").alias("digest"), count_words(F.col("text")).alias("size")
+    )
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.col("digest"))
+    nth = F.row_number().over(Window.partitionBy("_id").orderBy("doc_id", "source", "size", "digest"))
+    number = lambda df: df.withColumn("_id", ident).withColumn("_nth", nth)
+    took = number(shares(docs, weights, seed)).select("_id", "_nth", "source_size", "target", "copies")
+    return number(rows).join(took, ["_id", "_nth"]).select("_row.*", "size", "source_size", "target", "copies")

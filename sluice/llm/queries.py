@@ -94,7 +94,7 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    mixed = mixing.shares(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
