@@ -68,6 +68,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Bytes of one Arrow batch: texts may be long, and a batch lies in the JVM's and
+#: the worker's memory at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, if they are not already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, *wanted: str) -> tuple[str, ...]:
     """Names for helper columns that clash with no column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _process_cache, fresh, release
+from .common import _process_cache, fresh, release, small_batches
 
 #: Hashed trigram buckets: the model is languages x BUCKETS floats, whatever the corpus.
 BUCKETS = 1 << 15
@@ -76,6 +76,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
                 {"lang": pa.array([lang] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": total[at]}
             )
 
+    small_batches(docs.sparkSession)
     rows = (
         docs.select(F.col(text_col), F.col(lang_col))
         .where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _process_cache, materialise, release
+from .common import _process_cache, materialise, release, small_batches
 
 CAPACITY, END_ID = 2_048, 0
 #: Lengths over this share of the capacity count as large.
@@ -363,6 +363,7 @@ def pack(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ("doc_id
     Null texts are empty documents; repeated rows are packed each; an empty
     table gives no rows.
     """
+    small_batches(docs.sparkSession)
     cut = materialise(pieces(docs, tokenizer_path, carry, capacity), "pieces")
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int")
     cut = cut.withColumn("_part", part)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _process_cache, materialise, release, shuffle_partitions
+from .common import _process_cache, materialise, release, shuffle_partitions, small_batches
 
 LENGTH, GRAM = 200, 48
 #: Bytes ordered by multikey quicksort before the blind tries take over.
@@ -354,14 +354,20 @@ def repeated_ranges(src: DataFrame, length: int = LENGTH, hot_blocks: int = HOT_
     sorted_out = plain.select("h", "blk", "n", "ctx").mapInPandas(_sort_blocks(length), "h long, blk long, lo int, hi int")
     hot = ctx.where("i >= 0")
     twice = hot.groupBy("h", "i", "ctx").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
-    counted = hot.join(twice, ["h", "i", "ctx"]).select("h", "blk", F.col("rel").alias("lo"), F.col("rel").alias("hi"))
-    found = sorted_out.unionByName(counted)
+    # A row per block with its repeated strings as ranges: what is joined to the
+    # documents' blocks stays one row a block.
+    rels = hot.join(twice, ["h", "i", "ctx"]).groupBy("h", "blk").agg(F.sort_array(F.collect_set("rel")).alias("r"))
+    lone = lambda step: F.filter("r", lambda x: ~F.array_contains(F.col("r"), x + step))
+    counted = rels.select("h", "blk", F.arrays_zip(lone(-1).alias("lo"), lone(1).alias("hi")).alias("ranges"))
+    found = sorted_out.groupBy("h", "blk").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).unionByName(counted)
+    moved = F.transform("ranges", lambda r: F.struct((F.col("first") + r["lo"]).alias("first"), (F.col("first") + r["hi"]).alias("last")))
+    whole = F.array(F.struct("first", "last"))
     spans = (
-        dup.join(found, ["h", "blk"]).select("key", (F.col("first") + F.col("lo")).alias("first"), (F.col("first") + F.col("hi")).alias("last"))
-        .unionByName(dup.where("alike").select("key", "first", "last"))
-        .unionByName(marks.where("n = 0").select("key", "first", "last"))
+        dup.join(found, ["h", "blk"]).select("key", moved.alias("s"))
+        .unionByName(dup.where("alike").select("key", whole.alias("s")))
+        .unionByName(marks.where("n = 0").select("key", whole.alias("s")))
     )
-    return spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return spans.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def _cut(length: int, as_text: bool):
@@ -407,6 +413,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     inside a character; ``as_text`` makes it a string, without the characters
     that a cut runs through.  Columns of the four names are replaced.
     """
+    small_batches(docs.sparkSession)
     made = ("n_bytes", "n_removed", "n_spans", "kept")
     keep = [c for c in (carry or docs.columns) if c not in made]
     text = F.coalesce(F.col("text"), F.lit(""))
