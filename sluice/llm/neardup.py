@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release, shuffle_partitions
+from .common import ascii_lower, materialise, release, shuffle_partitions, small_batches, words
 from .components import components
-from .simhash import shingle_fingerprints, word_set_fingerprints
+from .simhash import shingle_fingerprints, shingle_hashes, word_set_fingerprints
 
 RADIUS, SEGMENTS, BITS = 3, 4, 16
 #: Fingerprints under one key that are compared pair by pair; larger groups are
@@ -199,35 +199,158 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] =
 
 
 #: Independent word-set fingerprints of a text when groups of near copies are sought.
-SEEDS = 4
-
-
-def one_per_group(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """``docs`` with one row left of each group of near copies: the smallest doc_id.
-
-    Texts are near copies if any of ``seeds`` fingerprints over their distinct
-    words is within RADIUS bits of 64; groups are the connected components.
-    Several fingerprints, since one alone finds but half of the texts whose
-    five-word shingles agree to 0.8.  Equal texts are always one group, and of
-    repeated rows one stays.  A null id is larger than any; a null text is empty.
+SEEDS = 6
+#: What makes a near copy: Jaccard similarity of the sets of five-word shingles.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Shingles that one task holds of one candidate group; larger groups are cut into chunks.
+CHUNK_SHINGLES = 400_000
+
+
+class _Group:
+    """Shingle sets side by side: how much each shares with a given one."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        _, self.code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flag = np.zeros(int(self.code.max()) + 1, np.int64)
+
+    def alike(self, i: int) -> np.ndarray:
+        own = self.code[self.start[i] : self.start[i] + self.size[i]]
+        self.flag[own] = 1
+        shared = np.add.reduceat(self.flag[self.code], self.start)
+        self.flag[own] = 0
+        return shared * 1.0 >= SIMILARITY * (self.size + self.size[i] - shared)
+
+
+def _drop_followers(g: pd.DataFrame) -> np.ndarray:
+    """Rows (by ascending id) that are like an earlier row that stays."""
+    group, gone = _Group(g["sh"].tolist()), np.zeros(len(g), bool)
+    for i in range(len(g)):
+        if not gone[i]:
+            hit = group.alike(i)
+            hit[: i + 1] = False
+            gone |= hit
+    return gone
+
+
+def _drop_across(g: pd.DataFrame) -> np.ndarray:
+    """Rows that are like an earlier row of the other chunk."""
+    group, side, gone = _Group(g["sh"].tolist()), g["own"].to_numpy(), np.zeros(len(g), bool)
+    for i in range(len(g)):
+        hit = group.alike(i) & (side != side[i])
+        hit[: i + 1] = False
+        gone |= hit
+    return gone
+
+
+def _by_group(solve):
+    """Run ``solve`` on each (root, part) of sorted rows; emit the keys it drops."""
+
+    def run(batches):
+        held = None
+
+        def out(df):
+            cut = np.flatnonzero(np.r_[True, (df["root"].to_numpy()[1:] != df["root"].to_numpy()[:-1]) | (df["part"].to_numpy()[1:] != df["part"].to_numpy()[:-1])])
+            for s, e in zip(cut, np.r_[cut[1:], len(df)]):
+                if e - s > 1:
+                    g = df.iloc[s:e]
+                    gone = solve(g)
+                    if gone.any():
+                        yield pd.DataFrame({"key": g["key"].to_numpy()[gone]})
+
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(held):
+                continue
+            last = held.iloc[-1]
+            whole = ~((held["root"] == last["root"]) & (held["part"] == last["part"])).to_numpy()
+            if whole.any():
+                yield from out(held[whole])
+                held = held[~whole].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from out(held)
+        release()
+
+    return run
+
+
+def _drops(parts: DataFrame, solve) -> DataFrame:
+    n = shuffle_partitions(parts.sparkSession)
+    dealt = parts.repartition(n, "root", "part").sortWithinPartitions("root", "part", "id", "key")
+    return dealt.mapInPandas(_by_group(solve), "key string").distinct()
+
+
+def near_copies(texts: DataFrame, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+    """Keys that go: each is at least SIMILARITY like a text with a smaller (id, key) in its group.
+
+    ``texts``: root (candidate group), id, key, sh (distinct shingle hashes).
+    A group beyond ``chunk`` shingles is cut into chunks at random; what stays of
+    them is dealt anew, until a round drops less than a tenth; then the chunks
+    are compared with each other pair by pair, so that no two texts of a group
+    are left uncompared with what stays.
+    """
+    left, gone, salt, last = texts, None, 0, None
+    while True:
+        sizes = left.groupBy("root").agg(F.ceil(F.sum(F.size("sh")) / chunk).cast("int").alias("parts"), F.count("*").alias("n"))
+        dealt = left.join(sizes.where("n > 1"), "root").withColumn("part", F.pmod(F.xxhash64("key", F.lit(salt)), F.col("parts")).cast("int"))
+        lost = materialise(_drops(dealt.select("root", "part", "id", "key", "sh"), _drop_followers), "copies")
+        gone = lost if gone is None else gone.unionByName(lost)
+        large = sizes.where("parts > 1").select("root")
+        left = materialise(left.join(large, "root", "left_semi").join(lost, "key", "left_anti"), "left")
+        after, salt = left.count(), salt + 1
+        if not after or (last is not None and after > 0.9 * last):
+            break
+        last = after
+    if after:
+        own = F.pmod(F.xxhash64("key", F.lit(salt)), F.col("parts")).cast("int")
+        sizes = left.groupBy("root").agg(F.ceil(F.sum(F.size("sh")) / chunk).cast("int").alias("parts"))
+        split = left.join(sizes, "root").withColumn("own", own)
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        pairs = split.withColumn("_o", other).withColumn("part", F.least("own", "_o") * F.col("parts") + F.greatest("own", "_o"))
+        gone = gone.unionByName(materialise(_drops(pairs.select("root", "part", "own", "id", "key", "sh"), _drop_across), "copies"))
+        gone = gone.unionByName(materialise(_drops(split.withColumn("part", F.col("own")).select("root", "part", "id", "key", "sh"), _drop_followers), "copies"))
+    return gone.distinct()
+
+
+def candidate_groups(docs: DataFrame, seeds: int) -> DataFrame:
+    """(node, root) over text digests: texts that some fingerprint puts within RADIUS, transitively.
+
+    ``docs``: key (digest of the text), text.
     """
-    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    slim = docs.select("doc_id", key.alias("key"), "text")
-    marked = materialise(word_set_fingerprints(slim, ["doc_id", "key"], seeds), "fingerprints")
+    marked = materialise(word_set_fingerprints(docs, ["key"], seeds), "fingerprints")
     # A text stands for its copies, a fingerprint for its least text.
-    per = materialise(
-        marked.groupBy("seed", "fp").agg(F.min("key").alias("rep"), F.max("key").alias("other")), "distinct"
-    )
+    per = materialise(marked.groupBy("seed", "fp").agg(F.min("key").alias("rep"), F.max("key").alias("other")), "distinct")
     shared = per.where("rep <> other").select("seed", "fp", "rep")
     same = marked.join(shared, ["seed", "fp"]).select(F.col("key").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     near = links_within(per)
     end = lambda name: per.select("seed", F.col("fp").alias(name), F.col("rep").alias(f"{name}_key"))
     across = near.join(end("a"), ["seed", "a"]).join(end("b"), ["seed", "b"]).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
-    roots = components(same.unionByName(across), "a", "b")
-    ids = marked.where("seed = 0").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "key")
-    grouped = ids.join(roots, ids.key == roots.node, "left").select("id", "key", F.coalesce("root", "key").alias("root"))
-    stay = grouped.groupBy("root").agg(F.min(F.struct("id", "key")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), key.alias("_key"))
+    return components(same.unionByName(across), "a", "b")
+
+
+def one_per_group(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """``docs`` with one row left of each group of near copies: the smallest doc_id.
+
+    Candidates are texts one of whose ``seeds`` fingerprints over their distinct
+    words is within RADIUS bits of 64 (several, since one alone finds but half
+    of the texts that are near copies).  Within such a group a text goes if its
+    five-word shingles are at least SIMILARITY like those of a text with a
+    smaller id.  Of equal texts, and of repeated rows, one stays.  A null id is
+    larger than any; a null text is empty.
+    """
+    small_batches(docs.sparkSession)
+    key, never = F.md5(F.coalesce(F.col("text"), F.lit(""))), F.lit((1 << 63) - 1)
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), never).alias("id"), key.alias("key"), "text")
+    roots = materialise(candidate_groups(slim.select("key", "text"), seeds), "groups")
+    members = roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
+    # Texts without words are alike.
+    sh = F.when(F.size("ws") > 0, F.array_distinct(shingle_hashes(F.col("ws"), SHINGLE))).otherwise(F.array(F.lit(0).cast("long")))
+    worded = slim.join(members, "key").select("root", "id", "key", words(ascii_lower(F.col("text"))).alias("ws"))
+    texts = worded.select("root", "id", "key", sh.alias("sh")).groupBy("root", "key").agg(F.min("id").alias("id"), F.first("sh").alias("sh"))
+    gone = near_copies(materialise(texts, "shingles"))
+    stay = slim.groupBy("key").agg(F.min("id").alias("_id")).join(gone, "key", "left_anti").withColumnRenamed("key", "_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), never).alias("_id"), key.alias("_key"))
     kept = rows.join(stay, ["_id", "_key"], "left_semi")
     once = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
     return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")

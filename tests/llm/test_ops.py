@@ -199,6 +199,33 @@ def test_near_duplicates(spark):
     assert neardup.one_per_group(twice).count() == 1
 
 
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(6)
+    sets, rows = {}, []
+    for root in "ab":
+        base = rng.sample(range(10_000), 60)
+        for k in range(40):
+            s = set(base[:50])
+            for _ in range(rng.choice([0, 2, 4, 12])):
+                s.discard(rng.choice(base))
+                s.add(rng.randrange(10_000))
+            sets[f"{root}{k:02d}"] = s
+            rows.append((root, k // 2, f"{root}{k:02d}", sorted(s)))
+    df = spark.createDataFrame(rows, "root string, id long, key string, sh array<long>").repartition(3)
+    order = {k: (i, k) for _, i, k, _ in rows}
+    alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    stay = []
+    for k in sorted(sets, key=order.get):
+        if not any(s[0] == k[0] and alike(s, k) for s in stay):
+            stay.append(k)
+    assert {r.key for r in neardup.near_copies(df).collect()} == set(sets) - set(stay)
+    for chunk in (200, 700):
+        gone = {r.key for r in neardup.near_copies(df, chunk).collect()}
+        left = set(sets) - gone
+        assert not any(x != y and x[0] == y[0] and alike(x, y) for x in left for y in left)
+        assert all(any(order[s] < order[g] and s[0] == g[0] and alike(s, g) for s in sets) for g in gone)
+
+
 # --- 5: token counts --------------------------------------------------------------
 
 
