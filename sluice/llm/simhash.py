@@ -134,7 +134,8 @@ def near_fingerprints(fps: DataFrame, queries: DataFrame, radius: int = 3) -> Da
         for t, c in enumerate(tables)
     ])
     side = lambda df, name: df.select("fp", F.explode(keys).alias("e")).select(F.col("fp").alias(name), "e.t", "e.k")
-    pairs = side(queries, "query_fp").join(side(fps, "fp"), ["t", "k"])
+    # Twenty rows a fingerprint: too many to broadcast on the strength of the fingerprints' size.
+    pairs = side(queries, "query_fp").hint("merge").join(side(fps, "fp"), ["t", "k"])
     apart = F.col("query_fp").bitwiseXOR(F.col("fp"))
     equal = lambda c: F.lit(True) if not c else equal(c[1:]) & (apart.bitwiseAND(F.lit(masks[c[0]])) == 0)
     first = F.coalesce(*[F.when(equal(c), F.lit(t)) for t, c in enumerate(tables)])
