@@ -52,8 +52,8 @@ def _tokenizer(path: str):
     return kept[1:]
 
 
-#: Punctuation that ends a word is a pre-token of its own.
-_TAIL = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,;:!?]+)(?=\s|$)")
+#: One mark after a letter and before white space is a pre-token of its own.
+_TAIL = re.compile(r"[.,;:!?](?=\s|$)(?<=[a-z\xdf-\xf6\xf8-\xff].)")
 #: A word of these is one pre-token.
 _PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 
@@ -65,7 +65,7 @@ def _words(text: str) -> list[str]:
     except UnicodeEncodeError:
         pass
     else:
-        text = _TAIL.sub(r" \1", text.lower())
+        text = _TAIL.sub(r" \g<0>", text.lower())
     for gap in "\n\t\r\x0b\x0c":
         text = text.replace(gap, " ")
     return text.split(" ")
