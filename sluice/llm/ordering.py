@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ids per range that is aimed at, and the most ranges.
-IDS_PER_RANGE, MAX_RANGES = 20_000, 4_096
+IDS_PER_RANGE, MAX_RANGES = 5_000, 4_096
 
 
 def range_splits(ids: DataFrame, key: str, least: int = 256) -> list[int]:
