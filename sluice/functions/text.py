@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python's str methods see it, in Java's syntax.
@@ -19,6 +19,15 @@ def filled(x: Column | str) -> Column:
     return F.coalesce(c(x), F.lit(""))
 
 
+def computed_once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are worked out once a row.
+
+    A plain projection would be inlined into every later filter and expression
+    that names the columns; nothing is moved through a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[x.alias(n) for n, x in cols.items()]))))
+
+
 def txt(x: Column | str) -> Column:
     """Lower-case words of a-z, 0-9 and dots, one space apart; null gives ''."""
     plain = F.replace(F.lower(filled(x)), F.lit("&"), F.lit(" and "))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import ends_with_any, filled, find_terms, normalise_term, tokens_of, txt
+from ..functions.text import computed_once, ends_with_any, filled, find_terms, normalise_term, tokens_of, txt
 from ..functions.urls import path
 
 
@@ -42,15 +42,15 @@ def searchable(df: DataFrame) -> Column:
 def evidence(listings: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``listings`` with one array of found terms per dictionary.
 
-    The padded text is made in a projection of its own, so that each row is
-    normalised once, however many dictionaries look at it.
+    Texts and found terms are computed once a row, however many dictionaries,
+    gates and scores look at them.
     """
-    padded = listings.withColumn("_text", searchable(listings)).withColumn("_title", txt("title"))
     doc_text = tokens_of(txt(F.concat(filled("title"), F.lit(" "), F.lower(path("source_url")))))
-    padded = padded.withColumns({"_pad": tokens_of("_text"), "_doc": doc_text})
-    out = padded.withColumns({f"_{k}": find_terms("_pad", getattr(rules, k)) for k in EVIDENCE})
+    texts = computed_once(listings, {"_text": searchable(listings), "_title": txt("title"), "_doc": doc_text})
+    padded = computed_once(texts, {"_pad": tokens_of("_text")})
     is_document = ends_with_any(F.lower(path("source_url")), rules.extensions) & (F.size(find_terms("_doc", rules.hints)) > 0)
-    return out.withColumns({"_document": is_document, "_dated": F.col("deadline").isNotNull()})
+    found = {f"_{k}": find_terms("_pad", getattr(rules, k)) for k in EVIDENCE}
+    return computed_once(padded, {**found, "_document": is_document, "_dated": F.col("deadline").isNotNull()})
 
 
 def admitted(rules: Rules = Rules()) -> Column:
@@ -80,11 +80,11 @@ def scored(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
         F.struct(F.lit(-i).alias("o"), F.lit(name).alias("category"), find_terms("_pad", strong).alias("s"), find_terms("_pad", broad).alias("b"))
         for i, (name, strong, broad) in enumerate(rules.categories)
     ])
-    rows = found.withColumns({"_shared": shared, "_hits": hits})
+    rows = computed_once(found, {"_shared": shared, "_hits": hits})
     score = lambda h: F.greatest(F.lit(0), F.least(F.lit(100), F.least(F.lit(35), F.size(h["s"]) * 20) + F.least(F.lit(15), F.size(h["b"]) * 5) + F.col("_shared")))
     live = F.filter("_hits", lambda h: (F.size(h["s"]) > 0) | (F.size(h["b"]) > 0))
     ranked = F.transform(live, lambda h: F.struct(score(h).alias("score"), h["o"].alias("o"), h["category"].alias("category"), h["s"].alias("s"), h["b"].alias("b")))
-    return rows.withColumn("_best", F.array_max(ranked))
+    return computed_once(rows, {"_best": F.array_max(ranked)})
 
 
 def reasons(best: str = "_best") -> Column:

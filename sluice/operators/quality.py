@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import filled, first_rule, has_any, organisation_from_domain, organisation_from_site, strip_tags, substring_hits
+from ..functions.text import computed_once, filled, first_rule, has_any, organisation_from_domain, organisation_from_site, strip_tags, substring_hits
 from ..functions.urls import domain, is_blocked, is_ignored, monitor_url, netloc, quality_url, scheme, url_relevance
 
 APPROVAL_SCORE, DISCOVERY_SCORE = 60.0, 40.0
@@ -43,7 +43,7 @@ def assess(results: DataFrame) -> DataFrame:
     rows = results.withColumn("_url", quality_url("url"))
     rows = rows.withColumn("_domain", domain(netloc("_url")))
     text = F.lower(strip_tags(F.concat_ws(" ", filled("title"), filled("description"), "_url", filled("query"))))
-    rows = rows.withColumns({"_text": text, "_relevance": url_relevance("_url")})
+    rows = computed_once(rows, {"_text": text, "_relevance": url_relevance("_url")})
     rows = rows.withColumn("_aggregator", has_any("_text", v.AGGREGATORS))
     ends = lambda x: F.endswith(F.col("_domain"), F.lit(x))
     says = lambda x: F.contains(F.col("_text"), F.lit(x))
@@ -55,7 +55,7 @@ def assess(results: DataFrame) -> DataFrame:
         + F.least(money(F.col("_relevance")) * F.lit("0.25").cast("decimal(4,2)"), F.lit(15))
         - F.when(F.col("_aggregator"), 10).otherwise(0)
     )
-    rows = rows.withColumns({"_score": bounded(raw), "_type": first_rule("_text", v.SOURCE_TYPE_RULES, "Organisation")})
+    rows = computed_once(rows, {"_score": bounded(raw), "_type": first_rule("_text", v.SOURCE_TYPE_RULES, "Organisation")})
     early = (
         F.when(F.col("_url") == "", "Invalid or unsupported URL.")
         .when(F.col("_domain") == "", "The website domain could not be determined.")
