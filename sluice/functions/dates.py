@@ -6,14 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as v
-from .text import c, clean_text, filled
+from .text import c, clean_text, filled, let
+
+
+_DAY_FIRST = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$"
+_YEAR_FIRST = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$"
 
 
 def parse_date(x: Column | str) -> Column:
-    """First of the date patterns that fits, day before month; null if none does."""
+    """Day, month and year in figures (one separator throughout) or with the month's name; null if neither fits."""
     t = F.regexp_replace(clean_text(x), r"(?i)(\d)(st|nd|rd|th)\b", "$1")
-    t = F.replace(t, F.lit(","), F.lit(""))
-    return F.coalesce(*[F.try_to_date(t, p) for p in v.DATE_PATTERNS])
+    return let(F.replace(t, F.lit(","), F.lit("")), _date_of)
+
+
+def _date_of(t: Column) -> Column:
+    day_first, year_first = F.regexp_replace(t, _DAY_FIRST, "$4-$3-$1"), F.regexp_replace(t, _YEAR_FIRST, "$1-$3-$4")
+    return (
+        F.when(t.rlike(_DAY_FIRST), F.try_to_date(day_first, "yyyy-M-d"))
+        .when(t.rlike(_YEAR_FIRST), F.try_to_date(year_first, "yyyy-M-d"))
+        .when(t.rlike("[A-Za-z]"), F.coalesce(*[F.try_to_date(t, p) for p in v.NAMED_DATE_PATTERNS]))
+    )
 
 
 def iso_or_parsed(x: Column | str) -> Column:
@@ -25,8 +37,13 @@ def iso_or_parsed(x: Column | str) -> Column:
 
 def extract_deadline(x: Column | str, patterns=v.CRAWL_DEADLINES) -> Column:
     """Of each pattern the first match; of these, in pattern order, the first that is a date."""
-    t = clean_text(x)
-    return F.coalesce(*[parse_date(F.regexp_extract(t, f"(?i){lead}({form})", 1)) for lead, form in patterns])
+
+    def first(t: Column) -> Column:
+        said = F.array(*[F.regexp_extract(t, f"(?i){lead}({form})", 1) for lead, form in patterns])
+        found = F.transform(F.filter(said, lambda m: m != ""), parse_date)
+        return F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
+
+    return let(clean_text(x), first)
 
 
 def parse_timestamp(x: Column | str) -> Column:

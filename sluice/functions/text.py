@@ -28,6 +28,11 @@ def computed_once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[x.alias(n) for n, x in cols.items()]))))
 
 
+def let(x: Column | str, f) -> Column:
+    """f(x) with x worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c(x)), f), F.lit(0))
+
+
 def txt(x: Column | str) -> Column:
     """Lower-case words of a-z, 0-9 and dots, one space apart; null gives ''."""
     plain = F.replace(F.lower(filled(x)), F.lit("&"), F.lit(" and "))
@@ -49,7 +54,7 @@ def find_terms(padded: Column | str, terms) -> Column:
     if not usable:
         return F.expr("cast(array() as array<string>)")
     table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(f" {normalise_term(t)} ").alias("n")) for t in usable])
-    return F.transform(F.filter(table, lambda s: F.contains(c(padded), s["n"])), lambda s: s["t"])
+    return let(padded, lambda p: F.transform(F.filter(table, lambda s: F.contains(p, s["n"])), lambda s: s["t"]))
 
 
 def contains_term(text: Column | str, term: str) -> Column:
@@ -60,15 +65,15 @@ def contains_term(text: Column | str, term: str) -> Column:
 
 def substring_hits(text: Column | str, terms) -> Column:
     """How many of the terms occur as substrings."""
-    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(c(text), t)))
+    return let(text, lambda x: F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(x, t))))
 
 
 def has_any(text: Column | str, terms) -> Column:
-    return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(c(text), t))
+    return let(text, lambda x: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(x, t)))
 
 
 def ends_with_any(text: Column | str, endings) -> Column:
-    return F.exists(F.array(*map(F.lit, endings)), lambda t: F.endswith(c(text), t))
+    return let(text, lambda x: F.exists(F.array(*map(F.lit, endings)), lambda t: F.endswith(x, t)))
 
 
 def clean_text(x: Column | str) -> Column:

@@ -379,10 +379,8 @@ PORTAL_DEADLINES = (
     (r"\bsubmission deadline\s*:?\s*", NUMERIC_DAY_FIRST), (r"\bsubmission deadline\s*:?\s*", PLAIN_WORDS),
     (_CLOSES, NUMERIC_DAY_FIRST), (_CLOSES, PLAIN_WORDS),
 )
-#: Spark date patterns, tried in order.
-DATE_PATTERNS = (
-    "d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy",
-)
+#: Spark patterns of dates with a month's name, tried in order.
+NAMED_DATE_PATTERNS = ("d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy")
 SUPPORTED_JSON_TYPES = ("jobposting", "article", "creativework", "newsarticle", "webpage")
 CARD_CLASSES = ("job", "tender", "consultancy", "listing", "views-row", "card", "item", "result")
 EXCLUDED_LISTING_PATHS = ("/job", "/jobs", "/job-seeker", "/job-alert")
