@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, release, shuffle_partitions, small_batches, words
+from .common import ascii_lower, discard, materialise, release, shuffle_partitions, small_batches, words
 from .components import components
 from .simhash import shingle_fingerprints, shingle_hashes, word_set_fingerprints
 
@@ -234,18 +234,36 @@ def _drop_followers(g: pd.DataFrame) -> np.ndarray:
     return gone
 
 
-def _drop_across(g: pd.DataFrame) -> np.ndarray:
-    """Rows that are like an earlier row of the other chunk."""
-    group, side, gone = _Group(g["sh"].tolist()), g["own"].to_numpy(), np.zeros(len(g), bool)
+def _drop_led(g: pd.DataFrame) -> np.ndarray:
+    """Rows that are like a leader; leaders come first and stay."""
+    group, gone = _Group(g["sh"].tolist()), np.zeros(len(g), bool)
+    leaders = int(g["own"].sum())
+    for i in range(leaders):
+        gone |= group.alike(i)
+    gone[:leaders] = False
+    return gone
+
+
+def _pairs_across(g: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of like rows, the earlier first: of the two chunks, or within the one."""
+    group, side, key = _Group(g["sh"].tolist()), g["own"].to_numpy(), g["key"].to_numpy()
+    within, a, b = bool((side == side[0]).all()), [], []
     for i in range(len(g)):
-        hit = group.alike(i) & (side != side[i])
+        hit = group.alike(i) & (within | (side != side[i]))
         hit[: i + 1] = False
-        gone |= hit
-    return gone
+        later = np.flatnonzero(hit)
+        a.append(np.full(len(later), i))
+        b.append(later)
+    return pd.DataFrame({"key": key[np.concatenate(a)], "later": key[np.concatenate(b)]})
+
+
+def _dropped(solve):
+    """The keys that ``solve`` drops of a group."""
+    return lambda g: pd.DataFrame({"key": g["key"].to_numpy()[solve(g)]})
 
 
 def _by_group(solve):
-    """Run ``solve`` on each (root, part) of sorted rows; emit the keys it drops."""
+    """Run ``solve`` on each (root, part) of sorted rows."""
 
     def run(batches):
         held = None
@@ -254,10 +272,9 @@ def _by_group(solve):
             cut = np.flatnonzero(np.r_[True, (df["root"].to_numpy()[1:] != df["root"].to_numpy()[:-1]) | (df["part"].to_numpy()[1:] != df["part"].to_numpy()[:-1])])
             for s, e in zip(cut, np.r_[cut[1:], len(df)]):
                 if e - s > 1:
-                    g = df.iloc[s:e]
-                    gone = solve(g)
-                    if gone.any():
-                        yield pd.DataFrame({"key": g["key"].to_numpy()[gone]})
+                    made = solve(df.iloc[s:e])
+                    if len(made):
+                        yield made
 
         for b in batches:
             held = b if held is None else pd.concat([held, b], ignore_index=True)
@@ -275,42 +292,75 @@ def _by_group(solve):
     return run
 
 
-def _drops(parts: DataFrame, solve) -> DataFrame:
+def _solved(parts: DataFrame, solve, schema: str = "key string") -> DataFrame:
     n = shuffle_partitions(parts.sparkSession)
     dealt = parts.repartition(n, "root", "part").sortWithinPartitions("root", "part", "id", "key")
-    return dealt.mapInPandas(_by_group(solve), "key string").distinct()
+    return dealt.mapInPandas(_by_group(solve), schema).distinct()
+
+
+def first_come(links: DataFrame) -> DataFrame:
+    """Keys that go when each goes that is linked to an earlier one that stays.
+
+    ``links``: key, later (key), each pair once and the earlier first.
+    """
+    gone, now = None, materialise(links, "alike")
+    while True:
+        # Without an earlier partner a key stays; what is linked to it goes, with all its links.
+        stay = now.select("key").distinct().join(now.select(F.col("later").alias("key")), "key", "left_anti")
+        lost = materialise(now.join(stay, "key").select(F.col("later").alias("key")).distinct(), "copies")
+        gone = lost if gone is None else gone.unionByName(lost)
+        out = lost.withColumnRenamed("key", "later")
+        then = materialise(now.join(lost, "key", "left_anti").join(out, "later", "left_anti").select("key", "later"), "alike")
+        discard(now)
+        now = then
+        if now.isEmpty():
+            return gone
 
 
 def near_copies(texts: DataFrame, chunk: int = CHUNK_SHINGLES) -> DataFrame:
-    """Keys that go: each is at least SIMILARITY like a text with a smaller (id, key) in its group.
+    """Keys that go: each is at least SIMILARITY like a text of its group that stays and has a smaller (id, key).
 
     ``texts``: root (candidate group), id, key, sh (distinct shingle hashes).
-    A group beyond ``chunk`` shingles is cut into chunks at random; what stays of
-    them is dealt anew, until a round drops less than a tenth; then the chunks
-    are compared with each other pair by pair, so that no two texts of a group
-    are left uncompared with what stays.
+    A group within ``chunk`` shingles is settled by one task.  Of a larger one
+    the first ``chunk`` shingles by (id, key) are; those that stay lead, and what
+    is like a leader goes.  The rest begins anew until a round drops less than a
+    tenth of it; then chunks are compared pair by pair, and ``first_come`` settles
+    the like pairs found.  So a group's size never changes the result.
     """
-    left, gone, salt, last = texts, None, 0, None
+    left, gone = texts, None
     while True:
         sizes = left.groupBy("root").agg(F.ceil(F.sum(F.size("sh")) / chunk).cast("int").alias("parts"), F.count("*").alias("n"))
-        dealt = left.join(sizes.where("n > 1"), "root").withColumn("part", F.pmod(F.xxhash64("key", F.lit(salt)), F.col("parts")).cast("int"))
-        lost = materialise(_drops(dealt.select("root", "part", "id", "key", "sh"), _drop_followers), "copies")
+        many = left.join(sizes.where("n > 1").select("root", "parts"), "root")
+        large = many.where("parts > 1")
+        before = Window.partitionBy("root").orderBy("id", "key").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = large.select("root", "id", "key", F.size("sh").alias("n")).withColumn("_at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        first = materialise(ahead.where(F.col("_at") < chunk).select("root", "key"), "first")
+        head = many.where("parts = 1").unionByName(large.join(first, ["root", "key"], "left_semi"))
+        lost = materialise(_solved(head.select("root", F.lit(0).alias("part"), "id", "key", "sh"), _dropped(_drop_followers)), "copies")
         gone = lost if gone is None else gone.unionByName(lost)
-        large = sizes.where("parts > 1").select("root")
-        left = materialise(left.join(large, "root", "left_semi").join(lost, "key", "left_anti"), "left")
-        after, salt = left.count(), salt + 1
-        if not after or (last is not None and after > 0.9 * last):
+        if first.isEmpty():
+            return gone.distinct()
+        rest = materialise(large.join(first, ["root", "key"], "left_anti"), "left")
+        leads = large.join(first, ["root", "key"], "left_semi").join(lost, "key", "left_anti")
+        part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+        both = rest.withColumn("part", part).withColumn("own", F.lit(0)).unionByName(
+            leads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("own", F.lit(1))
+        )
+        lost = materialise(_solved(both.select("root", "part", "own", "id", "key", "sh"), _dropped(_drop_led)), "copies")
+        gone = gone.unionByName(lost)
+        left = materialise(rest.join(lost, "key", "left_anti").select("root", "id", "key", "sh"), "left")
+        after = left.count()
+        if not after:
+            return gone.distinct()
+        if after > 0.9 * rest.count():
             break
-        last = after
-    if after:
-        own = F.pmod(F.xxhash64("key", F.lit(salt)), F.col("parts")).cast("int")
-        sizes = left.groupBy("root").agg(F.ceil(F.sum(F.size("sh")) / chunk).cast("int").alias("parts"))
-        split = left.join(sizes, "root").withColumn("own", own)
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        pairs = split.withColumn("_o", other).withColumn("part", F.least("own", "_o") * F.col("parts") + F.greatest("own", "_o"))
-        gone = gone.unionByName(materialise(_drops(pairs.select("root", "part", "own", "id", "key", "sh"), _drop_across), "copies"))
-        gone = gone.unionByName(materialise(_drops(split.withColumn("part", F.col("own")).select("root", "part", "id", "key", "sh"), _drop_followers), "copies"))
-    return gone.distinct()
+    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    sizes = left.groupBy("root").agg(F.ceil(F.sum(F.size("sh")) / chunk).cast("int").alias("parts"))
+    split = left.join(sizes, "root").withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = split.withColumn("_o", other).withColumn("part", F.least("own", "_o") * F.col("parts") + F.greatest("own", "_o"))
+    alike = _solved(cells.select("root", "part", "own", "id", "key", "sh"), _pairs_across, "key string, later string")
+    return gone.unionByName(first_come(alike)).distinct()
 
 
 def candidate_groups(docs: DataFrame, seeds: int) -> DataFrame:

@@ -226,6 +226,18 @@ def test_near_copies_against_all_pairs(spark):
         assert all(any(order[s] < order[g] and s[0] == g[0] and alike(s, g) for s in sets) for g in gone)
 
 
+def test_near_copies_do_not_depend_on_chunks(spark):
+    # Chains: each text is like the next one only, so every second one stays.
+    rows = [("abc"[c], i, f"{'abc'[c]}{i:02d}", list(range(1000 * c + 10 * i, 1000 * c + 10 * i + 100))) for c in range(3) for i in range(9)]
+    df = spark.createDataFrame(rows, "root string, id long, key string, sh array<long>").repartition(3)
+    want = {r[2] for r in rows if r[1] % 2}
+    for chunk in (10_000, 350, 100):
+        assert {r.key for r in neardup.near_copies(df, chunk).collect()} == want, chunk
+    links = [(f"k{i}", f"k{i + 1}") for i in range(9)] + [("k0", "k5")]
+    assert {r.key for r in neardup.first_come(spark.createDataFrame(links, "key string, later string")).collect()} == {"k1", "k3", "k5", "k7", "k9"}
+    assert neardup.first_come(spark.createDataFrame([], "key string, later string")).count() == 0
+
+
 # --- 5: token counts --------------------------------------------------------------
 
 
