@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, discard, materialise, release, shuffle_partitions, small_batches, words
@@ -200,6 +201,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] =
 
 #: Independent word-set fingerprints of a text when groups of near copies are sought.
 SEEDS = 6
+#: Minima of a text's shingles, in BANDS bands of ROWS: two texts of similarity J share
+#: no band with probability (1 - J**ROWS)**BANDS, 5e-8 at J = 0.8.
+BANDS, ROWS = 32, 4
 #: What makes a near copy: Jaccard similarity of the sets of five-word shingles.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles that one task holds of one candidate group; larger groups are cut into chunks.
@@ -363,10 +367,75 @@ def near_copies(texts: DataFrame, chunk: int = CHUNK_SHINGLES) -> DataFrame:
     return gone.unionByName(first_come(alike)).distinct()
 
 
+def band_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(set, band) keys of the non-empty sets of uint64 hashes that begin at ``starts``.
+
+    An odd factor permutes the hashes; the least of each permutation is the same
+    for two sets with the probability of their Jaccard similarity.
+    """
+    factors = np.random.default_rng(20).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    keys, turned = np.empty((len(starts), BANDS), np.uint64), np.empty_like(values)
+    for band in range(BANDS):
+        key = np.full(len(starts), band, np.uint64)
+        for f in factors[band * ROWS : (band + 1) * ROWS]:
+            np.multiply(values, f, out=turned)
+            key = (key ^ np.minimum.reduceat(turned, starts)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys[:, band] = key
+    return keys
+
+
+def _bands(batches):
+    seen: set[int] = set()
+    for b in batches:
+        own = b.column("key").to_numpy()
+        first = [i for i, k in enumerate(own.tolist()) if not (k in seen or seen.add(k))]
+        if not first:
+            continue
+        sh = b.column("sh").take(pa.array(first, pa.int64()))
+        keys = band_keys(sh.flatten().to_numpy().view(np.uint64), sh.offsets.to_numpy()[:-1].astype(np.int64) - sh.offsets[0].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(own[first], BANDS))], names=["band", "key"])
+    release()
+
+
+def _chain_bands(batches):
+    """Links of each key to the first one of its band, of sorted rows."""
+    band = first = None
+    for b in batches:
+        if not len(b):
+            continue
+        bands, keys = b["band"].to_numpy(), b["key"].to_numpy()
+        new = np.r_[band is None or bands[0] != band, bands[1:] != bands[:-1]]
+        # What goes on from the batch before keeps its first key.
+        heads = np.flatnonzero(new)
+        root = np.concatenate([np.full(heads[0] if len(heads) else len(keys), first if first is not None else 0), np.repeat(keys[heads], np.diff(np.r_[heads, len(keys)]))])
+        band, first = bands[-1], root[-1]
+        apart = keys != root
+        if apart.any():
+            yield pd.DataFrame({"a": keys[apart], "b": root[apart]})
+    release()
+
+
+def shingle_sets(word_col: Column) -> Column:
+    """What similarity is measured on; texts without words are alike."""
+    return F.when(F.size(word_col) > 0, shingle_hashes(word_col, SHINGLE)).otherwise(F.array(F.lit(0).cast("long")))
+
+
+def band_links(docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join the keys of texts with a band of shingle minima in common.
+
+    ``docs``: key (long), text.  Copies that one task meets go on once.
+    """
+    ws = docs.select("key", words(ascii_lower(F.col("text"))).alias("ws"))
+    rows = ws.select("key", shingle_sets(F.col("ws")).alias("sh")).mapInArrow(_bands, "band long, key long")
+    dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "band").sortWithinPartitions("band", "key")
+    return dealt.mapInPandas(_chain_bands, "a long, b long").distinct()
+
+
 def candidate_groups(docs: DataFrame, seeds: int) -> DataFrame:
-    """(node, root) over text digests: texts that some fingerprint puts within RADIUS, transitively.
+    """(node, root) over text digests: texts that some fingerprint puts within RADIUS or that share a band, transitively.
 
-    ``docs``: key (digest of the text), text.
+    ``docs``: key (digest of the text, a long), text.
     """
     marked = materialise(word_set_fingerprints(docs, ["key"], seeds), "fingerprints")
     # A text stands for its copies, a fingerprint for its least text.
@@ -376,15 +445,15 @@ def candidate_groups(docs: DataFrame, seeds: int) -> DataFrame:
     near = links_within(per)
     end = lambda name: per.select("seed", F.col("fp").alias(name), F.col("rep").alias(f"{name}_key"))
     across = near.join(end("a"), ["seed", "a"]).join(end("b"), ["seed", "b"]).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
-    return components(same.unionByName(across), "a", "b")
+    return components(same.unionByName(across).unionByName(band_links(docs)), "a", "b")
 
 
 def one_per_group(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """``docs`` with one row left of each group of near copies: the smallest doc_id.
 
     Candidates are texts one of whose ``seeds`` fingerprints over their distinct
-    words is within RADIUS bits of 64 (several, since one alone finds but half
-    of the texts that are near copies).  Within such a group a text goes if its
+    words is within RADIUS bits of 64, or that share a band of shingle minima:
+    fingerprints miss copies with words added.  Within such a group a text goes if its
     five-word shingles are at least SIMILARITY like those of a text with a
     smaller id.  Of equal texts, and of repeated rows, one stays.  A null id is
     larger than any; a null text is empty.
@@ -392,12 +461,12 @@ def one_per_group(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     small_batches(docs.sparkSession)
     key, never = F.md5(F.coalesce(F.col("text"), F.lit(""))), F.lit((1 << 63) - 1)
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), never).alias("id"), key.alias("key"), "text")
-    roots = materialise(candidate_groups(slim.select("key", "text"), seeds), "groups")
-    members = roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
-    # Texts without words are alike.
-    sh = F.when(F.size("ws") > 0, F.array_distinct(shingle_hashes(F.col("ws"), SHINGLE))).otherwise(F.array(F.lit(0).cast("long")))
-    worded = slim.join(members, "key").select("root", "id", "key", words(ascii_lower(F.col("text"))).alias("ws"))
-    texts = worded.select("root", "id", "key", sh.alias("sh")).groupBy("root", "key").agg(F.min("id").alias("id"), F.first("sh").alias("sh"))
+    # Candidates go by 60 bits of the digest: texts that share them fall in one group, no more.
+    slim = slim.withColumn("short", F.conv(F.substring("key", 1, 15), 16, 10).cast("long"))
+    roots = materialise(candidate_groups(slim.select(F.col("short").alias("key"), "text"), seeds), "groups")
+    members = roots.select(F.col("node").alias("short"), "root").unionByName(roots.select(F.col("root").alias("short"), "root").distinct())
+    worded = slim.join(members, "short").select("root", "id", "key", words(ascii_lower(F.col("text"))).alias("ws"))
+    texts = worded.select("root", "id", "key", F.array_distinct(shingle_sets(F.col("ws"))).alias("sh")).groupBy("root", "key").agg(F.min("id").alias("id"), F.first("sh").alias("sh"))
     gone = near_copies(materialise(texts, "shingles"))
     stay = slim.groupBy("key").agg(F.min("id").alias("_id")).join(gone, "key", "left_anti").withColumnRenamed("key", "_key")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), never).alias("_id"), key.alias("_key"))

@@ -238,6 +238,28 @@ def test_near_copies_do_not_depend_on_chunks(spark):
     assert neardup.first_come(spark.createDataFrame([], "key string, later string")).count() == 0
 
 
+def test_copies_with_words_added_go(spark):
+    rng = random.Random(12)
+    zipf = [f"w{int(1 / (1e-4 + rng.random()))}" for _ in range(20_000)]
+    texts = []
+    for k in range(60):
+        base = rng.sample(zipf, rng.choice([60, 300, 900]))
+        more = rng.sample(zipf, int(len(base) * (0.1, 0.15, 0.2)[k % 3]))
+        texts += [" ".join(base), " ".join(base + more if k % 2 else more + base)]
+    left = {r.doc_id for r in neardup.one_per_group(docs(spark, texts)).collect()}
+    assert left == set(range(0, 120, 2))
+
+
+def test_band_keys_meet_with_the_similarity():
+    rng = np.random.default_rng(3)
+    pools = [rng.integers(0, 1 << 63, 110, np.uint64) for _ in range(200)]
+    sets = [s for p in pools for s in (p[:100], p[10:])]
+    keys = neardup.band_keys(np.concatenate(sets), np.arange(len(sets)) * 100)
+    shared = (keys[::2] == keys[1::2]).mean()
+    assert abs(shared - (90 / 110) ** neardup.ROWS) < 0.03 and (keys[::2] == keys[1::2]).any(axis=1).all()
+    assert not (keys[:-2:2] == keys[2::2]).any()
+
+
 # --- 5: token counts --------------------------------------------------------------
 
 
