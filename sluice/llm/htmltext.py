@@ -50,6 +50,12 @@ OUTSIDE_NAMES = frozenset(
     replies respond discussion breadcrumb breadcrumbs menu nav navbar navigation pagination pager footer masthead topbar
     copyright popup modal overlay widget widgets login search toolbar skip outbrain taboola toc""".split()
 )
+#: Names of lists whose items may be articles of their own.
+LIST_NAMES = frozenset(
+    "related recommend recommended recommendations sidebar sidenav aside comment comments commentlist disqus reply replies respond discussion outbrain taboola".split()
+)
+#: A class that tells a page's state ("has-sidebar", "noComments"), not what the element is.
+_STATE = re.compile(r"(?:has|with|without|no|is|not)(?:[-_]|(?=[A-Z]))")
 INSIDE_TAGS = frozenset(("article", "main"))
 INSIDE_NAMES = frozenset("article articlebody post entry story content main maincontent body text".split())
 _BOILER = re.compile(
@@ -57,7 +63,7 @@ _BOILER = re.compile(
 )
 
 #: Classifier weights: per feature, towards content.
-WEIGHTS = {"bias": -0.6, "inside": 4.0, "elsewhere": -2.5, "outside": -14.0, "long": 2.2, "sentence": 0.7, "links": -3.0, "heading": 0.4, "phrase": -1.0}
+WEIGHTS = {"bias": -0.6, "inside": 4.0, "elsewhere": -2.5, "outside": -14.0, "named": -4.5, "long": 2.2, "sentence": 0.7, "links": -3.0, "heading": 0.4, "phrase": -1.0}
 #: Smoothness: blocks in a row under one parent, in a row elsewhere, next under the same parent, next under the same grandparent.
 ADJACENT_NEAR, ADJACENT_FAR, SAME_PARENT, SAME_GRANDPARENT = 0.8, 0.2, 0.5, 0.2
 
@@ -74,29 +80,51 @@ def _names(value: str) -> set[str]:
     return {w.lower() for w in _WORDS.findall(value)} | {w for w in re.split(r"[^a-z0-9]+", value.lower()) if w}
 
 
-def _signals(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """(outside, inside): does the element speak against or for its text?"""
-    out = tag in OUTSIDE_TAGS or (tag == "header" and not in_article)
+#: How an element speaks against its text: not; by its name, or as a form; by the name of a list; by what it is.
+FOR, NAMED, LISTED, AGAINST = range(4)
+
+
+def _signals(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
+    """(outside, inside): how does the element speak against its text, and does it speak for it?"""
+    out = NAMED if tag == "form" else AGAINST if tag in OUTSIDE_TAGS or (tag == "header" and not in_article) else FOR
     into = tag in INSIDE_TAGS
     if attrs and tag not in ("html", "body"):
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name == "role":
                 role = value.strip().lower()
-                out |= role in OUTSIDE_ROLES
+                out = AGAINST if role in OUTSIDE_ROLES else out
                 into |= role in ("main", "article")
             elif name in ("class", "id"):
-                words = _names(value)
-                out |= bool(words & OUTSIDE_NAMES)
+                words = _names(" ".join(w for w in value.split() if not _STATE.match(w)))
+                if words & OUTSIDE_NAMES:
+                    out = max(out, LISTED if words & LIST_NAMES else NAMED)
                 into |= bool(words & INSIDE_NAMES)
-                out |= "header" in words and tag != "h1" and not in_article
+                if "header" in words and tag != "h1" and not in_article:
+                    out = max(out, NAMED)
             elif name == "itemprop":
-                out |= value.lower() == "comment"
+                out = max(out, LISTED if value.lower() == "comment" else FOR)
                 into |= value.lower() == "articlebody"
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                out = True
+                out = AGAINST
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                out = True
+                out = AGAINST
+    return out, into and not out
+
+
+def _stance(stack: list[tuple[str, int, int, bool]]) -> tuple[int, bool]:
+    """(outside, inside) of text within open elements.
+
+    An article or main overrules names farther out, but not a list's name, nor
+    any within an article or main.
+    """
+    out, into, body = FOR, False, False
+    for tag, _, against, speaks in stack:
+        if speaks and tag in INSIDE_TAGS:
+            if not body and out == NAMED:
+                out = FOR
+            body = True
+        out, into = max(out, against), into or speaks
     return out, into and not out
 
 
@@ -104,7 +132,7 @@ def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order; broken markup is read as far as it goes."""
     found: list[Block] = []
     # Open elements: tag, number, outside, inside.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    stack: list[tuple[str, int, int, bool]] = [("", 0, FOR, False)]
     number, links, at, now = 0, 0, 0, None
     in_head = False
 
@@ -117,7 +145,7 @@ def blocks(page: str) -> list[Block]:
                 return
             host = [e for e in stack if e[0] not in INLINE]
             now = Block(
-                any(e[2] for e in stack), any(e[3] for e in stack), any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in host[-2:]),
+                *_stance(stack), any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in host[-2:]),
                 host[-2][1] if len(host) > 1 else 0, host[-3][1] if len(host) > 2 else 0,
             )
             found.append(now)
@@ -194,7 +222,7 @@ def _score(b: Block, t: str, has_inside: bool) -> float:
     w, n = WEIGHTS, len(t)
     score = w["bias"] + w["long"] * min(1.0, n / 120)
     if b.outside:
-        score += w["outside"]
+        score += w["outside" if b.outside == AGAINST else "named"]
     elif b.inside:
         score += w["inside"]
     elif has_inside:

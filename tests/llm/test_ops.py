@@ -43,6 +43,21 @@ def test_main_text(spark):
     assert [len(r.t) for r in df.select(htmltext.extract_text(F.col("html")).alias("t")).collect()] == [0, 249_999]
 
 
+def test_wrapper_names_do_not_lose_the_article():
+    two = f"<p>{ARTICLE}</p><p>{ARTICLE}</p>"
+    wraps = [
+        f"<div class='content with-sidebar'><article>{two}</article></div>", f"<main class='no-comments'>{two}</main>",
+        f"<div id='page' class='has-banner'>{two}</div>", f"<div class='search banner'><div><main>{two}</main></div></div>",
+        f"<form id=aspnet><article>{two}</article></form>", f"<div class='widget'><article>{two}<div class='share'>{ARTICLE}</div></article></div>",
+    ]
+    assert [htmltext.main_text(w) for w in wraps] == [f"{ARTICLE}\n{ARTICLE}"] * len(wraps)
+    aside = f"<div class='comments'><article><p>{ARTICLE} 3</p></article></div><div style='display:none'><article>{two}</article></div>"
+    assert htmltext.main_text(f"<article>{two}</article>{aside}") == f"{ARTICLE}\n{ARTICLE}"
+    # A name inside a run of content is for the cut to weigh; alone it is not content.
+    near = f"<p>{ARTICLE * 2}</p><p class='notice'>{ARTICLE * 2}</p><p>{ARTICLE * 2}</p>"
+    assert htmltext.main_text(f"<article>{near}</article>").count("\n") == 2
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(150):
