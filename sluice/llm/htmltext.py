@@ -30,6 +30,8 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their contents are never text of the page.
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title xmp noembed noframes".split())
+#: What may lie in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split()
 )
@@ -137,7 +139,8 @@ def blocks(page: str) -> list[Block]:
     in_head = False
 
     def text(raw: str) -> None:
-        nonlocal now
+        nonlocal now, in_head
+        in_head = in_head and (not raw or raw.isspace())
         if in_head or not raw:
             return
         if now is None:
@@ -173,7 +176,7 @@ def blocks(page: str) -> list[Block]:
             in_head = not close
             now = None
             continue
-        if tag == "body":
+        if not close and tag not in IN_HEAD:
             in_head = False
         if tag == "br":
             text(" ")
@@ -181,7 +184,8 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             if not close and not attrs.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                # Without its end tag only a script or a style has no text behind it.
+                at = end.end() if end else len(page) if tag in ("script", "style") else at
             if tag not in ("svg", "math"):
                 now = None if tag not in INLINE else now
             continue

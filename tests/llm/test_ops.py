@@ -58,6 +58,14 @@ def test_wrapper_names_do_not_lose_the_article():
     assert htmltext.main_text(f"<article>{near}</article>").count("\n") == 2
 
 
+def test_broken_markup_does_not_end_the_page():
+    assert htmltext.main_text(f"<head><title>x</title><meta a=b><p>{ARTICLE}") == ARTICLE
+    assert htmltext.main_text(f"<head><title>x</title></head><article><p>{ARTICLE}</article>") == ARTICLE
+    for tag in ("select", "object", "svg", "canvas", "iframe", "noscript"):
+        assert htmltext.main_text(f"<article><{tag}><p>{ARTICLE}</p></article>") == ARTICLE, tag
+    assert htmltext.main_text(f"<article><p>{ARTICLE}</p><script>if (a) <p>{ARTICLE}</article>") == ARTICLE
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(150):
