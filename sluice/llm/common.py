@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
@@ -14,14 +15,20 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Paths of the tables made since the innermost ``scratch`` began.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where the session names none (tests on one machine) is a local
-    folder made and set.
+    Where neither is set, a session on one machine gets a temporary folder; on a
+    cluster that would lose rows, so there it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         holder = _process_cache()
         root = getattr(holder, "shared_root", None)
         if root is None:
@@ -37,19 +44,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``materialise`` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/sluice-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no later plan reads."""
+    for df in tables:
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/sluice-" in parent:
+                path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+                path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is materialised inside goes at the end, but for the tables given to the function that this yields."""
+    outer, stay = _made[:], set()
+    del _made[:]
+    try:
+        yield lambda df: stay.update(f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in df.inputFiles()) or df
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for at in _made:
+            if at.rsplit("/", 1)[1] not in stay:
+                path = jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(conf).delete(path, True)
+        _made[:] = outer + [at for at in _made if at.rsplit("/", 1)[1] in stay]
 
 
 def words(text: Column) -> Column:

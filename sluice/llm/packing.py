@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _process_cache, materialise, release, small_batches
+from .common import _process_cache, fresh, materialise, release, small_batches
 
 CAPACITY, END_ID = 2_048, 0
 #: Lengths over this share of the capacity count as large.
@@ -29,8 +29,9 @@ LARGE = 1 / 6
 GROUPS = (32, 96, 256)
 #: Words that one worker remembers the ids of: for good, and until they are too many.
 CACHE_WORDS, LATE_WORDS = 250_000, 100_000
-#: Parts that equal lengths are ranked in, so that a common length is no hot key.
-RANK_PARTS = 64
+#: Pieces of one length that are ranked together: a length with more is ranked in
+#: as many parts as it takes, so that a common length is no hot key.
+RANK_ROWS = 100_000
 
 
 # --- tokens -----------------------------------------------------------------
@@ -58,13 +59,20 @@ _TAIL = re.compile(r"[.,;:!?](?=\s|$)(?<=[a-z\xdf-\xf6\xf8-\xff].)")
 _PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 
 
-def _words(text: str) -> list[str]:
-    """White-space pieces of a text with the same ids as the text, fewer of them distinct."""
+def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        pass
-    else:
+        return False
+    return True
+
+
+def _words(text: str) -> list[str]:
+    """White-space pieces of a text with the same ids as the text, fewer of them distinct.
+
+    Added tokens are matched before case is folded, so a text that may hold one stays as it is.
+    """
+    if "<|" not in text and _latin(text):
         text = _TAIL.sub(r" \g<0>", text.lower())
     for gap in "\n\t\r\x0b\x0c":
         text = text.replace(gap, " ")
@@ -361,29 +369,37 @@ def pack(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ("doc_id
     """Per piece of ``docs``: ``carry`` columns, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty documents; repeated rows are packed each; an empty
-    table gives no rows.
+    table gives no rows.  A piece that fills a sequence is one (its number is
+    negative); all others find their place by rank among those of their length.
     """
     small_batches(docs.sparkSession)
-    cut = materialise(pieces(docs, tokenizer_path, carry, capacity), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int")
-    cut = cut.withColumn("_part", part)
-    # At most capacity x RANK_PARTS rows, whatever the corpus: safe to collect and to broadcast.
-    tally = cut.groupBy("length", "_part").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_part"])
-    histogram = tally.groupby("length")["n"].sum()
-    table = place_table(best_plan({int(x): int(n) for x, n in histogram.items()}, capacity))
-    first_of = np.zeros((capacity + 1, RANK_PARTS), np.int64)
+    (mid, part, rank, at) = fresh(docs.select(*carry), "_mid", "_part", "_rank", "_at")
+    cut = materialise(pieces(docs, tokenizer_path, carry, capacity).withColumn(mid, F.monotonically_increasing_id()), "pieces")
+    out = [c for c in cut.columns if c != mid]
+    short = cut.where(F.col("length") < capacity)
+    # A row per length.
+    counts = {r["length"]: r["count"] for r in short.groupBy("length").count().collect()}
+    parts = np.array([-(-counts.get(x, 1) // RANK_ROWS) for x in range(capacity)], np.int64)
+    spread = F.pmod(F.col(mid), F.element_at(F.array(*[F.lit(int(n)) for n in parts]), (F.col("length") + 1).cast("int"))).cast("int")
+    short = short.withColumn(part, spread)
+    # A row per length and RANK_ROWS pieces of it.
+    tally = short.groupBy("length", F.col(part).alias("part")).agg(F.count("*").alias("n")).toPandas().sort_values(["length", "part"])
+    table = place_table(best_plan(counts, capacity))
+    base = np.cumsum(parts) - parts
+    first_of = np.zeros(int(parts.sum()), np.int64)
     if len(tally):
         before = tally.groupby("length")["n"].cumsum() - tally["n"]
-        first_of[tally["length"].to_numpy(), tally["_part"].to_numpy()] = before.to_numpy()
+        first_of[base[tally["length"].to_numpy()] + tally["part"].to_numpy()] = before.to_numpy()
     code = table[:, 0] << 44 | table[:, 1]
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, own: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    def place(length: pd.Series, own: pd.Series, nth: pd.Series) -> pd.DataFrame:
         x = length.to_numpy(np.int64)
-        r = first_of[x, own.to_numpy(np.int64)] + rank.to_numpy(np.int64)
+        r = first_of[base[x] + own.to_numpy(np.int64)] + nth.to_numpy(np.int64)
         row = table[np.searchsorted(code, x << 44 | r, side="right") - 1]
         return pd.DataFrame({"sequence_id": row[:, 2] + r - row[:, 1], "offset": row[:, 3]})
 
-    order = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = cut.withColumn("_rank", (F.row_number().over(order) - 1).cast("long"))
-    return ranked.withColumn("_at", place("length", "_part", "_rank")).select(*cut.drop("_part").columns, "_at.*")
+    order = Window.partitionBy("length", part).orderBy(mid)
+    ranked = short.withColumn(rank, (F.row_number().over(order) - 1).cast("long")).withColumn(at, place("length", part, rank))
+    full = cut.where(F.col("length") == capacity).select(*out, (-1 - F.col(mid)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.select(*out, f"{at}.*").unionByName(full)
