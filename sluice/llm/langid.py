@@ -19,9 +19,7 @@ from .common import _process_cache, fresh, release, small_batches
 
 #: Hashed trigram buckets: the model is languages x BUCKETS floats, whatever the corpus.
 BUCKETS = 1 << 15
-#: Languages that a model may have; more is an error, so the broadcast stays bounded.
-MAX_LANGUAGES = 1_000
-SMOOTHING, PENALTY, ROUNDS, MAX_SET = 0.5, 4.0, 12, 4
+SMOOTHING, PENALTY, ROUNDS = 0.5, 4.0, 12
 UNDETERMINED = "und"
 
 
@@ -56,8 +54,9 @@ def trigrams(text: str | None) -> np.ndarray:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
     """Log-likelihood table of every language in ``docs``: (names, matrix).
 
-    Rows with a null language or text are left out.  Counts cover all rows;
-    what comes to the driver is at most languages x BUCKETS sums.
+    Rows with a null language or text are left out; repeated rows count each.
+    Counts cover all rows; what comes to the driver is at most languages x
+    BUCKETS sums, as Arrow columns of 12 bytes a sum.
     """
 
     def count(batches):
@@ -84,16 +83,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
     )
-    # A row per language: bucket ids and counts side by side.
-    packed = rows.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))
-    got = packed.limit(MAX_LANGUAGES + 1).collect()
-    if len(got) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = sorted(r.lang for r in got)
+    got = rows.toArrow().combine_chunks()
+    lang = got.column("lang").combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.string()).dictionary_encode()
+    found = lang.dictionary.to_pylist()
+    names = sorted(found)
     table = np.full((BUCKETS, len(names)), SMOOTHING, np.float64)
-    for r in got:
-        pairs = np.array([tuple(x) for x in r.c], np.int64)
-        table[pairs[:, 0], names.index(r.lang)] += pairs[:, 1]
+    if names:
+        column = np.array([names.index(x) for x in found])[lang.indices.to_numpy()]
+        table[got.column("bucket").to_numpy(), column] += got.column("n").to_numpy()
     return names, (table / table.sum(axis=0, keepdims=True)).astype(np.float32)
 
 
@@ -119,7 +116,8 @@ def infer(g: np.ndarray, table: np.ndarray):
     order = [first, *[int(x) for x in np.argsort(-pi, kind="stable") if x != first]]
     cost = PENALTY * 0.5 * np.log(total + 1)
     best = ([first], np.ones(1), float(single[first]) - cost)
-    for m in range(2, min(MAX_SET, len(order)) + 1):
+    # The set grows, largest share first, until a further language no longer pays.
+    for m in range(2, len(order) + 1):
         if pi[order[m - 1]] * total < 1:
             break
         w, ll = _mixture(p[:, order[:m]], c)
