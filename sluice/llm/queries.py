@@ -16,24 +16,27 @@ URL_RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Canonical URLs of listed sites, consulted where no rule fits.
-LISTED_URLS = [
-    ("ads-track.example.com", ""),
-    ("spam-farm.example.org", ""),
-    ("casino-win.example.net", ""),
-    ("adult-x.example.com", ""),
-    ("cheap-pills.example.net", ""),
-    ("free-bets.example.net", ""),
-]
+#: Sites that block where no rule fits, under each of the suffixes.
+LISTED_SITES = ["ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets"]
+LISTED_SUFFIXES = ["example.com", "example.org", "example.net"]
+#: Made-up entries beside them (hosts, and paths of a host), so that the filter has a list's real size.
+LISTED_MORE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def url_list(spark: SparkSession) -> DataFrame:
-    rows = [(h, p, v, True) for h, p, v in URL_RULES] + [(h, p, "block", False) for h, p in LISTED_URLS]
-    return spark.createDataFrame(rows, "host string, path string, verdict string, is_rule boolean")
+def url_list(spark: SparkSession, more: int = LISTED_MORE) -> DataFrame:
+    """Rules and listed URLs: host, path, verdict, is_rule."""
+    rows = [(h, p, v, True) for h, p, v in URL_RULES] + [(f"{s}.{d}", "", "block", False) for s in LISTED_SITES for d in LISTED_SUFFIXES]
+    named = spark.createDataFrame(rows, "host string, path string, verdict string, is_rule boolean")
+    i = F.col("id")
+    made = spark.range(more).select(
+        F.concat(F.lit("listed-"), (i % (more // 2)).cast("string"), F.lit(".example")).alias("host"),
+        F.when(i < more // 2, F.lit("")).otherwise(F.concat(F.lit("/p/"), i.cast("string"))).alias("path"), F.lit("block").alias("verdict"), F.lit(False).alias("is_rule"),
+    )
+    return named.unionByName(made)
 
 
 def op1_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,21 +133,21 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_maintext, op2_topk, op3_langid, op4_fingerprint, op5_tokens, op6_neardup, op7_mix, op8_urlfilter, op9_packing, op10_repeats)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in URL_RULES)
-_LISTED_SQL = ", ".join(f"('{h}', '{p}', 'block', false)" for h, p in LISTED_URLS)
+_LISTED_SQL = ", ".join(f"('{s}.{d}', '', 'block', false)" for s in LISTED_SITES for d in LISTED_SUFFIXES)
 
 ORACLE_SQL = {
     "op2_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
             FROM embeddings
             WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+            SELECT q.vec_id AS query_id, q.n AS n, c.vec_id AS vec_id,
                    CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
             FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
         ), r AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+            SELECT *, row_number() OVER (PARTITION BY query_id, n ORDER BY score DESC, vec_id) AS rank FROM s
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
     """,
@@ -193,9 +196,19 @@ ORACLE_SQL = {
                    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
             FROM u
-        ), l(h, q, v, is_rule) AS (VALUES {_RULES_SQL}, {_LISTED_SQL}), f AS (
-            SELECT p.page_id, l.*, row_number() OVER (PARTITION BY p.page_id ORDER BY is_rule DESC, length(h) + length(q) DESC, length(h) DESC) AS n
-            FROM p JOIN l ON (p.host = l.h OR ends_with(p.host, '.' || l.h)) AND starts_with(p.path, l.q)
+        ), named(h, q, v, is_rule) AS (VALUES {_RULES_SQL}, {_LISTED_SQL}), made AS (
+            SELECT 'listed-' || (i % {LISTED_MORE // 2}) || '.example' AS h, CASE WHEN i < {LISTED_MORE // 2} THEN '' ELSE '/p/' || i END AS q,
+                   'block' AS v, false AS is_rule
+            FROM range({LISTED_MORE}) AS r(i)
+        ), l AS (
+            SELECT * FROM named UNION ALL SELECT * FROM made
+        ), ends AS (
+            -- Every end of a host that begins at a label, so that the list is met by equality.
+            SELECT DISTINCT host, array_to_string(string_split(host, '.')[k:], '.') AS h
+            FROM (SELECT DISTINCT host FROM p), range(1, 1000) AS r(k) WHERE k <= len(string_split(host, '.'))
+        ), f AS (
+            SELECT p.page_id, l.*, row_number() OVER (PARTITION BY p.page_id ORDER BY is_rule DESC, length(l.h) + length(q) DESC, length(l.h) DESC) AS n
+            FROM p JOIN ends ON p.host = ends.host JOIN l ON ends.h = l.h AND starts_with(p.path, l.q)
         )
         SELECT p.page_id, p.host, p.path, CASE WHEN f.is_rule THEN f.h || f.q END AS rule, coalesce(f.v, 'allow') AS verdict
         FROM p LEFT JOIN f ON p.page_id = f.page_id AND f.n = 1

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 #: Bits per listed URL, bits set per key, most filter bytes (beyond that the
 #: filter has fewer bits a key: more false positives, the same result).
-BITS_PER_KEY, PROBES, MAX_BYTES = 16, 8, 256 << 20
+BITS_PER_KEY, PROBES, MAX_BYTES = 16, 8, 32 << 20
+#: A list of at most this many characters in all is broadcast to the exact join.
+BROADCAST_CHARS = 16 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -69,13 +71,13 @@ class BlockedBloom:
         return (self.words[self._blocks(h)] & m) == m
 
 
-def build_filter(listed: DataFrame) -> tuple[BlockedBloom, list[int]]:
-    """The filter over ``listed`` (host, path) and the path lengths that occur.
+def build_filter(listed: DataFrame) -> tuple[BlockedBloom, list[tuple[int, int]], int]:
+    """The filter over ``listed`` (host, path), the (host labels, path length) pairs that occur, and the list's characters.
 
     Partial filters are made per partition and or-ed block by block; only
-    filter words (MAX_BYTES at most) and distinct lengths reach the driver.
+    filter words (MAX_BYTES at most) and distinct pairs reach the driver.
     """
-    n = listed.count()
+    n, chars = listed.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0))).first()
     shape = BlockedBloom(n)
 
     def parts(batches):
@@ -88,19 +90,21 @@ def build_filter(listed: DataFrame) -> tuple[BlockedBloom, list[int]]:
     rows = listed.select("host", "path").mapInPandas(parts, "block long, word long")
     got = rows.groupBy("block").agg(F.bit_or("word").alias("word")).toPandas()
     shape.words[got["block"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64).astype(np.uint64)
-    lengths = [r.n for r in listed.select(F.length("path").alias("n")).distinct().collect()]
-    return shape, sorted(lengths)
-
-
-def candidate_keys(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every key under which a URL could be listed."""
-    hosts, out = [host], []
-    while "." in host:
-        host = host.split(".", 1)[1]
-        hosts.append(host)
-    for n in lengths:
-        if n <= len(path):
-            out += [h + path[:n] for h in hosts]
+    pairs = listed.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n")).distinct().collect()
+    return shape, sorted((r.labels, r.n) for r in pairs), chars
+
+
+def candidate_keys(host: str, path: str, shapes: list[tuple[int, int]]) -> list[str]:
+    """Every key under which a URL could be listed: only host ends of as many labels as some listed host has.
+
+    So a host of any length costs no more than the list's own shapes.
+    """
+    total, ends, out = host.count(".") + 1, {}, []
+    for labels, n in shapes:
+        if labels <= total and n <= len(path):
+            if labels not in ends:
+                ends[labels] = host if labels == total else ".".join(host.rsplit(".", labels)[1:])
+            out.append(ends[labels] + path[:n])
     return out
 
 
@@ -112,13 +116,18 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
     length, the longer host).  Where no rule fits, a listed URL blocks; what
     nothing covers is allowed.  A null URL or one without ``://`` has an empty
     host and path and no rule.  Repeated rows and extra columns stay; columns
-    named host, path, rule or verdict are replaced.
+    named host, path, rule or verdict are replaced.  Hosts and paths may be of
+    any length.  An empty list allows all.
+
+    Pages that share a host meet one row of the list.  A list of up to
+    BROADCAST_CHARS characters is sent to every task; a longer one is joined by
+    a shuffle, whose common keys adaptive execution splits.
     """
-    bloom, lengths = build_filter(listed)
+    bloom, shapes, chars = build_filter(listed)
 
     @F.pandas_udf("array<string>")
     def passing(host: pd.Series, path: pd.Series) -> pd.Series:
-        keys = [candidate_keys(h, p, lengths) if h else [] for h, p in zip(host, path)]
+        keys = [candidate_keys(h, p, shapes) if h else [] for h, p in zip(host, path)]
         hit = bloom.might_hold([k for ks in keys for k in ks])
         out, at = [], 0
         for ks in keys:
@@ -144,6 +153,8 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
             F.col("verdict"),
         ).alias("_e"),
     ).groupBy("_key").agg(F.max("_e").alias("_e"))
+    if chars <= BROADCAST_CHARS:
+        entries = F.broadcast(entries)
     best = keyed.join(entries, "_key", "left").groupBy("_row").agg(
         F.first("_page").alias("_page"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("_e").alias("_e")
     )
