@@ -9,17 +9,17 @@ starts anywhere else in the corpus.
    suffixes need to be sorted among those of one anchor hash only.  Successive
    strings with one anchor form a block.
 2. Prune.  An anchor hash seen once needs no sorting; if all blocks of a hash
-   are the same bytes (and more than one), all their strings are repeats.
+   are the same (and more than one), all their strings are repeats.  Blocks are
+   the same if two 64-bit hashes of their bytes agree.
 3. Sort.  The suffixes of the distinct blocks of a hash are ordered by
    multikey quicksort on 8-byte symbols down to a shallow depth; groups that
    are still equal there are ordered by blind tries.  A leaf with two suffixes,
-   or one whose block occurs twice, is a repeat.
+   or one whose block occurs twice, is a repeat.  Where a hash has too many
+   blocks for a task, its strings are dealt out by their bytes and equal ones counted.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,8 +32,8 @@ from .common import _process_cache, materialise, release, shuffle_partitions, sm
 LENGTH, GRAM = 200, 48
 #: Bytes ordered by multikey quicksort before the blind tries take over.
 SHALLOW = 32
-#: Blocks of one anchor hash that one task sorts; hashes with more are counted
-#: string by string with a map-side aggregate instead, to the same result.
+#: Blocks of one anchor hash that one task sorts.  A hash with more is dealt out by
+#: its strings: offset to the anchor and bytes, equal ones brought together on the map side.
 HOT_BLOCKS = 2_048
 
 _MASK = (1 << 64) - 1
@@ -141,41 +141,73 @@ def blind_trie(strings: list[bytes]) -> tuple[list[int], list[int]]:
     return order, lcp
 
 
+def quicksort_to_depth(symbol: np.ndarray, starts: np.ndarray, group: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of all groups side by side, eight bytes a symbol, down to ``shallow`` bytes.
+
+    Each pass splits every open group three ways about its middle element's symbol: the
+    smaller and the larger go on at the same depth, the equal eight bytes deeper.
+    Returns (order, first): ``first`` marks where a group of suffixes equal to that depth begins.
+    """
+    n = len(starts)
+    order, first = np.arange(n), np.r_[True, group[1:] != group[:-1]]
+    depth = np.zeros(n, np.int64)
+    at = np.arange(n)
+    while len(at):
+        # ``at``: positions of open groups, whole and in order.
+        head = np.flatnonzero(first[at])
+        size = np.diff(np.r_[head, len(at)])
+        wanted = (size > 1) & (depth[at[head]] < shallow)
+        at = at[np.repeat(wanted, size)]
+        if not len(at):
+            break
+        size = size[wanted]
+        head = np.cumsum(size) - size
+        items, deep = order[at], depth[at]
+        word = symbol[starts[items] + deep]
+        pivot = np.repeat(word[head + size // 2], size)
+        less, same = word < pivot, word == pivot
+        n_less, n_same = np.add.reduceat(less, head, dtype=np.int64), np.add.reduceat(same, head, dtype=np.int64)
+        upto_less, upto_same = np.cumsum(less), np.cumsum(same)
+        base = np.repeat(np.stack([head, upto_less[head] - less[head], upto_same[head] - same[head], n_less, n_same]), size, axis=1)
+        before_less, before_same = upto_less - less - base[1], upto_same - same - base[2]
+        before = np.arange(len(at)) - base[0]
+        to = base[0] + np.where(less, before_less, np.where(same, base[3] + before_same, base[3] + base[4] + before - before_less - before_same))
+        order[at[to]] = items
+        depth[at[to]] = deep + 8 * same
+        own = at[head]
+        for cut in (n_less, n_less + n_same):
+            inside = cut < size
+            first[own[inside] + cut[inside]] = True
+    return order, first
+
+
 def deep_shallow(buf: bytes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW):
     """Sort suffixes of ``buf`` cut to ``length``, each group by itself.
 
     ``group``: ascending group numbers of ``starts``.  Returns (order, lcp):
     order indexes ``starts``; lcp is the common prefix with the one before in
-    the same group, 0 for a group's first.  Multikey quicksort takes eight
-    bytes at a time down to ``shallow``; blind tries order what is equal there.
+    the same group, 0 for a group's first.  Multikey quicksort orders them down to
+    ``shallow`` bytes; blind tries order what is equal there.
     """
     n = len(starts)
-    order, lcp = np.arange(n), np.zeros(n, np.int64)
     if not n:
-        return order, lcp
+        return np.arange(0), np.zeros(0, np.int64)
     raw = np.frombuffer(buf + bytes(8), np.uint8).astype(np.uint64)
     symbol = np.zeros(len(buf), np.uint64)
     for j in range(8):
         symbol |= raw[j : j + len(buf)] << np.uint64(8 * (7 - j))
-    gid = np.asarray(group).copy()
-    first = np.r_[True, gid[1:] != gid[:-1]]
+    group = np.asarray(group)
+    order, first = quicksort_to_depth(symbol, starts, group, shallow)
+    lcp = np.zeros(n, np.int64)
+    own = group[order]
+    open_ = np.flatnonzero(np.r_[False, own[1:] == own[:-1]])
     for depth in range(0, shallow, 8):
-        # Positions in groups of two or more.
-        number = np.cumsum(first) - 1
-        live = np.flatnonzero(np.bincount(number)[number] > 1)
-        if not len(live):
-            return order, lcp
-        items, own = order[live], number[live]
-        word = symbol[starts[items] + depth]
-        perm = np.lexsort((word, own))
-        order[live], word = items[perm], word[perm]
-        split = np.flatnonzero((own[1:] == own[:-1]) & (word[1:] != word[:-1])) + 1
-        apart = word[split] ^ word[split - 1]
-        equal = np.zeros(len(split), np.int64)
-        for b in range(1, 8):
+        apart = symbol[starts[order[open_]] + depth] ^ symbol[starts[order[open_ - 1]] + depth]
+        equal = np.zeros(len(open_), np.int64)
+        for b in range(1, 9):
             equal += (apart >> np.uint64(8 * (8 - b))) == 0
-        first[live[split]] = True
-        lcp[live[split]] = depth + equal
+        lcp[open_] += equal
+        open_ = open_[equal == 8]
     cut = np.flatnonzero(first)
     size = np.diff(np.r_[cut, n])
     for s, k in zip(cut[size > 1].tolist(), size[size > 1].tolist()):
@@ -305,7 +337,7 @@ def _lists(column) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _contexts(length: int):
-    """The bytes of chosen blocks; for hot hashes a digest of every string."""
+    """The bytes of chosen blocks; for hot hashes those of every string, with its offset to the anchor."""
 
     def run(batches):
         for batch in batches:
@@ -318,8 +350,7 @@ def _contexts(length: int):
                         p, q = int(first[k]), int(last[k])
                         if hot[k]:
                             for x in range(p, q + 1):
-                                w = hashlib.blake2b(data[x : x + length], digest_size=16).digest()
-                                for name, v in zip(out, (h[k], blk[k], n[k], p + off[k] - x, x - p, w)):
+                                for name, v in zip(out, (h[k], blk[k], n[k], p + off[k] - x, x - p, data[x : x + length])):
                                     out[name].append(v)
                         else:
                             for name, v in zip(out, (h[k], blk[k], n[k], -1, 0, data[p : q + length])):
@@ -335,7 +366,7 @@ def repeated_ranges(src: DataFrame, length: int = LENGTH, hot_blocks: int = HOT_
     """(key, spans) for each ``key`` of ``src`` (key binary, text) with repeats.
 
     spans: array of (first, last) string starts, unordered, may overlap.  Equal
-    keys stand for equal texts.
+    keys stand for equal texts.  ``hot_blocks`` does not change the result.
     """
     spark = src.sparkSession
     marks = materialise(src.select("key", "text").mapInArrow(
