@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, materialise
+from .common import count_words, discard, materialise
 
 #: A document is taken at most this often, a source at most this many times over.
 MOST_COPIES = 3
 #: Pieces that each size class of a source is cut into, so that no task gets a hot source whole.
 SALTS_HEX = 2
-#: Random offsets that a source may choose from.
+#: Random offsets that a source may choose from by default.  With one, a source of some
+#: thirty documents can miss its target by a tenth and more; see the README.
 DRAWS = 16
 
 
@@ -54,14 +55,16 @@ def offset(source: Column, draw: int = 0, seed: int = 7) -> Column:
     return (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))).cast("decimal(20,15)")
 
 
-def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, draws: int = DRAWS) -> DataFrame:
     """doc_id, source, digest (of the text), size, source_size, target and copies of every row; no texts.
 
-    Of ``DRAWS`` random offsets a source uses the one whose words come nearest
+    Of ``draws`` random offsets a source uses the one whose words come nearest
     its target (ties: the first), so small sources with a few long documents
-    stay near it too.
+    stay near it too; with 1 it is plain systematic sampling.  Null and empty
+    texts, null sources, repeated rows and empty tables are as in ``mix``.
     """
-    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("digest"), count_words(F.col("text")).alias("size"))
+    # Texts are read and counted once.
+    rows = materialise(docs.select("doc_id", "source", F.xxhash64("text").alias("digest"), count_words(F.col("text")).alias("size")), "sizes")
     targets = source_targets(rows.select("source", "size"), weights)
     # Sizes in binary: length and leading bits make ordered classes.
     bits = F.bin(F.col("size"))
@@ -89,21 +92,23 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7)
         placed.select("doc_id", "source", "digest", "size", "source_size", "target", "_x", (F.col("_base") + F.col("_in")).cast("decimal(38,15)").alias("_end")), "placed"
     )
     crossed = lambda u: (F.floor(F.col("_end") + u) - F.floor(F.col("_end") - F.col("_x") + u)).cast("long")
+    discard(rows)
     drawn = placed.groupBy("source").agg(
-        F.first("target").alias("t"), *[F.sum(crossed(offset(F.col("source"), d, seed)) * F.col("size")).alias(f"w{d}") for d in range(DRAWS)]
+        F.first("target").alias("t"), *[F.sum(crossed(offset(F.col("source"), d, seed)) * F.col("size")).alias(f"w{d}") for d in range(draws)]
     )
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{d}") - F.col("t")).alias("off"), F.lit(d).alias("d"), offset(F.col("source"), d, seed).alias("u")) for d in range(DRAWS)]))
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{d}") - F.col("t")).alias("off"), F.lit(d).alias("d"), offset(F.col("source"), d, seed).alias("u")) for d in range(draws)]))
     chosen = drawn.select(F.col("source").alias("_s"), nearest["u"].alias("_u"))
     out = placed.join(chosen, F.col("source").eqNullSafe(F.col("_s")))
     return out.select("doc_id", "source", "digest", "size", "source_size", "target", crossed(F.col("_u")).alias("copies"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, draws: int = DRAWS) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target and copies.
 
     A null text has size 0 and a null source is a source of its own, last in
     order.  Documents of size 0 are never taken.  Repeated rows are documents
-    of their own.  Columns of the four names are replaced.
+    of their own.  Texts may be of any length.  Columns of the four names are
+    replaced.
 
     Texts are shuffled once, to meet their row of ``shares``; rows that share
     an id are told apart by source, size and digest, and alike ones by number.
@@ -116,5 +121,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) ->
     ident = F.coalesce(F.col("doc_id").cast("long"), F.col("digest"))
     nth = F.row_number().over(Window.partitionBy("_id").orderBy("doc_id", "source", "size", "digest"))
     number = lambda df: df.withColumn("_id", ident).withColumn("_nth", nth)
-    took = number(shares(docs, weights, seed)).select("_id", "_nth", "source_size", "target", "copies")
+    took = number(shares(docs, weights, seed, draws)).select("_id", "_nth", "source_size", "target", "copies")
     return number(rows).join(took, ["_id", "_nth"]).select("_row.*", "size", "source_size", "target", "copies")
