@@ -9,9 +9,9 @@ sums above them are updated.
 from __future__ import annotations
 
 import base64
-import re
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +19,16 @@ from .common import _process_cache, release
 
 #: Characters that a leaf is aimed at.
 LEAF = 1_024
-#: White space after anything else: pre-tokens never reach across its start.
-_SAFE = re.compile(r"(?<=\S)[ \n]")
+#: Where pre-tokens never reach across: before white space that follows anything else,
+#: and between a letter, a number and any other mark, but for an apostrophe and the
+#: letters behind it, which may be one pre-token.  Control characters make no safe place.
+_SAFE = regex.compile(
+    r"(?<=\S)[ \n]"
+    r"|(?<=\p{L})(?=[\p{N}]|[^\s\p{L}\p{N}\p{C}])"
+    r"|(?<=\p{N})(?=[\p{L}]|[^\s\p{L}\p{N}\p{C}])"
+    r"|(?<=[^\s\p{L}\p{N}\p{C}])(?=\p{N})"
+    r"|(?<=[^\s\p{L}\p{N}\p{C}'])(?=\p{L})"
+)
 
 
 def _encoder(path: str, pattern: str):
@@ -37,7 +45,10 @@ def _encoder(path: str, pattern: str):
 
 
 def leaves_of(text: str, size: int = LEAF) -> list[str]:
-    """Cut a text at safe places into leaves of about ``size`` characters."""
+    """Cut a text at safe places into leaves of about ``size`` characters.
+
+    A run of letters alone (or of numbers, or of marks) is one pre-token and stays whole.
+    """
     out, at = [], 0
     while len(text) - at > size:
         m = _SAFE.search(text, at + size)
@@ -130,7 +141,7 @@ class TokenTree:
     def _safe(before: str, after: str) -> bool:
         if not before or not after:
             return not before and not after
-        return after in " \n" and not before.isspace()
+        return _SAFE.match(before + after, 1) is not None
 
 
 def count_tokens(text: Column, edits: Column, ranks_path: str, pattern: str) -> Column:
@@ -139,7 +150,7 @@ def count_tokens(text: Column, edits: Column, ranks_path: str, pattern: str) ->
     ``edits``: array<struct<start int, end int, new string>>, applied in order
     to the whole text (positions in code points, of the text as edited so far;
     out of range: moved into it; a null field: 0, 0 or empty; a null array: no
-    edit).  A null text is empty.
+    edit).  A null text is empty; repeated rows are counted each; an empty table gives no rows.
     """
 
     def run(texts: pd.Series, changes: pd.Series) -> pd.DataFrame:
