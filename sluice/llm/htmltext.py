@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,6 +57,11 @@ OUTSIDE_NAMES = frozenset(
 LIST_NAMES = frozenset(
     "related recommend recommended recommendations sidebar sidenav aside comment comments commentlist disqus reply replies respond discussion outbrain taboola".split()
 )
+#: What a name adds to an outside word to say where or how it stands.
+PLACING_NAMES = frozenset(
+    """area bar block bottom box button buttons center col column container content global group head holder inner item items
+    left link links list main one outer panel primary right row secondary section site slot text top two unit wrap wrapper""".split()
+)
 #: A class that tells a page's state ("has-sidebar", "noComments"), not what the element is.
 _STATE = re.compile(r"(?:has|with|without|no|is|not)(?:[-_]|(?=[A-Z]))")
 INSIDE_TAGS = frozenset(("article", "main"))
@@ -64,32 +70,50 @@ _BOILER = re.compile(
     r"©|all rights reserved|cookies?\b|privacy policy|terms of (?:use|service)|subscribe|sign up|log ?in|read more|share this|click here|advertis", re.I
 )
 
-#: Classifier weights: per feature, towards content.
-WEIGHTS = {"bias": -0.6, "inside": 4.0, "elsewhere": -2.5, "outside": -14.0, "named": -4.5, "long": 2.2, "sentence": 0.7, "links": -3.0, "heading": 0.4, "phrase": -1.0}
-#: Smoothness: blocks in a row under one parent, in a row elsewhere, next under the same parent, next under the same grandparent.
-ADJACENT_NEAR, ADJACENT_FAR, SAME_PARENT, SAME_GRANDPARENT = 0.8, 0.2, 0.5, 0.2
+#: Classifier weights as log-odds towards content.  What an element is (a footer, hidden) outweighs
+#: all smoothness that a block can have; every other feature is of smoothness' own order.
+WEIGHTS = {
+    "bias": -0.6, "long": 2.2, "sentence": 0.7, "links": -3.0, "heading": 0.4, "phrase": -1.0,
+    "inside": 1.6, "elsewhere": -2.5, "hinted": -1.6, "named": -4.5, "against": -9.0,
+}
+#: Smoothness.  Blocks in a row: of one parent and kind (tag and class), of one parent, any; and a block and
+#: the last one before it of the same parent and kind, of the same grandparent.
+ROW_KIND, ROW_PARENT, ROW, SAME_KIND, SAME_GRANDPARENT = 1.2, 0.4, 0.2, 0.8, 0.2
 
 
 class Block:
-    __slots__ = ("parts", "linked", "size", "outside", "inside", "heading", "parent", "grandparent")
+    __slots__ = ("parts", "linked", "size", "outside", "inside", "heading", "parent", "grandparent", "kind")
 
-    def __init__(self, outside, inside, heading, parent, grandparent):
+    def __init__(self, outside, inside, heading, parent, grandparent, kind):
         self.parts, self.linked, self.size = [], 0, 0
-        self.outside, self.inside, self.heading, self.parent, self.grandparent = outside, inside, heading, parent, grandparent
+        self.outside, self.inside, self.heading, self.parent, self.grandparent, self.kind = outside, inside, heading, parent, grandparent, kind
+
+
+def _name_words(name: str) -> list[str]:
+    return [w.lower() for w in _WORDS.findall(name)]
 
 
-def _names(value: str) -> set[str]:
-    return {w.lower() for w in _WORDS.findall(value)} | {w for w in re.split(r"[^a-z0-9]+", value.lower()) if w}
+#: How an element speaks against its text: not; by a word in a longer name; by its name, or as a form; by the
+#: name of a list; by what it is.
+FOR, HINTED, NAMED, LISTED, AGAINST = range(5)
 
 
-#: How an element speaks against its text: not; by its name, or as a form; by the name of a list; by what it is.
-FOR, NAMED, LISTED, AGAINST = range(4)
+def _named(words: list[str]) -> int:
+    """What a class or id says: a name counts in full if it ends in an outside word or only adds where or how to one."""
+    known = [w for w in words if w in OUTSIDE_NAMES]
+    if not known:
+        return FOR
+    if words[0] in LIST_NAMES or words[-1] in LIST_NAMES:
+        return LISTED
+    if words[-1] in OUTSIDE_NAMES or (words[0] in OUTSIDE_NAMES and all(w in OUTSIDE_NAMES or w in PLACING_NAMES for w in words)):
+        return NAMED
+    return HINTED
 
 
-def _signals(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
-    """(outside, inside): how does the element speak against its text, and does it speak for it?"""
+def _signals(tag: str, attrs: str, in_article: bool) -> tuple[int, bool, str]:
+    """(outside, inside, class): how does the element speak against its text, and does it speak for it?"""
     out = NAMED if tag == "form" else AGAINST if tag in OUTSIDE_TAGS or (tag == "header" and not in_article) else FOR
-    into = tag in INSIDE_TAGS
+    into, own = tag in INSIDE_TAGS, ""
     if attrs and tag not in ("html", "body"):
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
@@ -98,12 +122,14 @@ def _signals(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
                 out = AGAINST if role in OUTSIDE_ROLES else out
                 into |= role in ("main", "article")
             elif name in ("class", "id"):
-                words = _names(" ".join(w for w in value.split() if not _STATE.match(w)))
-                if words & OUTSIDE_NAMES:
-                    out = max(out, LISTED if words & LIST_NAMES else NAMED)
-                into |= bool(words & INSIDE_NAMES)
-                if "header" in words and tag != "h1" and not in_article:
-                    out = max(out, NAMED)
+                own = value if name == "class" else own
+                for one in value.split():
+                    if _STATE.match(one) or not (words := _name_words(one)):
+                        continue
+                    out = max(out, _named(words))
+                    into |= bool(INSIDE_NAMES.intersection(words)) or one.lower() in INSIDE_NAMES
+                    if "header" in words and tag != "h1" and not in_article:
+                        out = max(out, NAMED)
             elif name == "itemprop":
                 out = max(out, LISTED if value.lower() == "comment" else FOR)
                 into |= value.lower() == "articlebody"
@@ -111,31 +137,43 @@ def _signals(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
                 out = AGAINST
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 out = AGAINST
-    return out, into and not out
+    return out, into and out <= HINTED, own
 
 
-def _stance(stack: list[tuple[str, int, int, bool]]) -> tuple[int, bool]:
-    """(outside, inside) of text within open elements.
+class _Open:
+    """An open element, with all that its text needs to know of those around it."""
 
-    An article or main overrules names farther out, but not a list's name, nor
-    any within an article or main.
-    """
-    out, into, body = FOR, False, False
-    for tag, _, against, speaks in stack:
+    __slots__ = ("tag", "number", "out", "into", "body", "in_article", "links", "hosts", "kinds")
+
+    def __init__(self, tag: str, number: int, attrs: str, around: _Open | None):
+        self.tag, self.number = tag, number
+        if around is None:
+            self.out, self.into, self.body, self.in_article, self.links = FOR, False, False, False, 0
+            self.hosts, self.kinds = (0, 0, 0), (("", ""), ("", ""))
+            return
+        against, speaks, own = _signals(tag, attrs, around.in_article)
+        out, self.body = around.out, around.body
         if speaks and tag in INSIDE_TAGS:
-            if not body and out == NAMED:
-                out = FOR
-            body = True
-        out, into = max(out, against), into or speaks
-    return out, into and not out
+            # An article or main overrules names farther out, but not a list's name, nor any within an article or main.
+            out = FOR if not self.body and out in (HINTED, NAMED) else out
+            self.body = True
+        self.out, self.into = max(out, against), around.into or speaks
+        self.in_article = around.in_article or tag == "article"
+        self.links = around.links + (tag == "a")
+        if tag in INLINE:
+            self.hosts, self.kinds = around.hosts, around.kinds
+        else:
+            self.hosts, self.kinds = (number, *around.hosts[:2]), ((tag, own), around.kinds[0])
+
+
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order; broken markup is read as far as it goes."""
     found: list[Block] = []
-    # Open elements: tag, number, outside, inside.
-    stack: list[tuple[str, int, int, bool]] = [("", 0, FOR, False)]
-    number, links, at, now = 0, 0, 0, None
+    stack, is_open = [_Open("", 0, "", None)], Counter()
+    number, at, now = 0, 0, None
     in_head = False
 
     def text(raw: str) -> None:
@@ -143,21 +181,31 @@ def blocks(page: str) -> list[Block]:
         in_head = in_head and (not raw or raw.isspace())
         if in_head or not raw:
             return
+        top = stack[-1]
         if now is None:
             if raw.isspace():
                 return
-            host = [e for e in stack if e[0] not in INLINE]
-            now = Block(
-                *_stance(stack), any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in host[-2:]),
-                host[-2][1] if len(host) > 1 else 0, host[-3][1] if len(host) > 2 else 0,
-            )
+            heading = top.kinds[0][0] in _HEADINGS or top.kinds[1][0] in _HEADINGS
+            now = Block(top.out, top.into and top.out <= HINTED, heading, top.hosts[1], top.hosts[2], top.kinds[0])
             found.append(now)
         now.parts.append(raw)
         n = len(raw)
         now.size += n
-        if links:
+        if top.links:
             now.linked += n
 
+    def end(ends, barrier) -> None:
+        """Close the innermost of ``ends``, if no barrier is met first."""
+        if not any(is_open[t] for t in ends):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in ends:
+                is_open.subtract(e.tag for e in stack[i:])
+                del stack[i:]
+                return
+            if barrier and stack[i].tag in SCOPE:
+                return
+
     while True:
         m = _TAG.search(page, at)
         if m is None:
@@ -183,38 +231,26 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW:
             if not close and not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 # Without its end tag only a script or a style has no text behind it.
-                at = end.end() if end else len(page) if tag in ("script", "style") else at
+                at = stop.end() if stop else len(page) if tag in ("script", "style") else at
             if tag not in ("svg", "math"):
                 now = None if tag not in INLINE else now
             continue
         if tag not in INLINE:
             now = None
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    links -= sum(e[0] == "a" for e in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE and tag in INLINE:
-                    break
+            end((tag,), tag in INLINE)
             continue
-        ends = CLOSES.get(tag, ()) if tag in CLOSES else () if tag in INLINE else ("p",)
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    links -= sum(e[0] == "a" for e in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE:
-                    break
+        if tag in CLOSES:
+            end(CLOSES[tag], True)
+        elif tag not in INLINE:
+            end(("p",), True)
         if tag in VOID:
             continue
         number += 1
-        out, into = _signals(tag, attrs, any(e[0] == "article" for e in stack))
-        stack.append((tag, number, out, into))
-        links += tag == "a"
+        is_open[tag] += 1
+        stack.append(_Open(tag, number, attrs, stack[-1]))
     return found
 
 
@@ -226,10 +262,10 @@ def _score(b: Block, t: str, has_inside: bool) -> float:
     w, n = WEIGHTS, len(t)
     score = w["bias"] + w["long"] * min(1.0, n / 120)
     if b.outside:
-        score += w["outside" if b.outside == AGAINST else "named"]
-    elif b.inside:
+        score += w["against" if b.outside == AGAINST else "hinted" if b.outside == HINTED else "named"]
+    if b.inside:
         score += w["inside"]
-    elif has_inside:
+    elif has_inside and b.outside <= HINTED:
         score += w["elsewhere"]
     if t[-1] in ".!?…:;\"'”’»)":
         score += w["sentence"]
@@ -309,30 +345,36 @@ def min_cut(n: int, towards: list[int], against: list[int], edges: list[tuple[in
                 break
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: its content blocks, joined by a line feed."""
-    if not page:
-        return ""
+def labelled(page: str) -> list[tuple[str, float, bool]]:
+    """(text, classifier's score, is it content by the cut) of each block of a page that has text."""
     pairs = [(b, t) for b in blocks(page) if (t := _clean(b))]
-    if not pairs:
-        return ""
-    has_inside = any(b.inside and not b.outside for b, _ in pairs)
+    has_inside = any(b.inside for b, _ in pairs)
     scores = [round(100 * _score(b, t, has_inside)) for b, t in pairs]
-    edges, last_parent, last_grand = [], {}, {}
+    edges, last_kind, last_grand = [], {}, {}
     for i, (b, _) in enumerate(pairs):
         if i:
-            near = b.parent == pairs[i - 1][0].parent
-            edges.append((i - 1, i, round(100 * (ADJACENT_NEAR if near else ADJACENT_FAR))))
-        for key, seen, weight in ((b.parent, last_parent, SAME_PARENT), (b.grandparent, last_grand, SAME_GRANDPARENT)):
-            if key in seen and key:
+            before = pairs[i - 1][0]
+            row = ROW if b.parent != before.parent else ROW_KIND if b.kind == before.kind else ROW_PARENT
+            edges.append((i - 1, i, round(100 * row)))
+        for key, seen, weight in (((b.parent, b.kind), last_kind, SAME_KIND), (b.grandparent, last_grand, SAME_GRANDPARENT)):
+            if key in seen:
                 edges.append((seen[key], i, round(100 * weight)))
             seen[key] = i
     side = min_cut(len(pairs), [max(0, x) for x in scores], [max(0, -x) for x in scores], edges)
-    return "\n".join(t for (_, t), keep in zip(pairs, side) if keep)
+    return [(t, x / 100, keep) for (_, t), x, keep in zip(pairs, scores, side)]
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page: its content blocks, joined by a line feed."""
+    return "\n".join(t for t, _, keep in labelled(page) if keep) if page else ""
 
 
 def extract_text(page: Column) -> Column:
-    """Main text of an HTML column; null and empty pages give an empty text."""
+    """Main text of an HTML column; null and empty pages give an empty text.
+
+    Pages may be of any length and depth; repeated rows give the same text each;
+    an empty table gives no rows.
+    """
 
     def extract(pages: pd.Series) -> pd.Series:
         texts = pages.map(main_text).astype(str)
