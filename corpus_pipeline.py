@@ -10,18 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import langid, mixing, neardup, packing, suffixes
-from sluice.llm.common import materialise
+from sluice.llm.common import discard, materialise, scratch
 from sluice.llm.queries import tokenizer_file
 
 
+#: Least share that a document's first language must have of it.
+LEAST_SHARE = 0.5
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told go on; null, empty and letterless texts go.
+    """Documents of one main language go on, and ``lang`` says which.
 
-    The model learns from the stage's own rows with a known language.
+    Null, empty and letterless texts go, and so do mixtures in which no language
+    has LEAST_SHARE.  The model learns from the stage's own rows with a known language.
     """
     model = langid.train(docs.where(~langid.held_out()))
     told = docs.withColumn("_guess", langid.guess(model, F.col("text")))
-    return told.where(F.col("_guess.lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    told = told.where((F.col("_guess.lang_pred") != langid.UNDETERMINED) & (F.get("_guess.lang_share", F.lit(0)) >= LEAST_SHARE))
+    return told.withColumn("lang", F.col("_guess.lang_pred")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; a stage's tables go once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, f"stage{i + 1}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as keep:
+            made = keep(materialise(stage(spark, docs, sf_dir), f"stage{i + 1}"))
+        if i:
+            discard(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
