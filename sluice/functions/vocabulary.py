@@ -361,23 +361,26 @@ PROPOSAL_STATUSES = (
     "Negotiation", "Awarded", "Lost", "Contract Signed",
 )
 PROPOSAL_RESULTS = ("Pending", "Awarded", "Lost", "Cancelled")
-#: What a pattern may be followed by is one of the date forms below.
-NUMERIC_DAY_FIRST = r"\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
-NUMERIC_YEAR_FIRST = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}"
-ORDINAL_WORDS = r"\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]+\s+\d{4}"
-PLAIN_WORDS = r"\d{1,2}\s+[A-Za-z]+\s+\d{4}"
-_CRAWL_LEAD = r"\b(?:submission|application|bid|proposal)?\s*deadline\s*:?\s*"
-_CLOSES = r"\bapplications? close(?:s|d)?\s*:?\s*"
+#: Fixed patterns, tried in order; the group is the date.
 CRAWL_DEADLINES = (
-    (_CRAWL_LEAD, NUMERIC_DAY_FIRST), (_CRAWL_LEAD, NUMERIC_YEAR_FIRST), (_CRAWL_LEAD, ORDINAL_WORDS),
-    (r"\bclosing date\s*:?\s*", NUMERIC_DAY_FIRST), (r"\bclosing date\s*:?\s*", ORDINAL_WORDS),
-    (_CLOSES, NUMERIC_DAY_FIRST), (_CLOSES, ORDINAL_WORDS),
+    r"\b(?:submission|application|bid|proposal)?\s*deadline\s*:?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})",
+    r"\b(?:submission|application|bid|proposal)?\s*deadline\s*:?\s*(\d{4}[-/.]\d{1,2}[-/.]\d{1,2})",
+    r"\b(?:submission|application|bid|proposal)?\s*deadline\s*:?\s*(\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]+\s+\d{4})",
+    r"\bclosing date\s*:?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})",
+    r"\bclosing date\s*:?\s*(\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]+\s+\d{4})",
+    r"\bapplications? close(?:s|d)?\s*:?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})",
+    r"\bapplications? close(?:s|d)?\s*:?\s*(\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]+\s+\d{4})",
 )
 PORTAL_DEADLINES = (
-    (r"\bdeadline\s*:?\s*", NUMERIC_DAY_FIRST), (r"\bdeadline\s*:?\s*", NUMERIC_YEAR_FIRST), (r"\bdeadline\s*:?\s*", PLAIN_WORDS),
-    (r"\bclosing date\s*:?\s*", NUMERIC_DAY_FIRST), (r"\bclosing date\s*:?\s*", PLAIN_WORDS),
-    (r"\bsubmission deadline\s*:?\s*", NUMERIC_DAY_FIRST), (r"\bsubmission deadline\s*:?\s*", PLAIN_WORDS),
-    (_CLOSES, NUMERIC_DAY_FIRST), (_CLOSES, PLAIN_WORDS),
+    r"\bdeadline\s*:?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})",
+    r"\bdeadline\s*:?\s*(\d{4}[-/.]\d{1,2}[-/.]\d{1,2})",
+    r"\bdeadline\s*:?\s*(\d{1,2}\s+[A-Za-z]+\s+\d{4})",
+    r"\bclosing date\s*:?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})",
+    r"\bclosing date\s*:?\s*(\d{1,2}\s+[A-Za-z]+\s+\d{4})",
+    r"\bsubmission deadline\s*:?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})",
+    r"\bsubmission deadline\s*:?\s*(\d{1,2}\s+[A-Za-z]+\s+\d{4})",
+    r"\bapplications? close(?:s|d)?\s*:?\s*(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})",
+    r"\bapplications? close(?:s|d)?\s*:?\s*(\d{1,2}\s+[A-Za-z]+\s+\d{4})",
 )
 #: Spark patterns of dates with a month's name, tried in order.
 NAMED_DATE_PATTERNS = ("d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy")
