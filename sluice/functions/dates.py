@@ -35,6 +35,14 @@ def iso_or_parsed(x: Column | str) -> Column:
     return F.coalesce(F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd")), parse_date(t))
 
 
+def form_date(x: Column | str) -> Column:
+    """struct(value, problem) of a form's ISO date: blank is no date; what is no ISO date names the problem."""
+    t = F.trim(filled(x))
+    value = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
+    problem = F.when((t != "") & value.isNull(), F.concat(F.lit("Invalid isoformat string: "), t))
+    return F.struct(value.alias("value"), problem.alias("problem"))
+
+
 def extract_deadline(x: Column | str, patterns=v.CRAWL_DEADLINES) -> Column:
     """Of each pattern the first match; of these, in pattern order, the first that is a date."""
 

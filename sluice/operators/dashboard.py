@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
@@ -67,6 +67,23 @@ def dashboard(opps: DataFrame, as_of: Column, **filters: str | None) -> DataFram
     return cards(select(opps, as_of, **filters).orderBy(*dashboard_order()))
 
 
+def places(opps: DataFrame) -> DataFrame:
+    """(place, id): where each opportunity stands in the dashboard's order, without one task that sorts all.
+
+    Rows are numbered within their deadline and day of discovery; the counts of those groups, few
+    beside the rows, give the rest.
+    """
+    rows = opps.select("id", "is_expired", "deadline", "first_discovered_at", "source_url", F.to_date("first_discovered_at").alias("_day"))
+    group = ["is_expired", "deadline", "_day"]
+    inside = Window.partitionBy(*group).orderBy(*dashboard_order())
+    across = Window.orderBy("is_expired_", F.col("deadline_").asc_nulls_last(), F.col("_day_").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*[F.col(c).alias(f"{c}_") for c in group]).agg(F.count("*").alias("_n"))
+    before = before.select("*", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in group]
+    numbered = rows.withColumn("_nth", F.row_number().over(inside))
+    return numbered.join(before, same).select((F.col("_before") + F.col("_nth")).alias("place"), "id")
+
+
 def detail(opps: DataFrame, id_: int) -> DataFrame:
     """One opportunity's detail page, by key."""
     return opps.where(F.col("id") == id_).select(
@@ -80,6 +97,13 @@ def detail(opps: DataFrame, id_: int) -> DataFrame:
     )
 
 
+def details(opps: DataFrame, ids: DataFrame) -> DataFrame:
+    """Asked ids with ``found`` and the opportunity's title, status and URL; an unknown id has found = false."""
+    rows = opps.select(F.col("id").alias("_id"), "title", "status", "source_url")
+    out = ids.select("id").join(rows, F.col("id") == F.col("_id"), "left")
+    return out.select("id", F.col("_id").isNotNull().alias("found"), "title", "status", "source_url")
+
+
 def due_label(as_of: Column) -> Column:
     d = F.col("next_action_due")
     return F.when(d.isNull(), "Not scheduled").when(d < as_of, "Overdue").when(d == as_of, "Due Today").otherwise(long_date(d))

@@ -23,8 +23,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     """One row per source: what its scan events leave behind.
 
     All of it is aggregates that combine on the map side: the streak counts the
-    failures after the last success, so no history is sorted in one task.
-    ``was_disabled``: that streak has reached the limit since the last success.
+    failures after the last success, so no history is sorted in one task.  A run
+    of failures that a success of the same batch ends leaves nothing behind: a
+    source that was switched off is not scanned, so only a late batch can hold one.
     """
     at = F.struct("ts", "seq")
     last_ok = events.where("ok").groupBy("source_id").agg(F.max(at).alias("ok_at"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import classify, lifecycle, quality, upsert
+from ..operators import classify, crawl, lifecycle, quality, upsert
 
 #: name -> function that returns raw listings.
 SCANNERS: dict[str, Callable[..., DataFrame]] = {}
@@ -24,6 +24,39 @@ def scanner(name: str):
     return add
 
 
+def scanner_names() -> list[str]:
+    """Registered scanners in the order in which they run."""
+    return list(SCANNERS)
+
+
+@scanner("portal")
+def scan_portal(cards: DataFrame, details: DataFrame, portal_name: str, site_suffixes=()) -> DataFrame:
+    """A portal's previews with their detail pages."""
+    return crawl.portal_listings(cards, details, portal_name, site_suffixes)
+
+
+@scanner("websites")
+def scan_websites(sources: DataFrame, pages: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """Opportunity pages and documents that a crawl of the sources' captured pages meets."""
+    found = crawl.crawl(sources, crawl.link_edges(pages), pages) if blocked is None else crawl.crawl(sources, crawl.link_edges(pages), pages, blocked)
+    return crawl.page_listings(found, pages, sources)
+
+
+def run_scanners(inputs: dict[str, dict]) -> tuple[DataFrame, DataFrame | None]:
+    """(failures, listings): every named scanner on its inputs; one that cannot be planned is a failure, and the others go on.
+
+    failures: scanner, problem.
+    """
+    found, problems, spark = {}, [], None
+    for name in (n for n in SCANNERS if n in inputs):
+        spark = spark or next(x for x in inputs[name].values() if isinstance(x, DataFrame)).sparkSession
+        try:
+            found[name] = SCANNERS[name](**inputs[name])
+        except Exception as e:
+            problems.append((name, f"{type(e).__name__}: {e}"[:500]))
+    return spark.createDataFrame(problems, "scanner string, problem string"), gather(found) if found else None
+
+
 def gather(found: dict[str, DataFrame]) -> DataFrame:
     """All scanners' listings with the scanner's name; ordinals order them across scanners."""
     parts = [
@@ -52,6 +85,25 @@ def counters(listings: DataFrame, accepted: DataFrame, result: DataFrame) -> Dat
     return out.na.fill(0, ["relevant", "saved", "updated"])
 
 
+def run_totals(per_scanner: DataFrame, scan_failures: DataFrame, unclassified: DataFrame, unsaved: DataFrame) -> DataFrame:
+    """One row: the run's totals with the three kinds of failure.
+
+    ``scan_failures``: a row a scanner that failed.  ``unclassified`` and
+    ``unsaved``: listings that could not be classified (no usable title or URL) or saved.
+    """
+    sums = per_scanner.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("found", "relevant", "saved", "updated")])
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    rows = sums.crossJoin(count(scan_failures, "scan_failures")).crossJoin(count(unclassified, "classification_failures"))
+    return rows.crossJoin(count(unsaved, "save_failures"))
+
+
+def broken(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(unclassified, unsaved): listings without a title, and those with one but without the URL that is their key."""
+    no_title = F.coalesce(F.trim("title"), F.lit("")) == ""
+    no_key = F.coalesce(F.trim("source_url"), F.lit("")) == ""
+    return listings.where(no_title), listings.where(~no_title & no_key)
+
+
 def run_discovery(sources: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     """Sources after assessing search results (title, description, url, query, ordinal)."""
     return upsert.upsert_candidates(sources, quality.candidates(quality.assess(results), now), now)

@@ -32,10 +32,13 @@ def query(sql: str | None = None):
 
 # --- upserts ------------------------------------------------------------------------
 
+#: Every row is stored (id % 3 <> 0), in the batch, or both.
+BATCH = "id % 2 = 0 OR id % 3 = 0"
+
 
 def _batch(spark: SparkSession, d: str) -> DataFrame:
-    """Every second order seen again, some twice, with gaps in what was found."""
-    o = views.opportunities(spark, d).where("id % 2 = 0")
+    """Orders seen again or first seen, some twice, with gaps in what was found."""
+    o = views.opportunities(spark, d).where(BATCH)
     once = o.select(
         F.when(F.col("id") % 4 == 0, "").otherwise(F.concat("organisation_name", F.lit(" -"))).alias("organisation_name"), F.concat(F.lit("Seen "), "title").alias("title"),
         F.lit("").alias("description"), F.when(F.col("id") % 6 != 0, F.date_add("deadline", 400)).alias("deadline"), F.lit("scan").alias("source_name"), "source_url",
@@ -49,7 +52,7 @@ _UPSERTED = f"""
     WITH {OPPORTUNITIES_SQL}, b0 AS (
         SELECT source_url, CASE WHEN id % 4 = 0 THEN NULL ELSE organisation_name END AS org, 'Seen ' || title AS title,
                CASE WHEN id % 6 <> 0 THEN CAST(deadline + 400 AS DATE) END AS deadline, lower(category) AS category, CASE WHEN id % 5 = 0 THEN 88 ELSE 77 END AS score
-        FROM opps WHERE id % 2 = 0
+        FROM opps WHERE {BATCH}
     ), e AS (SELECT * FROM opps WHERE id % 3 <> 0), j AS (
         SELECT coalesce(e.source_url, b.source_url) AS source_url, e.source_url IS NULL AS fresh, b.source_url IS NOT NULL AS met, e.status AS old_status, e.is_expired AS old_expired,
                coalesce(b.org, e.organisation_name) AS organisation_name, coalesce(b.title, e.title) AS title, coalesce(b.deadline, e.deadline) AS deadline,
@@ -71,14 +74,14 @@ def upsert_opportunities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH {SOURCES_SQL}, e AS (SELECT * FROM srcs WHERE id % 3 <> 0), b AS (
-        SELECT monitor_url, 99.5::DOUBLE - id % 50 AS c, CASE WHEN id % 4 = 0 THEN NULL ELSE 'Found ' || id END AS o, CASE WHEN id % 5 = 0 THEN 'Unknown' ELSE 'Procurement' END AS t FROM srcs WHERE id % 2 = 0)
+        SELECT monitor_url, 99.5::DOUBLE - id % 50 AS c, CASE WHEN id % 4 = 0 THEN NULL ELSE 'Found ' || id END AS o, CASE WHEN id % 5 = 0 THEN 'Unknown' ELSE 'Procurement' END AS t FROM srcs WHERE {BATCH})
     SELECT coalesce(e.monitor_url, b.monitor_url) AS monitor_url, CASE WHEN b.c IS NULL THEN e.confidence_score ELSE greatest(coalesce(e.confidence_score, 0), b.c) END AS confidence_score,
            coalesce(e.organisation_name, b.o) AS organisation_name, CASE WHEN e.id IS NULL THEN b.t WHEN e.source_type = 'Unknown' THEN coalesce(b.t, 'Unknown') ELSE e.source_type END AS source_type,
            CASE WHEN e.id IS NULL THEN false ELSE e.is_approved END AS is_approved, CASE WHEN e.id IS NULL THEN 'insert' WHEN b.c IS NULL THEN 'keep' ELSE 'update' END AS action
     FROM e FULL JOIN b ON e.monitor_url = b.monitor_url""")
 def upsert_sources_by_url(spark: SparkSession, d: str) -> DataFrame:
     s = views.sources(spark, d)
-    b = s.where("id % 2 = 0").select(
+    b = s.where(BATCH).select(
         "monitor_url", "base_url", "domain", F.when(F.col("id") % 4 != 0, F.concat(F.lit("Found "), F.col("id").cast("string"))).alias("organisation_name"),
         F.when(F.col("id") % 5 == 0, "Unknown").otherwise("Procurement").alias("source_type"), F.lit("api").alias("discovered_from"), F.lit("q").alias("discovery_query"),
         (F.lit(99.5) - F.col("id") % 50).alias("confidence_score"), F.col("id").alias("ordinal"),
@@ -89,7 +92,7 @@ def upsert_sources_by_url(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH {SOURCES_SQL}, e AS (SELECT * FROM srcs WHERE id % 3 <> 0), b AS (
-        SELECT CASE WHEN id % 4 = 0 THEN 'https://new.example/' || id ELSE monitor_url END AS monitor_url, domain, id, id % 97 + 1.0::DOUBLE AS c, id % 41 + 1.0::DOUBLE AS u, id % 89 + 1.0::DOUBLE AS p FROM srcs WHERE id % 2 = 0)
+        SELECT CASE WHEN id % 4 = 0 THEN 'https://new.example/' || id ELSE monitor_url END AS monitor_url, domain, id, id % 97 + 1.0::DOUBLE AS c, id % 41 + 1.0::DOUBLE AS u, id % 89 + 1.0::DOUBLE AS p FROM srcs WHERE {BATCH})
     SELECT coalesce(e.domain, b.domain) AS domain, CASE WHEN e.id IS NULL OR b.u > e.url_relevance_score THEN coalesce(b.monitor_url, e.monitor_url) ELSE e.monitor_url END AS monitor_url,
            CASE WHEN b.c IS NULL THEN e.confidence_score ELSE greatest(coalesce(e.confidence_score, 0), b.c) END AS confidence_score,
            CASE WHEN b.c IS NULL THEN e.url_relevance_score ELSE greatest(coalesce(e.url_relevance_score, 0), b.u) END AS url_relevance_score,
@@ -99,7 +102,7 @@ def upsert_sources_by_url(spark: SparkSession, d: str) -> DataFrame:
     FROM e FULL JOIN b ON e.domain = b.domain""")
 def upsert_sources_or_key(spark: SparkSession, d: str) -> DataFrame:
     s, n = views.sources(spark, d), F.col("id")
-    b = s.where("id % 2 = 0").select(
+    b = s.where(BATCH).select(
         F.lit("Found").alias("organisation_name"), "base_url", F.when(n % 4 == 0, F.concat(F.lit("https://new.example/"), n.cast("string"))).otherwise(F.col("monitor_url")).alias("monitor_url"),
         "domain", F.lit("NGO").alias("source_type"), F.lit("api").alias("discovered_from"), F.lit("q").alias("discovery_query"), (n % 97 + 1.0).alias("confidence_score"),
         (n % 89 + 1.0).alias("priority_score"), (n % 41 + 1.0).alias("url_relevance_score"), n.alias("ordinal"),
@@ -289,15 +292,8 @@ def source_discovery(spark: SparkSession, d: str) -> DataFrame:
     return out.where("action <> 'keep'").select("domain", "monitor_url", "confidence_score", "priority_score", "source_type", "action")
 
 
-@query("SELECT l_orderkey AS section, l_linenumber - 1 AS page, l_partkey % 5 AS listing FROM lineitem WHERE false")
-def section_pages_empty(spark: SparkSession, d: str) -> DataFrame:
-    found = read(spark, d, "lineitem").where("false").select(F.col("l_orderkey").alias("section"), (F.col("l_linenumber") - 1).alias("page"), F.lit(None).cast("string").alias("listing_url"))
-    out = crawl.section_pages(found.select("section"), found)
-    return out.select("section", "page", F.col("new_links").alias("listing"))
-
-
 @query("""
-    WITH f AS (SELECT l_orderkey AS section, l_linenumber - 1 AS page, l_partkey % 7 AS listing FROM lineitem WHERE l_linenumber <= 5),
+    WITH f AS (SELECT l_orderkey AS section, l_linenumber - 1 AS page, l_partkey % 7 AS listing FROM lineitem),
     g AS (SELECT o.l_orderkey AS section, r.page FROM (SELECT DISTINCT l_orderkey FROM lineitem) o, range(5) AS r(page)),
     n AS (SELECT section, page, count(*) AS n FROM (SELECT section, listing, min(page) AS page FROM f GROUP BY section, listing) GROUP BY section, page),
     j AS (SELECT g.section, g.page, coalesce(n.n, 0) AS n FROM g LEFT JOIN n ON g.section = n.section AND g.page = n.page),
@@ -305,7 +301,7 @@ def section_pages_empty(spark: SparkSession, d: str) -> DataFrame:
     SELECT j.section, CAST(j.page AS INTEGER) AS page, n AS new_links FROM j LEFT JOIN s ON j.section = s.section WHERE stop IS NULL OR page < stop""")
 def section_pages(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem")
-    found = li.where("l_linenumber <= 5").select(F.col("l_orderkey").alias("section"), (F.col("l_linenumber") - 1).alias("page"), (F.col("l_partkey") % 7).cast("string").alias("listing_url"))
+    found = li.select(F.col("l_orderkey").alias("section"), (F.col("l_linenumber") - 1).alias("page"), (F.col("l_partkey") % 7).cast("string").alias("listing_url"))
     return crawl.section_pages(li.select(F.col("l_orderkey").alias("section")).distinct(), found)
 
 
@@ -334,12 +330,12 @@ def bfs_crawl(spark: SparkSession, d: str) -> DataFrame:
 def portal_scan(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "pages")
     cards = p.select(F.col("url").alias("listing_url"), F.lit("Card").alias("title"), F.lit("text").alias("card_text"), F.lit("Acme Ltd").alias("organisation_name"), F.col("page_id").alias("ordinal"))
-    return crawl.portal_listings(cards, p.where("page_id % 2 = 0").select(F.col("url").alias("listing_url"), "html"), "Portal")
+    return crawl.portal_listings(cards, p.select(F.col("url").alias("listing_url"), "html"), "Portal")
 
 
-@query("SELECT doc_id AS query, trim(regexp_replace(substr(text, 1, 50), '\\s+', ' ', 'g')) AS title, 'https://d.example/' || doc_id AS url FROM documents WHERE trim(regexp_replace(substr(text, 1, 50), '\\s+', ' ', 'g')) <> ''")
+@query("SELECT doc_id AS query, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title, 'https://d.example/' || doc_id AS url FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def search_payloads(spark: SparkSession, d: str) -> DataFrame:
-    item = F.struct(F.substring("text", 1, 50).alias("title"), F.concat(F.lit("https://d.example/"), F.col("doc_id").cast("string")).alias("url"))
+    item = F.struct(F.col("text").alias("title"), F.concat(F.lit("https://d.example/"), F.col("doc_id").cast("string")).alias("url"))
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("query"), F.to_json(F.struct(F.struct(F.array(item).alias("results")).alias("web"))).alias("payload"))
     return tables.search_results(docs, http_only=True).select("query", "title", "url")
 
@@ -416,10 +412,9 @@ def remove_site_names(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", text.remove_site_names(raw, (("|", "some site"), ("-", "some site"))).alias("title"))
 
 
-@query(f"WITH {OPPORTUNITIES_SQL} SELECT id, deadline < {_TODAY} AS gone FROM opps WHERE deadline IS NOT NULL")
+@query(f"WITH {OPPORTUNITIES_SQL} SELECT id, coalesce(deadline < {_TODAY}, false) AS gone FROM opps")
 def expiry_predicate(spark: SparkSession, d: str) -> DataFrame:
-    o = views.opportunities(spark, d).where("deadline is not null")
-    return o.select("id", dates.is_expired("deadline", as_of()).alias("gone"))
+    return views.opportunities(spark, d).select("id", dates.is_expired("deadline", as_of()).alias("gone"))
 
 
 @query("SELECT event_id, CAST(ts AS DATE) AS day FROM events")
@@ -442,3 +437,74 @@ def candidate_rows(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("https://s"), k.cast("string"), F.lit(".gov.rw/tenders")).alias("url"), F.lit("q").alias("query"), k.alias("ordinal"),
     )
     return quality.candidates(quality.assess(rows), now()).select(F.col("ordinal").alias("id"), F.col("organisation_name").alias("label"))
+
+
+@query("""
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_orderdate AS DATE) END AS value,
+           CASE o_orderkey % 4 WHEN 2 THEN 'Invalid isoformat string: 31/12/' || o_orderkey WHEN 3 THEN 'Invalid isoformat string: 2024-02-30' END AS problem
+    FROM orders WHERE o_orderkey % 4 <> 1 UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 4 = 1""")
+def form_dates(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    said = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, " ").when(k == 2, F.concat(F.lit("31/12/"), F.col("o_orderkey").cast("string"))).otherwise("2024-02-30")
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), dates.form_date(said).alias("f")).select("id", "f.*")
+
+
+@query(f"""
+    WITH {OPPORTUNITIES_SQL}, asked AS (SELECT CAST(l_orderkey + l_linenumber AS BIGINT) AS id FROM lineitem)
+    SELECT a.id, o.id IS NOT NULL AS found, title, status, source_url FROM asked a LEFT JOIN opps o ON a.id = o.id""")
+def details_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Known ids and ids that no opportunity has."""
+    ids = read(spark, d, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).cast("long").alias("id"))
+    return dashboard.details(views.opportunities(spark, d), ids)
+
+
+@query(f"WITH {OPPORTUNITIES_SQL} SELECT row_number() OVER (ORDER BY is_expired, deadline NULLS LAST, first_discovered_at DESC, source_url) AS place, id FROM opps")
+def dashboard_places(spark: SparkSession, d: str) -> DataFrame:
+    """The dashboard's order itself: each opportunity's place in it, so that the sort is held against SQL."""
+    return dashboard.places(views.opportunities(spark, d))
+
+
+@query(f"WITH {OPPORTUNITIES_SQL} SELECT id, status, false AS is_lead FROM opps")
+def pipeline_remove(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.remove_from_pipeline(views.opportunities(spark, d)).select("id", "status", "is_lead")
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {q.q(x)})' for i, x in enumerate(v.SEARCH_QUERIES))}) AS s(ordinal, query)")
+def search_queries(spark: SparkSession, d: str) -> DataFrame:
+    return tables.queries(spark)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {q.q(x)})' for i, x in enumerate(v.DISCOVERY_QUERIES[:20]))}) AS s(ordinal, query)")
+def first_queries(spark: SparkSession, d: str) -> DataFrame:
+    return tables.queries(spark, "discovery", 20)
+
+
+@query("""
+    SELECT c_custkey AS id, 'https://s' || c_custkey || '.example/procurement-notice-' || c_custkey AS source_url, 'Tender ' || c_custkey AS title, c_name AS organisation_name,
+           'Request for proposal number ' || c_custkey || ': the supply of goods is described in the terms of reference of this tender notice.' AS description
+    FROM customer""")
+def page_listings(spark: SparkSession, d: str) -> DataFrame:
+    """One page per source, read as a listing of it."""
+    k = F.col("c_custkey").cast("string")
+    c = read(spark, d, "customer")
+    url = F.concat(F.lit("https://s"), k, F.lit(".example/procurement-notice-"), k)
+    said = F.concat(F.lit("Request for proposal number "), k, F.lit(": the supply of goods is described in the terms of reference of this tender notice."))
+    pages = c.select(url.alias("url"), F.concat(F.lit("<main><h1>Tender "), k, F.lit("</h1></main><article><p>"), said, F.lit("</p></article>")).alias("html"))
+    sources = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("organisation_name"), F.concat(F.lit("s"), k, F.lit(".example")).alias("domain"))
+    visited = c.select(F.col("c_custkey").alias("source_id"), url.alias("url"), F.col("c_custkey").cast("int").alias("position"))
+    out = crawl.page_listings(visited, pages, sources)
+    return out.select(F.col("ordinal").alias("id"), "source_url", "title", "organisation_name", "description")
+
+
+@query(f"""
+    WITH x AS (SELECT *, o_orderkey % 7 = 0 AS no_title, o_orderkey % 5 = 0 AS no_key FROM orders)
+    SELECT count(*) AS found, 0 AS relevant, 0 AS saved, 0 AS updated, 1 AS scan_failures, count_if(no_title) AS classification_failures, count_if(NOT no_title AND no_key) AS save_failures FROM x""")
+def run_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of a run with a failed scanner, listings without a title and listings without a URL."""
+    k = F.col("o_orderkey")
+    rows = read(spark, d, "orders").select(
+        F.lit("portal").alias("scanner"), F.when(k % 7 != 0, F.concat(F.lit("Notice "), k.cast("string"))).alias("title"), F.when(k % 5 != 0, F.concat(F.lit("o/"), k.cast("string"))).alias("source_url")
+    )
+    per = rows.groupBy("scanner").agg(F.count("*").alias("found")).withColumns({c: F.lit(0).cast("long") for c in ("relevant", "saved", "updated")})
+    failed, _ = scan.run_scanners({"portal": {"cards": read(spark, d, "orders"), "details": read(spark, d, "region"), "portal_name": "P"}})
+    return scan.run_totals(per, failed, *scan.broken(rows))

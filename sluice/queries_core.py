@@ -182,12 +182,13 @@ _LOW = "lower(n)"
 
 
 @query(f"""
-    WITH x AS (SELECT doc_id, {q.clean("substr(text, 1, CAST(doc_id % 200 AS INTEGER))")} AS n FROM documents)
-    SELECT doc_id, length(n) BETWEEN 2 AND 180 AND {_LOW} NOT IN ('not specified', 'unknown', 'n/a', 'none') AND NOT {q.has_any(_LOW, v.INVALID_ORGANISATION_PHRASES)}
-           AND len(string_split(n, ' ')) <= 20 AND NOT {q.has_any(_LOW, v.SENTENCE_SIGNALS)} AS valid FROM x""")
+    WITH y AS (SELECT doc_id, unnest(string_split(text, '. ')) AS n FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, {q.clean('n')} AS n FROM y)
+    SELECT doc_id, count(*) AS names, count_if(length(n) BETWEEN 2 AND 180 AND {_LOW} NOT IN ('not specified', 'unknown', 'n/a', 'none') AND NOT {q.has_any(_LOW, v.INVALID_ORGANISATION_PHRASES)}
+           AND len(string_split(n, ' ')) <= 20 AND NOT {q.has_any(_LOW, v.SENTENCE_SIGNALS)}) AS valid FROM x GROUP BY doc_id""")
 def organisation_valid(spark: SparkSession, d: str) -> DataFrame:
-    name = F.substring("text", F.lit(1), (F.col("doc_id") % 200).cast("int"))
-    return read(spark, d, "documents").select("doc_id", text.valid_organisation(name).alias("valid"))
+    """Every sentence of every document as a name."""
+    names = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\. ")).alias("n"))
+    return names.groupBy("doc_id").agg(F.count("*").alias("names"), F.count_if(text.valid_organisation("n")).alias("valid"))
 
 
 @query("SELECT o_orderkey, o_orderpriority || ' / ' || o_orderkey AS label FROM orders")
@@ -302,13 +303,12 @@ def _least(cap: int, w: int, x: str) -> str:
     return f"least({cap}, len({x}) * {w})"
 
 
-def _classified(tail: str) -> str:
-    r = RULES
+def _classified(tail: str, r: classify.Rules = RULES, raw: str = LISTINGS_SQL) -> str:
     words = f"{q.txt('''concat_ws(' ', title, description, organisation_name, source_name, source_url)''')}"
     hits = "[" + ", ".join(
         f"{{'o': {-i}, 'category': {q.q(n)}, 's': {q.found('pad', s)}, 'b': {q.found('pad', b)}}}" for i, (n, s, b) in enumerate(r.categories)) + "]"
     return f"""
-    WITH {LISTINGS_SQL}, t AS (
+    WITH {raw}, t AS (
         SELECT *, {q.tokens(words)} AS pad, {q.txt('title')} AS ntitle, {q.tokens(q.txt(f"title || ' ' || lower({q.path('source_url')})"))} AS dpad FROM raw
     ), f AS (
         SELECT *, {', '.join(f"{q.found('pad', getattr(r, k))} AS {k}_" for k in classify.EVIDENCE)},
@@ -340,6 +340,46 @@ def classify_gates(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source_name").agg(F.count("*").alias("admitted"), F.sum("_shared").alias("evidence"))
 
 
+DEFAULT = classify.Rules()
+#: What a made-up notice says: a term of each dictionary, by the order's number; null says nothing.
+_SAID = {
+    "strong": (DEFAULT.strong, 3), "broad": (tuple(t for _, _, b in DEFAULT.categories for t in b), 2), "named": (tuple(t for _, s, _ in DEFAULT.categories for t in s), 2),
+    "submission": (DEFAULT.submission, 4), "metadata": (DEFAULT.metadata, 2), "firm": (DEFAULT.firm, 5), "employment": (DEFAULT.employment, 6), "generic": (DEFAULT.generic, 9),
+    "abbreviations": (DEFAULT.abbreviations, 7),
+}
+NOTICES_SQL = f"""
+    raw AS (
+        SELECT CASE WHEN o_orderkey % 11 = 0 THEN {q.q(DEFAULT.titles[0])} ELSE 'Notice ' || o_orderkey END AS title,
+               concat_ws(' , ', {', '.join(f"CASE WHEN o_orderkey % {n} = 0 THEN {q.arr(terms)}[CAST(o_orderkey % {len(terms)} AS INTEGER) + 1] END" for terms, n in _SAID.values())}) AS description,
+               'Customer ' || o_custkey AS organisation_name, 'orders' AS source_name,
+               'https://o.example/' || CASE WHEN o_orderkey % 8 = 0 THEN 'tender-' || o_orderkey || '.pdf' ELSE CAST(o_orderkey AS VARCHAR) END AS source_url,
+               CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS deadline, o_orderkey AS ordinal
+        FROM orders
+    )"""
+
+
+def notices(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as listings that use the production dictionaries' terms."""
+    k = F.col("o_orderkey")
+    say = lambda terms, n: F.when(k % n == 0, F.element_at(F.array(*map(F.lit, terms)), (k % len(terms) + 1).cast("int")))
+    return read(spark, d, "orders").select(
+        F.when(k % 11 == 0, DEFAULT.titles[0]).otherwise(F.concat(F.lit("Notice "), k.cast("string"))).alias("title"),
+        F.concat_ws(" , ", *[say(*x) for x in _SAID.values()]).alias("description"), F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("organisation_name"),
+        F.lit("orders").alias("source_name"),
+        F.concat(F.lit("https://o.example/"), F.when(k % 8 == 0, F.concat(F.lit("tender-"), k.cast("string"), F.lit(".pdf"))).otherwise(k.cast("string"))).alias("source_url"),
+        F.when(k % 3 == 0, F.to_date("o_orderdate")).alias("deadline"), k.alias("ordinal"),
+    )
+
+
+@query(_classified(f"""
+    SELECT source_url, best.category AS category, CAST(best.score AS INTEGER) AS match_score,
+           array_to_string(list_sort(list_distinct(best.s || best.b || strong_ || submission_ || metadata_ || firm_ || CASE WHEN dated THEN ['deadline detected'] ELSE [] END
+           || CASE WHEN doc THEN ['procurement document'] ELSE [] END)), ', ') AS match_reason FROM h WHERE best.score >= {DEFAULT.threshold}""", DEFAULT, NOTICES_SQL))
+def classify_production(spark: SparkSession, d: str) -> DataFrame:
+    """The production dictionaries and threshold over notices that use their terms."""
+    return classify.classify(notices(spark, d)).select("source_url", "category", "match_score", "match_reason")
+
+
 _ASSESS = f"""
     WITH {RESULTS_SQL}, a AS (SELECT *, {q.quality_url('url')} AS nurl FROM res), b AS (
         SELECT *, {q.domain(q.host('nurl'))} AS dom, lower({q.clean("concat_ws(' ', title, description, nurl, query)")}) AS t, {q.relevance('nurl')} AS rel FROM a

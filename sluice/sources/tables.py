@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,29 +23,51 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Put ``text`` at ``path``: written beside it, then renamed over it, so readers see the old or the new file whole."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, aside = _fs(spark, f"{path}.tmp-{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    _, to = _fs(spark, path)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(aside.makeQualified(fs.getUri(), fs.getWorkingDirectory()), to.makeQualified(fs.getUri(), fs.getWorkingDirectory()), how)
+
+
+def _pointer(spark: SparkSession, root: str) -> list[str]:
+    """The current snapshot's name and its mark, if any; none before the first."""
+    fs, now = _fs(spark, f"{root}/CURRENT")
+    return [r.value for r in spark.read.text(f"{root}/CURRENT").collect()] if fs.exists(now) else []
+
+
+def write_snapshot(df: DataFrame, root: str, mark: str = "") -> str:
     """Write a new snapshot beside the old ones, then move the pointer to it.
 
     The table that ``df`` may be read from is never overwritten; a failed write
-    leaves the pointer where it was.
+    leaves the pointer where it was.  ``mark`` goes into the pointer, so it moves
+    with the rows or not at all.
     """
     spark, name = df.sparkSession, f"snapshot-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
-    fs, now = _fs(spark, f"{root}/CURRENT")
-    out = fs.create(now, True)
-    out.write(bytearray(name.encode()))
-    out.close()
+    replace_file(spark, f"{root}/CURRENT", f"{name}\n{mark}" if mark else name)
     return f"{root}/{name}"
 
 
+def snapshot_mark(spark: SparkSession, root: str) -> str:
+    return "".join(_pointer(spark, root)[1:2])
+
+
 def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
     """The current snapshot; with ``schema`` columns it lacks are added, and none yet is an empty table."""
-    fs, now = _fs(spark, f"{root}/CURRENT")
-    if not fs.exists(now):
+    at = _pointer(spark, root)
+    if not at:
         if schema is None:
             raise FileNotFoundError(root)
         return spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
-    df = spark.read.parquet(f"{root}/{spark.read.text(f'{root}/CURRENT').first().value}")
+    df = spark.read.parquet(f"{root}/{at[0]}")
     return evolve(df, schema) if schema is not None else df
 
 
@@ -103,3 +126,11 @@ def parse_state(text: DataFrame) -> DataFrame:
     rows = doc.select(F.explode("m").alias("job_name", "s"))
     ts = lambda c: F.try_to_timestamp(F.col(f"s.{c}")).alias(c)
     return rows.select("job_name", ts("last_started"), ts("last_success"), ts("last_failure"), "s.status", "s.last_error", "s.duration_seconds")
+
+
+def write_state(rows: DataFrame, path: str) -> None:
+    """Job state as one JSON document, moved into place whole; a row a job, so it comes to the driver."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    told = rows.select("job_name", F.to_json(F.struct(stamp("last_started"), stamp("last_success"), stamp("last_failure"), "status", "last_error", "duration_seconds")).alias("s"))
+    states = {r.job_name: json.loads(r.s) for r in told.orderBy("job_name").collect()}
+    replace_file(rows.sparkSession, path, json.dumps(states))

@@ -1,7 +1,8 @@
 """Streaming forms: listings into the snapshot, scan events into source health.
 
-Classification is stateless; the upsert runs per micro-batch, and a batch that
-is replayed after a failure changes nothing, since the upsert is idempotent.
+Classification is stateless; the upsert runs per micro-batch.  A batch that is
+replayed after a failure changes nothing: the snapshot's pointer names the last
+batch of the stream that went into it, and that batch is not applied twice.
 """
 
 from __future__ import annotations
@@ -14,7 +15,19 @@ from pyspark.sql import functions as F
 from ..operators import classify, health
 from ..operators.upsert import upsert_opportunities
 from ..schemas import OPPORTUNITIES, SOURCES
-from ..sources.tables import read_snapshot, write_snapshot
+from ..sources.tables import read_snapshot, snapshot_mark, write_snapshot
+
+
+def once_per_batch(root: str, checkpoint: str, update: Callable[[DataFrame], DataFrame]):
+    """A foreachBatch function that writes ``update(batch)`` as the snapshot at ``root``, each batch of the stream once."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        stream, _, last = snapshot_mark(batch.sparkSession, root).rpartition("#")
+        if stream == checkpoint and number <= int(last):
+            return
+        write_snapshot(update(batch), root, f"{checkpoint}#{number}")
+
+    return merge
 
 
 def stream_listings(listings: DataFrame, root: str, checkpoint: str, clock: Callable[[], tuple[Column, Column]], rules: classify.Rules = classify.Rules()):
@@ -24,21 +37,21 @@ def stream_listings(listings: DataFrame, root: str, checkpoint: str, clock: Call
     """
     accepted = classify.classify(listings, rules)
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def update(batch: DataFrame) -> DataFrame:
         now, as_of = clock()
         out = upsert_opportunities(read_snapshot(batch.sparkSession, root, OPPORTUNITIES), batch, now, as_of)
-        write_snapshot(out.drop("action", "changed"), root)
+        return out.drop("action", "changed")
 
-    return accepted.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return accepted.writeStream.foreachBatch(once_per_batch(root, checkpoint, update)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_health(events: DataFrame, root: str, checkpoint: str):
     """Start the query that applies scan events to the sources at ``root``."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        write_snapshot(health.apply_scans(read_snapshot(batch.sparkSession, root, SOURCES), batch), root)
+    def update(batch: DataFrame) -> DataFrame:
+        return health.apply_scans(read_snapshot(batch.sparkSession, root, SOURCES), batch)
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(once_per_batch(root, checkpoint, update)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def scan_rates(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:

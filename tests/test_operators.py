@@ -326,3 +326,51 @@ def test_whole_scan_and_stream(spark, tmp_path):
     q = streaming.stream_listings(spark.readStream.schema(rows.drop("scanner").schema).parquet(src), root, f"{tmp_path}/ck", lambda: (F.lit(NOW), F.lit(AS_OF)))
     q.awaitTermination(120)
     assert q.exception() is None and tables.read_snapshot(spark, root, schemas.OPPORTUNITIES).count() == 2
+
+
+def test_the_pointer_moves_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/snap"
+    first = spark.createDataFrame([(1,)], "x int")
+    tables.write_snapshot(first, root, "m#0")
+    monkeypatch.setattr(tables, "replace_file", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        tables.write_snapshot(first.union(first), root, "m#1")
+    monkeypatch.undo()
+    assert tables.read_snapshot(spark, root).count() == 1 and tables.snapshot_mark(spark, root) == "m#0"
+    tables.write_snapshot(first.union(first), root)
+    assert tables.read_snapshot(spark, root).count() == 2 and tables.snapshot_mark(spark, root) == ""
+    assert not [p for p in (tmp_path / "snap").iterdir() if ".tmp-" in p.name and not p.name.endswith(".crc")]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    from sluice.streaming import listings as streaming
+
+    root = f"file://{tmp_path}/sources"
+    tables.write_snapshot(frame(spark, schemas.SOURCES, {"id": 1, "consecutive_failures": 0, "total_opportunities_found": 0, "is_active": True}), root)
+    kind = "source_id long, ts timestamp, seq long, ok boolean, duration_seconds double, http_status int, opportunities_found int, error_message string"
+    batch = spark.createDataFrame([(1, NOW, 1, False, 1.0, 500, 0, "e"), (1, NOW, 2, False, 1.0, 500, 0, "f")], kind)
+    run = streaming.once_per_batch(root, "ck", lambda b: health.apply_scans(tables.read_snapshot(spark, root, schemas.SOURCES), b))
+    fails = lambda: tables.read_snapshot(spark, root).first().consecutive_failures
+    for number, want in ((0, 2), (0, 2), (1, 4), (0, 4), (1, 4)):
+        run(batch, number)
+        assert fails() == want
+    again = streaming.once_per_batch(root, "other", lambda b: tables.read_snapshot(spark, root, schemas.SOURCES))
+    again(batch, 0)
+    assert tables.snapshot_mark(spark, root) == "other#0"
+
+
+def test_job_state_is_written_and_read_back(spark, tmp_path):
+    path = f"file://{tmp_path}/state.json"
+    rows = frame(spark, schemas.JOB_STATE, {"job_name": "scan", "status": "ok", "last_success": NOW, "duration_seconds": 1.5}, {"job_name": "find", "status": "failed", "last_error": "x"})
+    for _ in range(2):
+        tables.write_state(rows, path)
+    got = {r.job_name: r for r in tables.parse_state(spark.read.text(path, wholetext=True)).collect()}
+    assert set(got) == {"scan", "find"} and got["scan"].last_success == NOW and got["find"].last_error == "x" and got["scan"].duration_seconds == 1.5
+
+
+def test_a_scanner_that_fails_does_not_stop_the_others(spark):
+    cards = spark.createDataFrame([("https://p/1", "T", "text", "Acme Ltd", 0)], "listing_url string, title string, card_text string, organisation_name string, ordinal long")
+    details = spark.createDataFrame([], "listing_url string, html string")
+    assert scan.scanner_names()[:2] == ["portal", "websites"]
+    failed, found = scan.run_scanners({"websites": {"sources": cards, "pages": details}, "portal": {"cards": cards, "details": details, "portal_name": "P"}})
+    assert [r.scanner for r in failed.collect()] == ["websites"] and [r.scanner for r in found.collect()] == ["portal"]
