@@ -1,37 +1,37 @@
 """Order over a whole table without a single-task sort.
 
-Range splits come from one approximate-percentile aggregate (a bounded list on
-the driver); each range is then sorted on its own and only the edges of ranges
-meet.
+Keys are dealt to ranges by Spark's own range partitioner; each range is sorted
+on its own and only the first key of every range meets the others.  Ranges hold
+keys alone, never rows, and there are as many as the keys need.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids per range that is aimed at, and the most ranges.
-IDS_PER_RANGE, MAX_RANGES = 5_000, 4_096
-
-
-def range_splits(ids: DataFrame, key: str, least: int = 256) -> list[int]:
-    """At most ``MAX_RANGES`` ascending split points of an integer column."""
-    n = ids.count()
-    parts = max(1, min(MAX_RANGES, max(least, n // IDS_PER_RANGE)))
-    if n == 0 or parts == 1:
-        return []
-    row = ids.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("s")).first()
-    return sorted({int(x) for x in row.s or []})
-
-
-def range_of(key: Column, splits: list[int]) -> Column:
-    """Which range an id falls in: two short scans, not one long one."""
-    if not splits:
-        return F.lit(0)
-    step = max(1, int(len(splits) ** 0.5))
-    heads = splits[step - 1 :: step]
-    blocks = [splits[i : i + step] for i in range(0, len(splits), step)]
-    block = F.size(F.filter(F.array(*map(F.lit, heads)), lambda x: x <= key))
-    grid = F.array(*[F.array(*[F.lit(v) for v in b]) for b in blocks])
-    inside = F.size(F.filter(F.get(grid, block), lambda x: x <= key))
-    return (block * step + F.when(block < len(blocks), inside).otherwise(0)).cast("int")
+from .common import discard, materialise, shuffle_partitions
+
+#: Keys per range that is aimed at.
+KEYS_PER_RANGE = 1_000_000
+
+
+def successors(keys: DataFrame, key: str, per_range: int = KEYS_PER_RANGE) -> DataFrame:
+    """(key, next) for the distinct non-null values of ``key``, a number: the next larger one; the largest has the least.
+
+    A table of the shared folder; an empty one for no keys.
+    """
+    spark = keys.sparkSession
+    ids = materialise(keys.select(F.col(key).alias("key")).where("key is not null").distinct(), "keys")
+    parts = max(shuffle_partitions(spark), -(-ids.count() // per_range))
+    ranged = materialise(ids.repartitionByRange(parts, "key").withColumn("rg", F.spark_partition_id()), "ranged")
+    # One row per range.
+    firsts = ranged.groupBy("rg").agg(F.min("key").alias("first"))
+    order = Window.orderBy("rg")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = firsts.select("rg", F.coalesce(F.lead("first").over(order), F.first("first").over(whole)).alias("edge"))
+    inside = Window.partitionBy("rg").orderBy("key")
+    rows = ranged.withColumn("next", F.lead("key").over(inside)).join(edges, "rg")
+    out = materialise(rows.select("key", F.coalesce("next", "edge").alias("next")), "successors")
+    discard(ids, ranged)
+    return out

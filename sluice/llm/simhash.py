@@ -7,11 +7,11 @@ carries 33 longs per document, never a term.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, words
-from .ordering import range_of, range_splits
+from .common import ascii_lower, fresh, materialise, words
+from .ordering import successors
 
 _FIELD = 0x0000000100000001
 
@@ -152,50 +152,46 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     smallest md5 of its text is the document that others see.  A row with a null
     id has no next document: its last quarter is cut.
 
-    Texts are shuffled once, by ranges of doc_id; only the first document of
-    each range is looked up a second time for the range before.
+    The order is found on ids alone.  Texts are shuffled once, by doc_id; of the
+    next text only as much travels as the edit can use.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = base.select("doc_id").where("doc_id is not null")
-    splits = range_splits(ids, "doc_id")
-    aside = (-1 - F.pmod(F.xxhash64("text"), F.lit(64))).cast("int")
-    ranged = lambda df: df.withColumn("rg", F.when(F.col("doc_id").isNull(), aside).otherwise(range_of(F.col("doc_id"), splits)))
-    inside = Window.partitionBy("rg").orderBy("doc_id", "text_md5")
-    rows = ranged(base).withColumn("text_md5", F.md5("text"))
-    rows = rows.withColumn("is_new", ~F.lag("doc_id").over(inside).eqNullSafe(F.col("doc_id")))
-    rows = rows.withColumn(
-        "nx", F.expr("lead(CASE WHEN is_new THEN struct(doc_id, text) END) IGNORE NULLS OVER (PARTITION BY rg ORDER BY doc_id, text_md5)")
-    )
-    # One row per range: at most ordering.MAX_RANGES.
-    firsts = ids.withColumn("rg", range_of(F.col("doc_id"), splits)).groupBy("rg").agg(F.min("doc_id").alias("first"))
-    order = Window.orderBy("rg")
-    edges = firsts.select("rg", F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("edge_id"))
-    starts = base.join(F.broadcast(edges.select(F.col("edge_id").alias("doc_id")).distinct()), "doc_id")
-    starts = starts.groupBy(F.col("doc_id").alias("edge_id")).agg(F.min_by("text", F.md5("text")).alias("edge_text"))
-    rows = rows.join(edges.join(starts, "edge_id"), "rg", "left")
+    # Numbered where the table is read: a task that runs again gives the same numbers.
+    base = base.withColumns({"text_md5": F.md5("text"), "row": F.monotonically_increasing_id()})
     quarter = F.floor(F.length("text") / 4).cast("int")
-    given = F.coalesce("nx.text", "edge_text", F.lit(""))
+    # Per id: which text others see, and how much of the next one it may take.
+    per = materialise(base.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_md5").alias("seen_md5"), F.max(quarter).alias("need")), "ids")
+    chain = successors(per, "doc_id")
+    before = chain.join(per, chain.key == per.doc_id).select(F.col("next").alias("id"), F.col("key").alias("prev_id"), "need")
+    facts = before.join(per.select(F.col("doc_id").alias("id"), "seen_md5"), "id").join(chain.withColumnRenamed("key", "id"), "id")
+    known = base.where("doc_id is not null").join(facts.withColumnRenamed("next", "next_id"), F.col("doc_id") == F.col("id"))
+    # No filter on the md5, which would become a join key: both uses of ``known`` read one shuffle of the texts.
+    start = F.when(F.col("text_md5") == F.col("seen_md5"), F.struct("row", F.substring("text", F.lit(1), F.col("need")).alias("x")))
+    given = known.groupBy("prev_id").agg(F.min(start)["x"].alias("given"))
+    met = known.select("row", "doc_id", "next_id", "text_md5", "text").join(given.withColumnRenamed("prev_id", "_prev"), F.col("doc_id") == F.col("_prev")).drop("_prev")
+    none = base.where("doc_id is null").select("row", "doc_id", F.lit(None).cast("long").alias("next_id"), "text_md5", "text", F.lit("").alias("given"))
+    rows = met.unionByName(none)
     return rows.select(
-        "rg",
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         "doc_id",
-        F.coalesce("nx.doc_id", "edge_id").alias("next_id"),
+        "next_id",
         F.length("text").cast("long").alias("n_chars"),
         "text_md5",
         "text",
-        F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring(given, F.lit(1), quarter)).alias("edited"),
+        F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("given", F.lit(1), quarter)).alias("edited"),
     )
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, next_id, n_chars, text_md5, edited_sha256, fp, edited_fp per row."""
+    made = ["doc_id", "next_id", "n_chars", "text_md5", "edited_sha256"]
     rows = edited_pairs(docs).withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["rg", "row", "doc_id", "next_id", "n_chars", "text_md5", "edited_sha256"]
+    rows = rows.select("row", F.struct(*made).alias("doc"), "text", "edited")
     version = lambda v, c: F.struct(F.lit(v).alias("v"), F.col(c).alias("b"))
-    versions = rows.select(*keys, F.explode(F.array(version(0, "text"), version(1, "edited"))).alias("x")).select(*keys, "x.v", "x.b")
-    # Grouping keys hold the range, so votes are summed where the texts are.
-    fps = text_fingerprints(versions, [*keys, "v"], "b")
-    both = fps.groupBy(*keys).agg(
+    versions = rows.select("row", "doc", F.explode(F.array(version(0, "text"), version(1, "edited"))).alias("x")).select("row", "doc", "x.v", "x.b")
+    # Votes are summed where the texts are and dealt out by row: a common doc_id is no hot key.
+    fps = text_fingerprints(versions, ["row", "doc", "v"], "b")
+    both = fps.groupBy("row", "doc").agg(
         F.max(F.when(F.col("v") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("v") == 1, F.col("fp"))).alias("edited_fp")
     )
-    return both.drop("rg", "row")
+    return both.select("doc.*", "fp", "edited_fp")
