@@ -49,12 +49,12 @@ def _tokenizer(path: str):
         tok = Tokenizer.from_file(path)
         ends = np.zeros(tok.get_vocab_size(), bool)
         ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
-        kept = cache.packing = (path, tok, ends, {}, {})
+        kept = cache.packing = (path, tok, ends, {}, [])
     return kept[1:]
 
 
-#: One mark after a letter and before white space is a pre-token of its own.
-_TAIL = re.compile(r"[.,;:!?](?=\s|$)(?<=[a-z\xdf-\xf6\xf8-\xff].)")
+#: Marks after a letter and before white space are a pre-token of their own.
+_TAIL = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-z\xdf-\xf6\xf8-\xff].)[!-&(-/:-@\[-`{-~]*(?=\s|$)")
 #: A word of these is one pre-token.
 _PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 
@@ -97,17 +97,6 @@ def _learn(new: list[str], tok, ends: np.ndarray, known: dict[str, bytes]) -> No
         known[w] = np.array(e.ids, "<u4").tobytes()
 
 
-def _gaps(ids: list) -> list[int]:
-    """Where a list holds None."""
-    out, at = [], -1
-    try:
-        while True:
-            at = ids.index(None, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
-
-
 def encode_batch(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of whole texts, without special tokens added.
 
@@ -116,21 +105,17 @@ def encode_batch(texts: list[str], path: str) -> list[bytes]:
     """
     tok, ends, known, late = _tokenizer(path)
     split = [_words(t) for t in texts]
-    found = [list(map(known.get, ws)) for ws in split]
-    missed = [(ws, ids, at) for ws, ids in zip(split, found) if (at := _gaps(ids))]
-    if missed:
-        if len(late) > LATE_WORDS:
-            late.clear()
-        lost = {ws[i] for ws, _, at in missed for i in at}
-        new = [w for w in lost if w not in late]
-        if new:
-            # Words met first are mostly the frequent ones: they stay.
-            _learn(new, tok, ends, known if len(known) < CACHE_WORDS else late)
-        for ws, ids, at in missed:
-            for i in at:
-                w = ws[i]
-                ids[i] = known[w] if w in known else late[w]
-    return [b"".join(ids) for ids in found]
+    if len(late) > LATE_WORDS:
+        for w in late:
+            del known[w]
+        late.clear()
+    new = list(set().union(*split).difference(known))
+    if new:
+        # Words met first are mostly the frequent ones: they stay.
+        if len(known) >= CACHE_WORDS:
+            late += new
+        _learn(new, tok, ends, known)
+    return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY) -> DataFrame:
