@@ -153,7 +153,8 @@ def guess(model, text: Column) -> Column:
         release()
         return pd.DataFrame(out, columns=["lang_pred", "score", "lang_set", "lang_share"])
 
-    return F.pandas_udf(run, kind)(text)
+    # Costly: not to be worked out once for a filter and again for the columns behind it.
+    return F.pandas_udf(run, kind).asNondeterministic()(text)
 
 
 def predict(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
