@@ -110,16 +110,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, dr
     of their own.  Texts may be of any length.  Columns of the four names are
     replaced.
 
-    Texts are shuffled once, to meet their row of ``shares``; rows that share
-    an id are told apart by source, size and digest, and alike ones by number.
+    Texts are shuffled once, to meet their row of ``shares`` by id.  Rows that
+    share an id are told apart by source, size and digest, and alike ones by number.
     """
     made = ("size", "source_size", "target", "copies")
     keep = [c for c in docs.columns if c not in made]
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), "doc_id", "source", F.xxhash64("text").alias("digest"), count_words(F.col("text")).alias("size")
-    )
     ident = F.coalesce(F.col("doc_id").cast("long"), F.col("digest"))
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy("doc_id", "source", "size", "digest"))
-    number = lambda df: df.withColumn("_id", ident).withColumn("_nth", nth)
-    took = number(shares(docs, weights, seed, draws)).select("_id", "_nth", "source_size", "target", "copies")
-    return number(rows).join(took, ["_id", "_nth"]).select("_row.*", "size", "source_size", "target", "copies")
+    by_id = Window.partitionBy("_id")
+    number = lambda df: df.withColumn("_nth", F.row_number().over(by_id.orderBy("doc_id", "source", "size", "digest")))
+    took = number(shares(docs, weights, seed, draws).withColumn("_id", ident)).withColumn("_n", F.count("*").over(by_id))
+    took = materialise(took.select("_id", "_nth", "_n", F.struct("size", "source_size", "target", "copies").alias("_took")), "took")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
+    digest = F.xxhash64("text").alias("digest")
+    alone = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), digest).alias("_id")).join(took.where("_n = 1"), "_id").select("_row.*", "_took.*")
+    shared = took.where("_n > 1")
+    if shared.isEmpty():
+        return alone
+    rows = docs.select(row, "doc_id", "source", digest, count_words(F.col("text")).alias("size")).withColumn("_id", ident)
+    rows = rows.join(shared.select("_id").distinct(), "_id", "left_semi")
+    return alone.unionByName(number(rows).join(shared, ["_id", "_nth"]).select("_row.*", "_took.*"))
