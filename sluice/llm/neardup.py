@@ -5,86 +5,85 @@ at most three bits, some segment starts a chain whose first 1, 2, 3 and 4
 segments differ in at most 0, 1, 2 and 3 bits in all: the budget 3 shared out in
 proportion.  Chains of length two are enumerated as keys (first segment as it
 is, second within one bit), so equal keys are the only candidates; the rest of
-the chain is checked before the full Hamming distance.
+the chain is checked before the full Hamming distance.  A key that too many
+fingerprints share is dealt out again by chains of three, then of four segments.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, materialise, release, shuffle_partitions, small_batches, words
+from .common import discard, materialise, release, shuffle_partitions, small_batches
 from .components import components
-from .simhash import shingle_fingerprints, shingle_hashes, word_set_fingerprints
+from .simhash import shingle_fingerprints, vote_arrays
 
 RADIUS, SEGMENTS, BITS = 3, 4, 16
-#: Fingerprints under one key that are compared pair by pair; larger groups are
-#: linked by shared neighbours first.
-PAIRWISE = 512
+#: Fingerprints under one key that are compared at once; a key with more goes on to
+#: longer chains.  Keys of four segments hold 43,745 fingerprints at most, since each
+#: is the key's bits and at most three more.
+SPLIT_OVER = 512
 
 
-def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row index, key) for all four chain starts of uint64 fingerprints.
+def cleared(segment: np.ndarray, most: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, variant): each 16-bit segment with every choice of at most ``most`` of its 1-bits cleared.
 
-    A key holds the start, its segment and the next segment.  The next segment
-    also appears with each of its 1-bits cleared, so two fingerprints one bit
-    apart there meet at the one without the bit.
+    Two segments d bits apart meet at their common bits, d cleared at most.
     """
+    at, out = [], []
+    for n in range(RADIUS + 1):
+        may = np.flatnonzero(np.broadcast_to(n <= np.asarray(most), segment.shape))
+        if not len(may):
+            break
+        for bits in combinations(range(BITS), n):
+            mask = np.uint64(sum(1 << b for b in bits))
+            own = may[(segment[may] & mask) == mask]
+            at.append(own)
+            out.append(segment[own] ^ mask)
+    return np.concatenate(at), np.concatenate(out)
+
+
+def segment_of(fp: np.ndarray, i) -> np.ndarray:
+    return (fp >> ((np.asarray(i) % SEGMENTS) * BITS).astype(np.uint64)) & np.uint64(0xFFFF)
+
+
+def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row index, key) for the chains of two segments of uint64 fingerprints: start, its segment, a variant of the next."""
     rows, keys = [], []
-    at = np.arange(len(fp))
     for i in range(SEGMENTS):
-        one = (fp >> np.uint64(BITS * i)) & np.uint64(0xFFFF)
-        two = (fp >> np.uint64(BITS * ((i + 1) % SEGMENTS))) & np.uint64(0xFFFF)
-        head = (np.uint64(i) << np.uint64(32)) | (one << np.uint64(16))
+        at, two = cleared(segment_of(fp, i + 1), 1)
         rows.append(at)
-        keys.append(head | two)
-        for b in range(BITS):
-            bit = np.uint64(1 << b)
-            has = (two & bit) != 0
-            rows.append(at[has])
-            keys.append(head[has] | (two[has] ^ bit))
+        keys.append(np.uint64(i) << np.uint64(32) | segment_of(fp, i)[at] << np.uint64(16) | two)
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def longer_chains(key: np.ndarray, rest: np.ndarray, fp: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row index, rest of the key) of the chains with one segment more, of ``length`` in all.
+
+    All variants of a chain share its budget: what the third segment has cleared the fourth may not.
+    """
+    start = (key >> np.uint64(32) & np.uint64(3)).astype(np.int64)
+    own = segment_of(fp, start + length - 1)
+    most = np.full(len(fp), 2) if length == 3 else RADIUS - np.bitwise_count(rest ^ segment_of(fp, start + 2)).astype(np.int64)
+    at, variant = cleared(own, most)
+    return at, rest[at] << np.uint64(16) | variant
+
+
 def chain_holds(apart: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Does the chain from ``start`` keep its proportional budgets?"""
     total, ok = np.zeros(len(apart), np.int64), np.ones(len(apart), bool)
     for length in range(1, SEGMENTS + 1):
-        s = ((start + length - 1) % SEGMENTS).astype(np.uint64) * np.uint64(BITS)
-        total = total + np.bitwise_count((apart >> s) & np.uint64(0xFFFF))
+        total = total + np.bitwise_count(segment_of(apart, start + length - 1))
         ok &= total <= length * RADIUS // SEGMENTS
     return ok
 
 
-def link_group(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (index pairs) that join all of a large group within RADIUS.
-
-    Distance up to two: two fingerprints share a neighbour (or are one).  Only
-    what the largest group so found leaves out is compared with all others, so
-    no group of copies is ever paired off in full.
-    """
-    n = len(fp)
-    probe = np.concatenate([fp[:, None], fp[:, None] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))[None, :]], axis=1)
-    owner = np.repeat(np.arange(n), 65)
-    flat = probe.ravel()
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    same = flat[1:] == flat[:-1]
-    a, b = owner[:-1][same], owner[1:][same]
-    label = flood(n, a, b)
-    names, sizes = np.unique(label, return_counts=True)
-    rest = np.flatnonzero(label != names[np.argmax(sizes)])
-    for i in rest:
-        near = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= RADIUS)
-        # One link per component met is enough.
-        _, first = np.unique(label[near], return_index=True)
-        a, b = np.append(a, np.full(len(first), i)), np.append(b, near[first])
-    return a, b
-
-
 def flood(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest reachable index of each of ``n`` nodes."""
     label = np.arange(n)
@@ -101,31 +100,20 @@ def flood(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def find_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (fp, root) among rows sorted by key; whole keys only."""
-    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    size = np.diff(np.r_[cut, len(keys)])
-    start = (keys >> np.uint64(32)).astype(np.int64)
-    group = np.repeat(np.arange(len(cut)), size)
-    small = np.repeat(size <= PAIRWISE, size)
+def find_links(group: np.ndarray, start: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star links (fp, root) that join what is within RADIUS in each group of sorted rows."""
+    size = np.bincount(group)
     a, b = [], []
-    most = int(size[size <= PAIRWISE].max(initial=1))
-    live = np.flatnonzero(small & (np.repeat(size, size) > 1))
-    for s in range(1, most):
-        live = live[live + s < len(keys)]
+    live = np.flatnonzero(size[group] > 1)
+    for s in range(1, int(size.max(initial=1))):
+        live = live[live + s < len(group)]
         live = live[group[live] == group[live + s]]
         if not len(live):
             break
         apart = fps[live] ^ fps[live + s]
         ok = np.flatnonzero(chain_holds(apart, start[live]))
-        ok = ok[np.bitwise_count(apart[ok]) <= RADIUS]
         a.append(fps[live[ok]])
         b.append(fps[live[ok] + s])
-    for g in np.flatnonzero(size > PAIRWISE):
-        own = np.unique(fps[cut[g] : cut[g] + size[g]])
-        i, j = link_group(own)
-        a.append(own[i])
-        b.append(own[j])
     if not a:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     a, b = np.concatenate(a), np.concatenate(b)
@@ -135,6 +123,9 @@ def find_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[moved], nodes[label[moved]]
 
 
+_KEYED = "key long, rest long, fp long"
+
+
 def _expand(batches):
     for b in batches:
         fp = b["fp"].to_numpy(np.int64).astype(np.uint64)
@@ -143,42 +134,97 @@ def _expand(batches):
             part = fp[i : i + 20_000]
             rows, keys = chain_keys(part)
             keys = keys.astype(np.int64) | seed[i : i + 20_000][rows] << 40
-            yield pd.DataFrame({"key": keys, "fp": part[rows].astype(np.int64)})
+            yield pd.DataFrame({"key": keys, "rest": 0, "fp": part[rows].astype(np.int64)})
 
 
-def _link(batches):
-    held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _expand_further(length: int):
+    def run(batches):
+        for b in batches:
+            for i in range(0, len(b), 20_000):
+                key, rest, fp = (b[c].to_numpy(np.int64)[i : i + 20_000].astype(np.uint64) for c in ("key", "rest", "fp"))
+                at, more = longer_chains(key, rest, fp, length)
+                yield pd.DataFrame({"key": key[at].astype(np.int64), "rest": more.astype(np.int64), "fp": fp[at].astype(np.int64)})
+        release()
 
-    def out(k, f):
-        parts = [pd.DataFrame({"seed": [], "a": [], "b": []})]
-        seeds = k >> 40
-        for s in np.unique(seeds):
-            own = slice(*np.searchsorted(seeds, [s, s + 1]))
-            a, b = find_links((k[own] & ((1 << 40) - 1)).astype(np.uint64), f[own])
-            parts.append(pd.DataFrame({"seed": np.full(len(a), s), "a": a.astype(np.int64), "b": b.astype(np.int64)}))
-        return pd.concat(parts[1:] or parts, ignore_index=True)
+    return run
 
-    for batch in batches:
-        k = np.concatenate([held_k, batch["key"].to_numpy(np.int64)])
-        f = np.concatenate([held_f, batch["fp"].to_numpy(np.int64).astype(np.uint64)])
-        if not len(k):
-            continue
-        # The last key may go on in the next batch.
-        last = int(np.searchsorted(k, k[-1]))
-        if last:
-            yield out(k[:last], f[:last])
-        held_k, held_f = k[last:], f[last:]
-    if len(held_k):
-        yield out(held_k, held_f)
-    release()
 
+def _link(length: int, most: int):
+    """Links of sorted (key, rest, fp) rows; rows of keys that more than ``most`` share come out as they are."""
+    last_chain = length == SEGMENTS
+
+    def run(batches):
+        names = ("key", "rest", "fp")
+        held = {c: np.zeros(0, np.int64) for c in names}
+        hot = None
+
+        def rows_of(x, at):
+            return pd.DataFrame({"seed": x["key"][at] >> 40, "a": x["fp"][at], "b": 0, "key": x["key"][at], "rest": x["rest"][at], "open": True})
+
+        def settle(x):
+            new = np.r_[True, (x["key"][1:] != x["key"][:-1]) | (x["rest"][1:] != x["rest"][:-1])]
+            group = np.cumsum(new) - 1
+            large = np.bincount(group)[group] > most if not last_chain else np.zeros(len(group), bool)
+            if large.any():
+                yield rows_of(x, large)
+            small = np.flatnonzero(~large)
+            seeds = x["key"][small] >> 40
+            for s in np.unique(seeds):
+                own = small[slice(*np.searchsorted(seeds, [s, s + 1]))]
+                key, fp = x["key"][own].astype(np.uint64), x["fp"][own].astype(np.uint64)
+                _, dense = np.unique(group[own], return_inverse=True)
+                a, b = find_links(dense, (key >> np.uint64(32) & np.uint64(3)).astype(np.int64), fp)
+                if len(a):
+                    yield pd.DataFrame({"seed": s, "a": a.astype(np.int64), "b": b.astype(np.int64), "key": 0, "rest": 0, "open": False})
+
+        for batch in batches:
+            x = {c: np.concatenate([held[c], batch[c].to_numpy(np.int64)]) for c in names}
+            if hot is not None:
+                on = (x["key"] == hot[0]) & (x["rest"] == hot[1])
+                if on.any():
+                    yield rows_of(x, on)
+                    x = {c: v[~on] for c, v in x.items()}
+            if not len(x["key"]):
+                continue
+            # The last key may go on in the next batch; once it is too common its rows pass through.
+            tail = (x["key"] == x["key"][-1]) & (x["rest"] == x["rest"][-1])
+            if not tail.all():
+                yield from settle({c: v[~tail] for c, v in x.items()})
+            held = {c: v[tail] for c, v in x.items()}
+            if not last_chain and len(held["key"]) > most:
+                hot = (held["key"][0], held["rest"][0])
+                yield rows_of(held, slice(None))
+                held = {c: np.zeros(0, np.int64) for c in names}
+        if len(held["key"]):
+            yield from settle(held)
+        release()
+
+    return run
 
-def links_within(fps: DataFrame) -> DataFrame:
+
+def links_within(fps: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """Links (seed, a, b) that join the distinct (seed, fp) of a seed exactly as all pairs within RADIUS would."""
-    spark = fps.sparkSession
-    keyed = fps.select("seed", "fp").mapInPandas(_expand, "key long, fp long")
-    dealt = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(_link, "seed long, a long, b long").distinct()
+    n = shuffle_partitions(fps.sparkSession)
+    keyed, found = fps.select("seed", "fp").mapInPandas(_expand, _KEYED), []
+    for length in range(2, SEGMENTS + 1):
+        dealt = keyed.repartition(n, "key", "rest").sortWithinPartitions("key", "rest")
+        out = materialise(dealt.mapInPandas(_link(length, split_over), "seed long, a long, b long, key long, rest long, open boolean"), "near")
+        found.append(out.where("not open").select("seed", "a", "b"))
+        left = out.where("open")
+        if length == SEGMENTS or left.isEmpty():
+            break
+        keyed = left.select("key", "rest", F.col("a").alias("fp")).mapInPandas(_expand_further(length + 1), _KEYED)
+    return star(reduce(DataFrame.unionByName, found), "seed")
+
+
+def star(links: DataFrame, *within: str) -> DataFrame:
+    """Links (a, b) with the same components and about one of each a.
+
+    An a has few links, for it has few keys: they all go to the least of its ends, and so does the a.
+    """
+    ends = F.transform(F.concat(F.array("a"), "bs"), lambda x: F.struct(x.alias("a"), F.array_min("bs").alias("b")))
+    near = links.groupBy(*within, "a").agg(F.collect_set("b").alias("bs"))
+    return near.select(*within, F.explode(ends).alias("e")).select(*within, "e.*").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -191,8 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] =
     """
     marked = materialise(shingle_fingerprints(docs, list(carry), shingle), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("seed", F.lit(0)), "distinct")
-    links = materialise(links_within(distinct), "near")
-    roots = components(links, "a", "b")
+    roots = components(links_within(distinct), "a", "b")
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(lowest, "root").select("fp", "component_id")
@@ -385,19 +430,6 @@ def band_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _bands(batches):
-    seen: set[int] = set()
-    for b in batches:
-        own = b.column("key").to_numpy()
-        first = [i for i, k in enumerate(own.tolist()) if not (k in seen or seen.add(k))]
-        if not first:
-            continue
-        sh = b.column("sh").take(pa.array(first, pa.int64()))
-        keys = band_keys(sh.flatten().to_numpy().view(np.uint64), sh.offsets.to_numpy()[:-1].astype(np.int64) - sh.offsets[0].as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(own[first], BANDS))], names=["band", "key"])
-    release()
-
-
 def _chain_bands(batches):
     """Links of each key to the first one of its band, of sorted rows."""
     band = first = None
@@ -416,28 +448,148 @@ def _chain_bands(batches):
     release()
 
 
-def shingle_sets(word_col: Column) -> Column:
-    """What similarity is measured on; texts without words are alike."""
-    return F.when(F.size(word_col) > 0, shingle_hashes(word_col, SHINGLE)).otherwise(F.array(F.lit(0).cast("long")))
+# --- texts as hashes ----------------------------------------------------------
+
+_BYTES = np.arange(256)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+_GAP = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
+#: Bytes of a word that are hashed position by position for all words at once; longer words one by one.
+_SHORT_WORD = 40
+_ODD = np.random.default_rng(5).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every word of the texts ``data[edge[i]:edge[i + 1]]``, A-Z lower-cased, in order."""
+    low = _LOWER[data]
+    solid = ~_GAP[data]
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    inner = edge[(edge > 0) & (edge < len(data))]
+    begins[inner] = solid[inner]
+    ends[inner - 1] = solid[inner - 1]
+    start = np.flatnonzero(begins)
+    size = np.flatnonzero(ends) + 1 - start
+    h = size.astype(np.uint64) * _ODD[0]
+    order = np.argsort(-size, kind="stable")
+    many = np.searchsorted(-size[order], -np.arange(1, _SHORT_WORD + 1), side="right")
+    for j in range(_SHORT_WORD):
+        # The words with more than j bytes.
+        own = order[: many[j]]
+        if not len(own):
+            break
+        h[own] = (h[own] ^ low[start[own] + j]) * _ODD[1 + j % 8]
+        h[own] ^= h[own] >> np.uint64(29)
+    if (size > _SHORT_WORD).any():
+        import xxhash
+
+        for i in np.flatnonzero(size > _SHORT_WORD):
+            h[i] = xxhash.xxh64_intdigest(low[start[i] : start[i] + size[i]].tobytes(), 42)
+    return mixed(h), np.searchsorted(edge, start, side="right") - 1
+
+
+def shingle_runs(words: np.ndarray, text: np.ndarray, n_texts: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, edges): every run of ``size`` words of each text; of fewer words the whole sequence; of none a single 0."""
+    count = np.bincount(text, minlength=n_texts)
+    first = np.cumsum(count) - count
+    runs = np.maximum(count - size + 1, 1)
+    edge = np.r_[0, np.cumsum(runs)]
+    own = np.repeat(np.arange(n_texts), runs)
+    at = first[own] + np.arange(edge[-1]) - edge[own]
+    out = np.zeros(edge[-1], np.uint64)
+    for k in range(size):
+        in_text = np.flatnonzero(k < count[own])
+        out[in_text] += words[at[in_text] + k] * _ODD[16 + k]
+    out = mixed(out)
+    out[count[own] == 0] = 0
+    return out, edge
+
+
+def distinct_runs(values: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run sorted and without repeats."""
+    own = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    order = np.lexsort((values, own))
+    values, own = values[order], own[order]
+    keep = np.r_[True, (values[1:] != values[:-1]) | (own[1:] != own[:-1])] if len(values) else np.zeros(0, bool)
+    return values[keep], np.r_[0, np.cumsum(np.bincount(own[keep], minlength=len(edge) - 1))]
+
+
+def _texts(batches, seen: set):
+    """(rows, bytes, edges) of the texts that this task has not met, about a megabyte at a time."""
+    for b in batches:
+        keys, column = b.column("key").to_pylist(), b.column("text")
+        rows = np.array([i for i, k in enumerate(keys) if not (k in seen or seen.add(k))], np.int64)
+        sizes = np.asarray(pa.compute.binary_length(column))
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[rows[at:]]), 1 << 20, side="right")))
+            part = column.take(pa.array(rows[at:to]))
+            offsets = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+            data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            yield b, rows[at:to], data, offsets - offsets[0]
+            at = to
 
 
-def band_links(docs: DataFrame) -> DataFrame:
-    """Links (a, b) that join the keys of texts with a band of shingle minima in common.
+def _lists_of(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(np.ascontiguousarray(values).view(np.int64)))
 
-    ``docs``: key (long), text.  Copies that one task meets go on once.
-    """
-    ws = docs.select("key", words(ascii_lower(F.col("text"))).alias("ws"))
-    rows = ws.select("key", shingle_sets(F.col("ws")).alias("sh")).mapInArrow(_bands, "band long, key long")
-    dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "band").sortWithinPartitions("band", "key")
-    return dealt.mapInPandas(_chain_bands, "a long, b long").distinct()
+
+def _sketches(seeds: int):
+    """Per text: ``seeds`` fingerprints of its distinct words, and its BANDS keys of shingle minima."""
+
+    def run(batches):
+        for b, rows, data, edge in _texts(batches, set()):
+            n = len(rows)
+            h, text = word_hashes(data, edge)
+            shingles, at = shingle_runs(h, text, n)
+            bands = band_keys(shingles, at[:-1])
+            bag, cut = distinct_runs(h, np.r_[0, np.cumsum(np.bincount(text, minlength=n))])
+            fps = np.stack([vote_arrays(mixed(bag + _ODD[32 + s]), cut[:-1], cut[1:]) for s in range(seeds)], axis=1)
+            every = lambda k: np.arange(n + 1) * k
+            yield pa.RecordBatch.from_arrays(
+                [b.column("short").take(pa.array(rows)), _lists_of(fps.ravel(), every(seeds)), _lists_of(bands.ravel(), every(BANDS))], names=["key", "fps", "bands"]
+            )
+        release()
+
+    return run
+
+
+def _first_met(batches):
+    """Rows whose text this task has not met."""
+    seen: set[str] = set()
+    for b in batches:
+        keys = b.column("key").to_pylist()
+        rows = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+        yield b.take(pa.array(rows, pa.int64()))
+    release()
+
+
+def _shingle_rows(batches):
+    """Distinct shingles per (root, id, key, text) row."""
+    for b, rows, data, edge in _texts(batches, set()):
+        h, text = word_hashes(data, edge)
+        own, at = distinct_runs(*shingle_runs(h, text, len(rows)))
+        keep = [b.column(c).take(pa.array(rows)) for c in ("root", "id", "key")]
+        yield pa.RecordBatch.from_arrays([*keep, _lists_of(own, at)], names=["root", "id", "key", "sh"])
+    release()
+
+
+# --- one of each group ----------------------------------------------------------
 
 
 def candidate_groups(docs: DataFrame, seeds: int) -> DataFrame:
-    """(node, root) over text digests: texts that some fingerprint puts within RADIUS or that share a band, transitively.
+    """(node, root) over ``short``: texts that some fingerprint puts within RADIUS or that share a band, transitively.
 
-    ``docs``: key (digest of the text, a long), text.
+    ``docs``: key (digest of the text), short (60 bits of it), text.
     """
-    marked = materialise(word_set_fingerprints(docs, ["key"], seeds), "fingerprints")
+    made = materialise(docs.select("key", "short", "text").mapInArrow(_sketches(seeds), "key long, fps array<long>, bands array<long>"), "sketches")
+    marked = made.select("key", F.posexplode("fps").alias("seed", "fp"))
     # A text stands for its copies, a fingerprint for its least text.
     per = materialise(marked.groupBy("seed", "fp").agg(F.min("key").alias("rep"), F.max("key").alias("other")), "distinct")
     shared = per.where("rep <> other").select("seed", "fp", "rep")
@@ -445,7 +597,11 @@ def candidate_groups(docs: DataFrame, seeds: int) -> DataFrame:
     near = links_within(per)
     end = lambda name: per.select("seed", F.col("fp").alias(name), F.col("rep").alias(f"{name}_key"))
     across = near.join(end("a"), ["seed", "a"]).join(end("b"), ["seed", "b"]).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
-    return components(same.unionByName(across).unionByName(band_links(docs)), "a", "b")
+    banded = made.select(F.explode("bands").alias("band"), "key").repartition(shuffle_partitions(docs.sparkSession), "band").sortWithinPartitions("band", "key")
+    alike = star(banded.mapInPandas(_chain_bands, "a long, b long"))
+    roots = components(same.unionByName(across).unionByName(alike), "a", "b")
+    discard(made, per)
+    return roots
 
 
 def one_per_group(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
@@ -455,21 +611,31 @@ def one_per_group(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     words is within RADIUS bits of 64, or that share a band of shingle minima:
     fingerprints miss copies with words added.  Within such a group a text goes if its
     five-word shingles are at least SIMILARITY like those of a text with a
-    smaller id.  Of equal texts, and of repeated rows, one stays.  A null id is
-    larger than any; a null text is empty.
+    smaller id that stays.  Of equal texts, and of repeated rows, one stays.  A null id is
+    larger than any; a null text is empty; texts without words are alike.  An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    key, never = F.md5(F.coalesce(F.col("text"), F.lit(""))), F.lit((1 << 63) - 1)
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), never).alias("id"), key.alias("key"), "text")
+    text, never = F.coalesce(F.col("text"), F.lit("")), F.lit((1 << 63) - 1)
+    key, ident = F.md5(text), F.coalesce(F.col("doc_id").cast("long"), never)
     # Candidates go by 60 bits of the digest: texts that share them fall in one group, no more.
-    slim = slim.withColumn("short", F.conv(F.substring("key", 1, 15), 16, 10).cast("long"))
-    roots = materialise(candidate_groups(slim.select(F.col("short").alias("key"), "text"), seeds), "groups")
+    short = lambda c: F.conv(F.substring(c, 1, 15), 16, 10).cast("long")
+    slim = docs.select(key.alias("key"), short(key).alias("short"), text.alias("text"))
+    copies = docs.select(key.alias("key"), ident.alias("id")).groupBy("key", "id").agg(F.count("*").alias("n"))
+    least = materialise(copies.groupBy("key").agg(F.min(F.struct("id", "n")).alias("x")).select("key", "x.*"), "least")
+    roots = candidate_groups(slim, seeds)
     members = roots.select(F.col("node").alias("short"), "root").unionByName(roots.select(F.col("root").alias("short"), "root").distinct())
-    worded = slim.join(members, "short").select("root", "id", "key", words(ascii_lower(F.col("text"))).alias("ws"))
-    texts = worded.select("root", "id", "key", F.array_distinct(shingle_sets(F.col("ws"))).alias("sh")).groupBy("root", "key").agg(F.min("id").alias("id"), F.first("sh").alias("sh"))
-    gone = near_copies(materialise(texts, "shingles"))
-    stay = slim.groupBy("key").agg(F.min("id").alias("_id")).join(gone, "key", "left_anti").withColumnRenamed("key", "_key")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), never).alias("_id"), key.alias("_key"))
-    kept = rows.join(stay, ["_id", "_key"], "left_semi")
+    members = materialise(least.withColumn("short", short("key")).join(members, "short").select("key", "root", "id"), "members")
+    bodies = slim.select("key", "text").mapInArrow(_first_met, "key string, text string").join(members, "key")
+    sets = bodies.select("root", "id", "key", "text").mapInArrow(_shingle_rows, "root long, id long, key string, sh array<long>")
+    texts = materialise(sets.groupBy("root", "key").agg(F.first("id").alias("id"), F.first("sh").alias("sh")), "shingles")
+    gone = near_copies(texts)
+    stay = materialise(least.join(gone, "key", "left_anti").select(F.col("id").alias("_id"), F.col("key").alias("_key"), "n"), "stay")
+    discard(roots, members, texts, least)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ident.alias("_id"), key.alias("_key"))
+    kept = rows.join(stay, ["_id", "_key"])
+    one = kept.where("n = 1").select("_row.*")
+    if stay.where("n > 1").isEmpty():
+        return one
     once = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
+    many = kept.where("n > 1").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select("_row.*")
+    return one.unionByName(many)

@@ -1,16 +1,20 @@
-"""SimHash fingerprints, all in DataFrame expressions.
+"""SimHash fingerprints.
 
-Every term hash votes on 64 signed bits with its weight.  Votes are summed two
-bits to a long (32-bit fields), so a document costs 33 sums and the shuffle
-carries 33 longs per document, never a term.
+Every term hash votes on 64 signed bits with its weight.  The weighted form is
+all DataFrame expressions: votes are summed two bits to a long (32-bit fields),
+so a document costs 33 sums and the shuffle carries 33 longs per document, never
+a term.  Unweighted fingerprints of shingles are counted in Arrow batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ascii_lower, fresh, materialise, words
+from .common import ascii_lower, fresh, materialise, release, small_batches, words
 from .ordering import successors
 
 _FIELD = 0x0000000100000001
@@ -83,27 +87,51 @@ def shingle_hashes(word_col: Column, size: int) -> Column:
     return F.when(n >= size, many).when(n > 0, few).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
+def vote_arrays(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Unweighted fingerprints (uint64) of the runs starts..ends of hashes: a bit is 1 if set in over half; of an empty run 0."""
+    out = np.zeros(len(starts), np.uint64)
+    full = np.flatnonzero(ends > starts)
+    at = 0
+    while at < len(full):
+        # As many runs as make about 100,000 hashes, one at least; a long run is summed in parts.
+        lo = starts[full[at]]
+        to = max(at + 1, int(np.searchsorted(ends[full], lo + 100_000, side="right")))
+        own = full[at:to]
+        if to == at + 1:
+            votes = np.zeros((1, 64), np.int64)
+            for s in range(int(lo), int(ends[own[0]]), 100_000):
+                part = np.ascontiguousarray(flat[s : min(s + 100_000, int(ends[own[0]]))]).view(np.uint8).reshape(-1, 8)
+                votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        else:
+            part = np.ascontiguousarray(flat[lo : ends[own[-1]]]).view(np.uint8).reshape(-1, 8)
+            votes = np.add.reduceat(np.unpackbits(part, axis=1, bitorder="little"), (starts[own] - lo).astype(np.int64), axis=0, dtype=np.int32)
+        won = votes * 2 > (ends[own] - starts[own])[:, None]
+        out[own] = np.packbits(won, axis=1, bitorder="little").view(np.uint64).ravel()
+        at = to
+    return out
+
+
 def shingle_fingerprints(docs: DataFrame, carry: list[str], shingle: int = 3, text_col: str = "text") -> DataFrame:
     """Each row's ``carry`` columns and its unweighted shingle fingerprint ``fp``.
 
-    Repeated rows stay apart; a null text counts as empty.
+    Repeated rows stay apart; a null text counts as empty.  Hashes are made in
+    the JVM and their votes counted in Arrow batches: nothing is shuffled.
     """
-    row, ws, h = fresh(docs, "row", "ws", "h")
-    split = docs.select(*carry, F.monotonically_increasing_id().alias(row), words(ascii_lower(F.col(text_col))).alias(ws))
-    terms = split.select(*carry, row, F.explode_outer(shingle_hashes(F.col(ws), shingle)).alias(h))
-    return vote(terms, [*carry, row], h).drop(row)
-
-
-def word_set_fingerprints(docs: DataFrame, carry: list[str], seeds: int, text_col: str = "text") -> DataFrame:
-    """``carry``, seed and fp: each row's fingerprints over its distinct words, ``seeds`` independent ones."""
-    row, ws, seed, h = fresh(docs, "row", "ws", "seed", "h")
-    bag = F.array_distinct(words(ascii_lower(F.col(text_col))))
-    split = docs.select(*carry, F.monotonically_increasing_id().alias(row), bag.alias(ws))
-    terms = split.select(*carry, row, F.explode_outer(ws).alias(ws))
-    draws = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.when(F.col(ws).isNotNull(), F.xxhash64(ws, F.lit(s))).alias("h")) for s in range(seeds)]))
-    terms = terms.select(*carry, row, draws.alias(h)).select(*carry, row, F.col(f"{h}.s").alias(seed), F.col(f"{h}.h").alias(h))
-    out = vote(terms, [*carry, row, seed], h)
-    return out.select(*carry, F.col(seed).alias("seed"), "fp")
+    small_batches(docs.sparkSession)
+    ws, sh = fresh(docs, "ws", "sh")
+    split = docs.select(*carry, words(ascii_lower(F.col(text_col))).alias(ws))
+    hashed = split.select(*carry, shingle_hashes(F.col(ws), shingle).alias(sh))
+
+    def count(batches):
+        for b in batches:
+            got = b.column(len(carry))
+            ends = got.offsets.to_numpy().astype(np.int64) - got.offsets[0].as_py()
+            fp = vote_arrays(got.flatten().to_numpy().view(np.uint64), ends[:-1], ends[1:])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*carry, "fp"])
+        release()
+
+    fields = [T.StructField(f.name, f.dataType) for f in split.schema if f.name != ws]
+    return hashed.mapInArrow(count, T.StructType([*fields, T.StructField("fp", T.LongType())]))
 
 
 def text_fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
