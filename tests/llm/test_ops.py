@@ -53,9 +53,35 @@ def test_wrapper_names_do_not_lose_the_article():
     assert [htmltext.main_text(w) for w in wraps] == [f"{ARTICLE}\n{ARTICLE}"] * len(wraps)
     aside = f"<div class='comments'><article><p>{ARTICLE} 3</p></article></div><div style='display:none'><article>{two}</article></div>"
     assert htmltext.main_text(f"<article>{two}</article>{aside}") == f"{ARTICLE}\n{ARTICLE}"
-    # A name inside a run of content is for the cut to weigh; alone it is not content.
-    near = f"<p>{ARTICLE * 2}</p><p class='notice'>{ARTICLE * 2}</p><p>{ARTICLE * 2}</p>"
-    assert htmltext.main_text(f"<article>{near}</article>").count("\n") == 2
+    # What is named a notice goes; a name that only holds such a word is for the cut to weigh.
+    near = lambda c: f"<article><p>{ARTICLE * 2}</p><p class='{c}'>{ARTICLE * 2}</p><p>{ARTICLE * 2}</p></article>"
+    kept = [htmltext.main_text(near(c)).count("\n") == 2 for c in ("story-social-history", "lead", "notice", "ad-box", "share bottom", "article-comments")]
+    assert kept == [True, True, False, False, False, False]
+
+
+def test_the_cut_overrules_the_classifier_both_ways():
+    short = f"<div><p>{ARTICLE}</p><p>Nine of ten</p><p>{ARTICLE} 2</p></div>"
+    list_ = "".join(f"<li><a href=x{i}>Some link {i}</a></li>" for i in range(4))
+    menu = f"<ul>{list_}<li>{ARTICLE}</li>{list_}</ul>"
+    told = htmltext.labelled(short)
+    assert told[1][1] < 0 and told[1][2] and htmltext.main_text(short) == f"{ARTICLE}\nNine of ten\n{ARTICLE} 2"
+    told = htmltext.labelled(menu)
+    assert told[4][1] > 0 and not told[4][2] and htmltext.main_text(menu) == ""
+    assert htmltext.main_text(f"<div>{short}</div>{menu}") == f"{ARTICLE}\nNine of ten\n{ARTICLE} 2"
+
+
+def test_deep_and_long_pages_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.time()
+        assert htmltext.main_text("<div>" * n + f"<p>{ARTICLE}" + "<b>" * n + "</i>" * n + f"<p>{ARTICLE}" * 50).count("\n") == 50
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+    df = spark.createDataFrame([(f"<p>{ARTICLE}",)] * 3, "html string")
+    assert {r.t for r in df.select(htmltext.extract_text(F.col("html")).alias("t")).collect()} == {ARTICLE}
+    assert df.limit(0).select(htmltext.extract_text(F.col("html")).alias("t")).count() == 0
 
 
 def test_broken_markup_does_not_end_the_page():
@@ -80,7 +106,7 @@ def test_min_cut_is_minimal():
 
 
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "BLOCK_COMPONENTS", 64)
     rng = random.Random(2)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.03, 0.5]) for _ in range(rng.choice([4, 4, 6]))]) for i in range(60)]
     rows += [(60, None), (61, [1.0, None, 0.0, 0.0]), (62, [float("nan")] * 4), (63, [float("inf")] * 4), (None, [1.0] * 4), (5, [0.5] * 4), (64, [])]
@@ -94,9 +120,22 @@ def test_top_k(spark, monkeypatch):
         (own,) = [v for i, v in good if i == q]
         best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in good if i != q)[:7]
         assert sorted(got[q]) == [(k + 1, s, i) for k, (s, i) in enumerate(best)]
-    assert set(got) == {0, 20, 40} and topk.top_k(df.limit(0), "vec_id", "v", F.lit(True)).count() == 0
-    with pytest.raises(OverflowError):
-        list(topk.term_at_a_time((np.array([1]), np.array([0, 1]), np.array([2**40])), (np.array([2]), np.array([0, 1]), np.array([2**40])), 1))
+    assert set(got) == {0, 20, 40} and all(len(x) == 7 for x in got.values()) and topk.top_k(df.limit(0), "vec_id", "v", F.lit(True)).count() == 0
+
+
+def test_top_k_of_repeated_queries_and_large_components(spark):
+    rows = [(i, [float(i % 7 - 3), 1.0, 0.25]) for i in range(30)] + [(20, [2.0, 0.0, 1.0]), (20, [2.0, 0.0, 1.0]), (31, [1e30, -1e30, 2.0]), (40, [1e10, 1e10, -1.0]), (33, [1e18])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    df = df.withColumn("v", topk.integer_vectors(F.col("embedding")))
+    got = [(r.query_id, r["rank"], r.score, r.vec_id) for r in topk.top_k(df, "vec_id", "v", F.col("vec_id") % 20 == 0, 4).collect()]
+    held = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = [(i, [held(int(np.floor(64 * x))) for x in v]) for i, v in rows]
+    want = []
+    for i, v in whole:
+        if i % 20 == 0:
+            best = sorted((-held(sum(a * b for a, b in zip(v, w))), j) for j, w in whole if j != i)[:4]
+            want += [(i, k + 1, -s, j) for k, (s, j) in enumerate(best)]
+    assert sorted(got) == sorted(want) and len(got) == 4 * 5
 
 
 # --- 3: languages -----------------------------------------------------------------
@@ -115,6 +154,13 @@ def test_languages(spark):
     assert [r.lang_pred for r in got] == ["xx", "zz", "xx", "und", "und", "und", "yy"]
     assert set(got[2].lang_set) == {"xx", "yy"} and abs(got[2].lang_share[0] - 0.6) < 0.05 and got[0].lang_set == ["xx"]
     assert all(0 <= r.score <= 1 for r in got) and [r.score for r in got[3:6]] == [0, 0, 0]
+    five = ["abcde", "fghij", "klmno", "pqrst", "uvwxyz"]
+    many = spark.createDataFrame([(i, " ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(80)), f"l{k}") for i in range(8) for k, a in enumerate(five)], "doc_id long, text string, lang string")
+    mixture = " ".join(" ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(60)) for a in five)
+    (told,) = langid.predict(docs(spark, [mixture]), langid.train(many)).collect()
+    assert sorted(told.lang_set) == [f"l{k}" for k in range(5)] and all(abs(x - 0.2) < 0.05 for x in told.lang_share)
+    twice = langid.predict(docs(spark, ["fgh jih"] * 2, [4, 4]), model).collect()
+    assert [r.lang_pred for r in twice] == ["yy", "yy"] and langid.predict(df.limit(0), model).count() == 0
     none = langid.train(train.limit(0))
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
     out = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", langid.held_out().alias("h")).collect()
@@ -186,18 +232,62 @@ def labels(fps, links):
     return neardup.flood(len(fps), a, b).tolist()
 
 
-@pytest.mark.parametrize("pairwise", [512, 2])
-def test_links_join_what_all_pairs_would(spark, monkeypatch, pairwise):
-    monkeypatch.setattr(neardup, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("split_over", [512, 8, 1])
+def test_links_join_what_all_pairs_would(spark, split_over):
     rng = random.Random(5)
-    fps = sorted(set(some_fingerprints(rng, 200) + [0, 1, -1, -2] + [1 << i for i in range(12)]))
-    df = spark.createDataFrame([(x, 0) for x in fps], "fp long, seed int")
-    got = [(r.a, r.b) for r in neardup.links_within(df).collect()]
-    want = near_pairs(fps)
-    assert labels(fps, got) == labels(fps, list(want))
-    u = np.array(sorted(x % (1 << 64) for x in fps), np.uint64)
-    i, j = neardup.link_group(u)
-    assert neardup.flood(len(u), i, j).tolist() == neardup.flood(len(u), *np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 3)).tolist()
+    fps = sorted(set(some_fingerprints(rng, 200) + [0, 1, -1, -2] + [1 << i for i in range(12)] + [7 ^ (1 << i) for i in range(40, 60)]))
+    df = spark.createDataFrame([(x, 0) for x in fps] + [(x, 3) for x in fps[:20]], "fp long, seed int")
+    got = [(r.seed, r.a, r.b) for r in neardup.links_within(df, split_over).collect()]
+    assert all(bin((a ^ b) % (1 << 64)).count("1") <= 6 or labels(fps, near_pairs(fps))[fps.index(a)] == labels(fps, near_pairs(fps))[fps.index(b)] for _, a, b in got)
+    for seed, own in ((0, fps), (3, fps[:20])):
+        assert labels(own, [(a, b) for s, a, b in got if s == seed]) == labels(own, list(near_pairs(own)))
+
+
+def test_chains_meet_at_every_length():
+    rng = random.Random(8)
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), rng.randint(0, 3)):
+            y ^= 1 << b
+        fp = np.array([x, y], np.uint64)
+        rows, keys = neardup.chain_keys(fp)
+        rest = np.zeros(len(keys), np.uint64)
+        for length in (2, 3, 4):
+            if length > 2:
+                at, more = neardup.longer_chains(keys, rest, fp[rows], length)
+                rows, keys, rest = rows[at], keys[at], more
+            own = [set(zip(keys[rows == i].tolist(), rest[rows == i].tolist())) for i in (0, 1)]
+            assert own[0] & own[1], length
+
+
+def test_word_and_shingle_hashes():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abC \t\n\x0bé") for _ in range(rng.randint(0, 60))).encode() for _ in range(200)] + [b"", b"  ", b"x" * 100 + b" Y"]
+    edge = np.r_[0, np.cumsum([len(b) for b in texts])]
+    h, text = neardup.word_hashes(np.frombuffer(b"".join(texts), np.uint8), edge)
+    sh, at = neardup.shingle_runs(h, text, len(texts))
+    import re
+
+    words, runs, k = {}, {}, 0
+    for i, b in enumerate(texts):
+        ws = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", b)]
+        for w in ws:
+            assert text[k] == i and words.setdefault(w, h[k]) == h[k]
+            k += 1
+        want = [tuple(ws[j : j + 5]) for j in range(len(ws) - 4)] or [tuple(ws)]
+        assert len(want) == at[i + 1] - at[i] and all(runs.setdefault(a, x) == x for a, x in zip(want, sh[at[i] : at[i + 1]]))
+    assert k == len(h) and len(set(words.values())) == len(words) and len(set(runs.values())) == len(runs)
+    flat, cut = neardup.distinct_runs(np.array([3, 1, 3, 2, 2], np.uint64), np.array([0, 3, 3, 5]))
+    assert flat.tolist() == [1, 3, 2] and cut.tolist() == [0, 2, 2, 3]
+
+
+def test_votes_are_those_of_each_bit():
+    rng = np.random.default_rng(4)
+    flat = rng.integers(0, 1 << 64, 250_000, np.uint64)
+    edge = np.r_[0, np.sort(rng.integers(0, 40_000, 60)), 40_000, 200_000, 200_000, 250_000]
+    for a, b, fp in zip(edge, edge[1:], simhash.vote_arrays(flat, edge[:-1], edge[1:])):
+        assert all((int(fp) >> i & 1) == (2 * int((flat[a:b] >> np.uint64(i) & np.uint64(1)).sum()) > b - a) for i in range(64))
 
 
 def test_components(spark):
@@ -288,8 +378,9 @@ def test_band_keys_meet_with_the_similarity():
 
 def test_token_tree():
     encode = tokencount._encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    rng, alpha = random.Random(5), "ab c  \n\té'st1,. \x1c"
-    for _ in range(300):
+    rng = random.Random(5)
+    for k in range(500):
+        alpha = ("ab c  \n\té'st1,. \x1c", "a日本1'²½s!_\x1c", "ab1'S,.'s't'll<>")[k % 3]
         s = "".join(rng.choice(alpha) for _ in range(rng.randint(0, 200)))
         tree = tokencount.TokenTree(s, encode, rng.choice([4, 16, 50]))
         for _ in range(5):
@@ -311,6 +402,11 @@ def test_token_counts(spark):
         new = t[:3] + "X y" + t[3:]
         assert got[i][1:5] == (len(t), len(encode(t)), len(new), len(encode(new)))
     assert got[2][5] < 5_000 < len(long)
+    assert df.limit(0).select(tokencount.count_tokens(F.col("text"), edit, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)).count() == 0
+    tight = tokencount.TokenTree("日本語テキスト。123;" * 2_000, encode)
+    built = tight.encoded_chars
+    tight.edit(9_000, 9_010, "x1y")
+    assert tight.encoded_chars - built < 5_000 and tight.n_tokens == len(encode(tight.text()))
     assert [r[1:5] for r in call(F.lit(None).cast("array<struct<start:int,end:int,new:string>>"))] == [(r[1], r[2], r[1], r[2]) for r in got]
 
 
@@ -366,6 +462,21 @@ def test_url_filter(spark):
     assert {r.verdict for r in urlfilter.judge(df, url_list(spark).limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("chars", [16 << 20, 0])
+def test_url_filter_on_a_long_list_and_long_urls(spark, monkeypatch, chars):
+    monkeypatch.setattr(urlfilter, "BROADCAST_CHARS", chars)
+    listed = url_list(spark)
+    assert listed.count() > 100_000
+    long = "a." * 200_000 + "listed-7.example"
+    us = [f"http://{long}/x", "http://m.listed-49999.example/", "http://listed-50000.example/p/100000", "http://listed-0.example", "http://x.org/" + "p" * 300_000, None]
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame(list(enumerate(us)), "page_id long, url string"), listed).collect()}
+    assert got == {0: (None, "block"), 1: (None, "block"), 2: (None, "allow"), 3: (None, "block"), 4: ("org/", "allow"), 5: (None, "allow")}
+    assert urlfilter.candidate_keys("a.b.c", "/xy", [(1, 0), (1, 2), (3, 1), (4, 0), (2, 9)]) == ["c", "c/x", "a.b.c/"]
+    bloom, _, _ = urlfilter.build_filter(listed)
+    hits = bloom.might_hold([f"unlisted-{i}.example" for i in range(50_000)]).mean()
+    assert hits < 0.02
+
+
 def test_bloom_has_no_false_negatives():
     bloom, keys = urlfilter.BlockedBloom(5_000), [f"h{i}/p" for i in range(5_000)]
     bloom.add(keys)
@@ -400,10 +511,24 @@ def test_plan_places_every_length_once(groups):
         assert set(got) == set(h)
 
 
-def test_packing_round_trip(spark):
+ADDED = ["<|ENDOFTEXT|>", "x <|EndOfText|> y", "A<|ENDOFTEXT|>.", "A<|endoftext|>B. Don'T", "<|StartOfText|><|startoftext|>", "<| endoftext |> É<|"]
+
+
+def test_ids_are_the_tokenizers_own():
+    path = P.path("word_bpe_49k.json")
+    tok, rng = tokenizers.Tokenizer.from_file(path), random.Random(19)
+    alphabet = ["<|", "|>", "endoftext", "ENDOFTEXT", "startOfText", "<|endoftext|>", " ", "A", "z", "É", "ß", ".", "'S", "'t", "\x00", "\x1c", "\xa0", "\u0301", "K", "7", "\n"]
+    texts = ADDED + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(4_000)]
+    for t, ids in zip(texts, packing.encode_batch(texts, path)):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("rank_rows", [100_000, 3])
+def test_packing_round_trip(spark, monkeypatch, rank_rows):
+    monkeypatch.setattr(packing, "RANK_ROWS", rank_rows)
     path = P.path("word_bpe_49k.json")
     rng = random.Random(9)
-    texts = [None, "", " \n", "one", "Don't STOP... now, a.b,c é ΣΑΣ Σ. <|endoftext|> x\x1cy\xa0z", "word, " * 9_000] + [" ".join(rng.choice(["alpha", "Béta,", "x1", "gamma."]) for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    texts = [None, "", " \n", "one", "Don't STOP... now, a.b,c é ΣΑΣ Σ. <|endoftext|> x\x1cy\xa0z", "word, " * 9_000, *ADDED] + [" ".join(rng.choice(["alpha", "Béta,", "x1", "gamma."]) for _ in range(rng.randint(1, 900))) for _ in range(60)]
     df = docs(spark, texts + texts[3:5], [*range(len(texts)), 3, 4], piece=1, offset=2)
     rows = packing.pack(df, path).collect()
     tok, want = tokenizers.Tokenizer.from_file(path), []
