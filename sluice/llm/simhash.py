@@ -59,7 +59,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def weighted_terms(word_col: Column) -> Column:
     """Adjacent word pairs as (hash, weight): longer words say more, so they weigh more."""
-    following = F.slice(word_col, 2, 2147483647)
+    # The length must not overflow with the start: slice would give an empty array.
+    following = F.slice(word_col, F.lit(2), F.greatest(F.size(word_col), F.lit(1)))
     return F.zip_with(
         word_col,
         following,
