@@ -606,6 +606,32 @@ def test_repeats(spark, hot):
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from sluice.llm import common
+
+    session = lambda master, conf=None, context=None: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *_: conf), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: context)
+    )
+    for master in ("spark://a:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(session(master))
+        assert common.shared_dir(session(master, "hdfs://x/")) == "hdfs://x" and common.shared_dir(session(master, None, "hdfs://y")) == "hdfs://y"
+    assert common.shared_dir(session("local[4]")).startswith("file://")
+
+
+def test_scratch_keeps_only_what_it_is_told(spark):
+    from sluice.llm.common import materialise, scratch
+
+    with scratch(spark) as keep:
+        gone = materialise(spark.range(3), "a")
+        kept = keep(materialise(gone, "b"))
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(gone.inputFiles()[0]).count()
+
+
 def test_sql_names_are_queries():
     from sluice.llm.queries import QUERIES
 
