@@ -26,7 +26,7 @@ CAPACITY, END_ID = 2_048, 0
 #: Lengths over this share of the capacity count as large.
 LARGE = 1 / 6
 #: Group counts that are tried; the plan with the fewest sequences is kept.
-GROUPS = (32, 96, 256)
+GROUPS = (96, 512)
 #: Words that one worker remembers the ids of: for good, and until they are too many.
 CACHE_WORDS, LATE_WORDS = 250_000, 100_000
 #: Pieces of one length that are ranked together: a length with more is ranked in
