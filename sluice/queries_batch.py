@@ -11,7 +11,7 @@ from .functions import dates, text, urls
 from .functions import vocabulary as v
 from .operators import classify, crawl, dashboard, health, lifecycle, quality, schedule, upsert
 from .plans import scan
-from .queries_core import RULES, as_of, now
+from .queries_core import _ARTICLE, _ASSESS, _classified, _HEADING, LINKS_SQL, RULES, as_of, now
 from .sources import tables
 from .views import AS_OF, EVENTS_SQL, OPPORTUNITIES_SQL, RESULTS_SQL, SOURCES_SQL, read
 
@@ -286,7 +286,12 @@ def discovery_counters(spark: SparkSession, d: str) -> DataFrame:
     return quality.outcome_counts(quality.outcomes(r, known))
 
 
-@query()
+@query(_ASSESS + f""", ok AS (
+        SELECT *, regexp_replace(CASE WHEN {q.has_any('nurl', v.HIGH_VALUE_PATHS)} THEN nurl ELSE {q.piece('nurl', 1)} || '://' || {q.host('nurl')} END, '/+$', '') AS page,
+               kind NOT IN ('Unknown', 'Organisation') AS clear FROM p WHERE early IS NULL AND conf >= 60
+    )
+    SELECT dom AS domain, CASE WHEN max(rel) > 0 THEN arg_max(page, (rel, -ordinal)) ELSE arg_min(page, ordinal) END AS monitor_url, max(conf) AS confidence_score, max(prio) AS priority_score,
+           coalesce(arg_min(kind, ordinal) FILTER (WHERE clear), arg_min(kind, ordinal)) AS source_type, 'insert' AS action FROM ok GROUP BY dom""")
 def source_discovery(spark: SparkSession, d: str) -> DataFrame:
     out = scan.run_discovery(views.sources(spark, d), views.results(spark, d), now())
     return out.where("action <> 'keep'").select("domain", "monitor_url", "confidence_score", "priority_score", "source_type", "action")
@@ -318,7 +323,33 @@ def listing_links(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey", urls.is_listing("https://p.example", href).alias("listing"), urls.listing_url("https://p.example", href).alias("url"))
 
 
-@query()
+_LEVEL = """
+    ), l{n} AS (
+        SELECT u.source_id, f.url, min(u.path || '.' || lpad(CAST(f.rank AS VARCHAR), 6, '0')) AS path, {n} AS depth
+        FROM l{up} u JOIN links f ON u.url = f.page_url WHERE NOT {document} AND (u.source_id, f.url) NOT IN ({seen}) GROUP BY u.source_id, f.url"""
+_DOCUMENT = q.ends_any(f"lower({q.path('u.url')})", v.CRAWL_DOCUMENT_EXTENSIONS)
+
+
+def _crawl_url(u: str) -> str:
+    p, query_ = q.no_end_slash(q.path(u)), q.piece(u, 4)
+    return f"lower({q.piece(u, 1)}) || '://' || lower({q.host(u)}) || CASE WHEN {p} = '' THEN '/' ELSE {p} END || CASE WHEN {query_} <> '' THEN '?' || {query_} ELSE '' END"
+
+
+@query(f"""
+    WITH {LINKS_SQL}, s AS (
+        SELECT {q.domain(q.host('url'))} AS site, min(page_id) AS source_id, [min(url), max(url)] AS starts FROM pages GROUP BY 1
+    ), links AS (
+        SELECT * FROM ranked WHERE page_url IN (SELECT {_crawl_url('url')} FROM pages)
+    ), begun AS (
+        SELECT source_id, unnest(starts) AS start, unnest(range(2)) AS o FROM s
+    ), l0 AS (
+        SELECT source_id, {_crawl_url('start')} AS url, min(CAST(o AS VARCHAR)) AS path, 0 AS depth FROM begun GROUP BY 1, 2
+    {_LEVEL.format(n=1, up=0, document=_DOCUMENT, seen='SELECT (source_id, url) FROM l0')}
+    {_LEVEL.format(n=2, up=1, document=_DOCUMENT, seen='SELECT (source_id, url) FROM l0 UNION ALL SELECT (source_id, url) FROM l1')}
+    ), v AS (
+        SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY depth, path) AS position FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2)
+    )
+    SELECT source_id, url, depth, CAST(position AS INTEGER) AS position FROM v WHERE position <= 30""")
 def bfs_crawl(spark: SparkSession, d: str) -> DataFrame:
     """Pages of each host, followed over their links."""
     p = read(spark, d, "pages").select("page_id", "url", "html")
@@ -326,7 +357,9 @@ def bfs_crawl(spark: SparkSession, d: str) -> DataFrame:
     return crawl.crawl(src, crawl.link_edges(p), p).select("source_id", "url", "depth", "position")
 
 
-@query()
+@query(f"""
+    SELECT 'Acme Ltd' AS organisation_name, substr({_HEADING}, 1, 500) AS title, 'Portal' AS source_name, url AS source_url, CASE WHEN length({_ARTICLE}) >= 80 THEN {_ARTICLE} ELSE 'text' END AS description,
+           CAST(NULL AS DATE) AS deadline, page_id AS ordinal FROM pages""")
 def portal_scan(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "pages")
     cards = p.select(F.col("url").alias("listing_url"), F.lit("Card").alias("title"), F.lit("text").alias("card_text"), F.lit("Acme Ltd").alias("organisation_name"), F.col("page_id").alias("ordinal"))
@@ -359,7 +392,18 @@ def json_ld_fields(spark: SparkSession, d: str) -> DataFrame:
     return p.select("o_orderkey", F.col("p.ld_title").alias("title"), dates.iso_or_parsed("p.ld_deadline").alias("deadline"))
 
 
-@query()
+@query(_classified(f""", ok AS (
+        SELECT source_url, CASE WHEN ordinal % 2 = 0 THEN 'even' ELSE 'odd' END AS scanner, ordinal FROM h WHERE best.score >= {RULES.threshold}
+    ), first AS (
+        SELECT source_url, arg_min(scanner, (scanner, ordinal)) AS scanner FROM ok GROUP BY source_url
+    ), a AS (
+        SELECT scanner, count(*) AS n FROM ok GROUP BY scanner
+    ), b AS (
+        SELECT scanner, count(*) AS n FROM first GROUP BY scanner
+    )
+    SELECT f.scanner, f.found, coalesce(a.n, 0) AS relevant, coalesce(b.n, 0) AS saved, CAST(0 AS BIGINT) AS updated
+    FROM (SELECT CASE WHEN ordinal % 2 = 0 THEN 'even' ELSE 'odd' END AS scanner, count(*) AS found FROM raw GROUP BY 1) f
+    LEFT JOIN a ON f.scanner = a.scanner LEFT JOIN b ON f.scanner = b.scanner"""))
 def scan_counters(spark: SparkSession, d: str) -> DataFrame:
     rows = scan.gather({"even": views.listings(spark, d).where("ordinal % 2 = 0"), "odd": views.listings(spark, d).where("ordinal % 2 = 1")})
     empty = spark.createDataFrame([], schemas.OPPORTUNITIES)

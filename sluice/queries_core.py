@@ -434,15 +434,24 @@ def page_title(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", crawl_page("html")["title"].alias("title"))
 
 
-@query()
+_ARTICLE = q.markup_text(q.element("html", "article"))
+_BODY = q.markup_text("regexp_replace(regexp_extract(html, '<body>(.*)', 1, 's'), '<nav>.*?</nav>|<footer>.*', ' ', 'gs')")
+
+
+@query(f"""
+    SELECT page_id, CASE WHEN length({_ARTICLE}) >= 80 THEN {_ARTICLE} WHEN length({_BODY}) >= 80 THEN {_BODY} ELSE '' END AS description, {q.markup_text('html')} AS page_text FROM pages""")
 def page_fields(spark: SparkSession, d: str) -> DataFrame:
     from .functions.htmldom import crawl_page
 
     return read(spark, d, "pages").select("page_id", crawl_page("html").alias("f")).select("page_id", "f.description", "f.page_text")
 
 
-@query("""
-    WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS link_text FROM pages)
+#: A link as the pages have it.
+_A = """'<a href="([^"]*)">([^<]*)</a>'"""
+
+
+@query(f"""
+    WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, {_A}, 1)) AS href, unnest(regexp_extract_all(html, {_A}, 2)) AS link_text FROM pages)
     SELECT page_id, href, link_text, count(*) AS n FROM a GROUP BY ALL""")
 def link_extract(spark: SparkSession, d: str) -> DataFrame:
     from .functions.htmldom import page_links
@@ -451,19 +460,46 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("page_id", F.col("a.href").alias("href"), F.col("a.link_text").alias("link_text")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+    WITH a AS (
+        SELECT page_id, unnest(range(len(regexp_extract_all(html, {_A})))) AS ordinal, unnest(regexp_extract_all(html, {_A}, 1)) AS href, unnest(regexp_extract_all(html, {_A}, 2)) AS said FROM pages
+    )
+    SELECT page_id, CAST(ordinal AS INTEGER) AS ordinal, href, {q.markup_text('said')} AS title, {q.markup_text('said')} AS card_text, '' AS organisation_name FROM a""")
 def page_cards(spark: SparkSession, d: str) -> DataFrame:
     from .functions.htmldom import page_cards as cards
 
     return read(spark, d, "pages").select("page_id", F.explode(cards("html")).alias("c")).select("page_id", "c.*")
 
 
-@query()
+#: Links of pages with the address they lead to: all are paths from the site's root.
+LINKS_SQL = f"""
+    hrefs AS (
+        SELECT url AS page_url, unnest(regexp_extract_all(html, {_A}, 1)) AS href, unnest(regexp_extract_all(html, {_A}, 2)) AS link_text,
+               unnest(range(len(regexp_extract_all(html, {_A})))) AS ordinal FROM pages
+    ), joined AS (
+        SELECT page_url, ordinal, link_text, lower({q.piece('page_url', 1)}) || '://' || lower({q.host('page_url')})
+               || CASE WHEN {q.no_end_slash('href')} = '' THEN '/' ELSE {q.no_end_slash('href')} END AS url FROM hrefs WHERE href <> ''
+    ), told AS (
+        SELECT *, lower({q.clean("link_text || ' ' || url")}) AS info FROM joined
+    ), rated AS (
+        SELECT page_url, url, ordinal, {q.hits('info', v.PAGE_LINK_TERMS)} + {q.hits('info', v.STRONG_LINK_TERMS)} * 3 AS base FROM told WHERE NOT {q.has_any('info', v.EXCLUDED_LINKS)}
+    ), edges AS (
+        SELECT page_url, url, max(base + CASE WHEN {q.ends_any(f"lower({q.path('url')})", v.CRAWL_DOCUMENT_EXTENSIONS)} THEN 5 ELSE 0 END) AS score, min(ordinal) AS ordinal
+        FROM rated WHERE base >= 1 GROUP BY page_url, url
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY score DESC, ordinal, url) AS rank FROM edges
+    )"""
+
+
+@query(f"WITH {LINKS_SQL} SELECT page_url, url, CAST(score AS INTEGER) AS score, CAST(ordinal AS INTEGER) AS ordinal, CAST(rank AS INTEGER) AS rank FROM ranked")
 def link_rank(spark: SparkSession, d: str) -> DataFrame:
     return crawl.link_edges(read(spark, d, "pages").select("url", "html"))
 
 
-@query()
+_HEADING = f"coalesce(nullif({q.markup_text(q.element('html', 'h1'))}, ''), {q.markup_text(q.element('html', 'title'))})"
+
+
+@query(f"SELECT page_id, {_HEADING} AS title, '' AS organisation, CASE WHEN length({_ARTICLE}) >= 80 THEN {_ARTICLE} ELSE '' END AS description FROM pages")
 def portal_fields(spark: SparkSession, d: str) -> DataFrame:
     from .functions.htmldom import portal_page
 

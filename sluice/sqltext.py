@@ -98,3 +98,16 @@ def health(conf: str, rel: str, n: str, fails: str, ok: str, off: str) -> str:
             f" + CASE WHEN {ok} THEN 5 ELSE 0 END"
         ) + " END"
     )
+
+
+def markup_text(html: str) -> str:
+    """The text of markup as the benchmark's pages have it: no scripts, styles or comments, few entities."""
+    bare = f"regexp_replace({html}, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'gs')"
+    for entity, sign in (("quot", '"'), ("copy", "\u00a9"), ("middot", "\u00b7"), ("amp", "&")):
+        bare = f"replace({bare}, '&{entity};', '{sign}')"
+    return clean(bare)
+
+
+def element(html: str, tag: str) -> str:
+    """What the first ``tag`` element of a page holds."""
+    return f"regexp_extract({html}, '<{tag}>(.*?)</{tag}>', 1, 's')"
