@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as v
-from .text import c, clean_text, ends_with_any, filled, has_any, strip_tags, substring_hits
+from .text import c, clean_text, ends_with_any, filled, has_any, let, strip_tags, substring_hits
 
 _PIECES = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -101,16 +101,19 @@ def quality_url(url: Column | str) -> Column:
 
 def crawl_url(url: Column | str) -> Column:
     """https if no scheme; lower-case host, path without end slash or '/', query kept; else ''."""
-    u = clean_text(url)
-    u = F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(u)
-    u = F.when((u == "") | F.startswith(u, F.lit("http://")) | F.startswith(u, F.lit("https://")), u).otherwise(F.concat(F.lit("https://"), u))
-    p = F.regexp_replace(path(u), "/+$", "")
-    q = query(u)
-    out = F.concat(
-        scheme(u), F.lit("://"), F.lower(netloc(u)), F.when(p == "", F.lit("/")).otherwise(p),
-        F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")),
-    )
-    return F.when((u != "") & (netloc(u) != ""), out).otherwise(F.lit(""))
+    def whole(u: Column) -> Column:
+        u = F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(u)
+        return F.when((u == "") | F.startswith(u, F.lit("http://")) | F.startswith(u, F.lit("https://")), u).otherwise(F.concat(F.lit("https://"), u))
+
+    def parts(u: Column) -> Column:
+        p, q = F.regexp_replace(path(u), "/+$", ""), query(u)
+        out = F.concat(
+            scheme(u), F.lit("://"), F.lower(netloc(u)), F.when(p == "", F.lit("/")).otherwise(p),
+            F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")),
+        )
+        return F.when((u != "") & (netloc(u) != ""), out).otherwise(F.lit(""))
+
+    return let(let(clean_text(url), whole), parts)
 
 
 def base_url(url: Column | str) -> Column:
@@ -173,9 +176,9 @@ def is_blocked(host: Column | str, blocked=v.BLOCKED_DOMAINS) -> Column:
 
 def same_domain(a: Column | str, b: Column | str) -> Column:
     """Equal, or one below the other; empty hosts never."""
-    x, y = crawl_domain(a), crawl_domain(b)
     below = lambda p, q: F.endswith(p, F.concat(F.lit("."), q))
-    return (x != "") & (y != "") & ((x == y) | below(x, y) | below(y, x))
+    same = lambda s: (s["x"] != "") & (s["y"] != "") & ((s["x"] == s["y"]) | below(s["x"], s["y"]) | below(s["y"], s["x"]))
+    return let(F.struct(crawl_domain(a).alias("x"), crawl_domain(b).alias("y")), same)
 
 
 def monitor_url(url: Column | str) -> Column:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import extract_deadline
 from ..functions.htmldom import crawl_page, page_links
-from ..functions.text import clean_text, filled, has_any, slug_title, truncated
+from ..functions.text import clean_text, computed_once, filled, has_any, slug_title, truncated
 from ..functions import vocabulary as v
-from ..functions.urls import crawl_domain, crawl_url, is_document, is_excluded_link, join_url, link_relevance, netloc, same_domain
+from ..functions.urls import crawl_domain, crawl_url, is_document, is_excluded_link, join_url, link_relevance, netloc, path, query, same_domain
 
 MAX_PAGES, MAX_DEPTH, MIN_TEXT, MAX_DESCRIPTION = 30, 2, 80, 20_000
+#: The name under which robots rules are asked.
+AGENT = "sluice-crawler"
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -28,24 +30,45 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return best_links(raw)
 
 
-def crawl(sources: DataFrame, edges: DataFrame, pages: DataFrame, disallowed: DataFrame | None = None, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH) -> DataFrame:
+def forbidden(links: DataFrame, robots: DataFrame, agent: str = AGENT) -> DataFrame:
+    """The distinct ``url`` of ``links`` that their host's robots rules forbid.
+
+    ``robots``: host, agent, ordinal, path, allow.  A host's rules for an agent whose name ours holds
+    go before its rules for ``*``.  Of those the first by ordinal that the url's path and query start
+    with decides (a path ``*`` fits all, an empty one that forbids allows all); a url that none fits
+    may be loaded, and so may all of a host without rules.
+    """
+    named = F.lower(F.trim("agent"))
+    own = robots.where((named == "*") | F.contains(F.lit(agent.lower()), named))
+    allowed = F.col("allow") | (F.col("path") == "")
+    rules = own.groupBy(F.lower("host").alias("_host")).agg(F.sort_array(F.collect_list(F.struct((named == "*").alias("other"), "ordinal", "path", allowed.alias("allow")))).alias("_rules"))
+    asked = F.concat(path("url"), F.when(query("url") != "", F.concat(F.lit("?"), query("url"))).otherwise(F.lit("")))
+    rows = links.select("url").distinct().withColumns({"_host": F.lower(netloc("url")), "_asked": asked}).join(rules, "_host")
+    # Rules for our name are sorted first; those for any agent count where there are none.
+    fits = lambda r: (r["other"] == F.col("_rules")[0]["other"]) & ((r["path"] == "*") | F.startswith(F.col("_asked"), r["path"]))
+    return rows.where(~F.coalesce(F.get(F.filter("_rules", fits), F.lit(0))["allow"], F.lit(True))).select("url")
+
+
+def crawl(sources: DataFrame, edges: DataFrame, pages: DataFrame, disallowed: DataFrame | None = None, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, robots: DataFrame | None = None) -> DataFrame:
     """Visited pages of each source: source_id, url, depth, position.
 
     ``sources``: id, monitor_url, base_url, domain.  ``edges``: link_edges.
     ``pages``: url of the pages that could be loaded.  ``disallowed``: url a
-    robots rule forbids.  Levels are joined one by one; a page is visited at
+    robots rule forbids; ``robots``: the rules themselves, as in ``forbidden``.  Levels are joined one by one; a page is visited at
     its first level, and each source stops at ``max_pages`` in queue order.
     Pages that cannot be loaded count as visited but lead nowhere.
     """
     seeds = sources.select(F.col("id").alias("source_id"), crawl_domain("domain").alias("site"), F.posexplode(F.array(crawl_url("monitor_url"), crawl_url("base_url"))).alias("o", "url"))
     level = seeds.where("url <> ''").groupBy("source_id", "site", "url").agg(F.min(F.col("o").cast("string")).alias("path"))
-    known = pages.select(crawl_url("url").alias("page_url"), F.lit(True).alias("_loads")).distinct()
+    known = computed_once(pages.select("url"), {"page_url": crawl_url("url")}).select("page_url", F.lit(True).alias("_loads")).distinct()
     links = edges.select(F.col("page_url").alias("_from"), F.col("url").alias("_to"), "rank").join(known, F.col("_from") == F.col("page_url")).drop("page_url", "_loads")
     visited = None
     for depth in range(max_depth + 1):
         level = level.where(same_domain("url", "site"))
         if disallowed is not None:
             level = level.join(disallowed.select(F.col("url").alias("_no")), F.col("url") == F.col("_no"), "left_anti")
+        if robots is not None:
+            level = level.join(forbidden(level, robots), "url", "left_anti")
         if visited is not None:
             level = level.join(visited.select("source_id", "url"), ["source_id", "url"], "left_anti")
         level = level.withColumn("depth", F.lit(depth))

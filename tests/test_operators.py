@@ -232,6 +232,15 @@ def test_crawl(spark):
     assert crawl.crawl(src, edges, pages, max_pages=2).count() == 2
     bad = spark.createDataFrame([("https://a.rw/tenders",)], "url string")
     assert crawl.crawl(src, edges, pages, bad).count() == 1
+    rules = "host string, agent string, ordinal int, path string, allow boolean"
+    asked = [("*", 0, "/tend", False)]
+    robots = lambda rows: spark.createDataFrame([("a.rw", *r) for r in rows], rules)
+    assert crawl.crawl(src, edges, pages, robots=robots(asked)).count() == 1
+    for more, n in (
+        ([("*", -1, "/tenders", True)], 0), ([("sluice", 5, "/docs", False)], 0), ([("Other", -1, "/", False)], 1), ([("*", -1, "", False)], 0), ([("*", -1, "*", True)], 0),
+    ):
+        assert crawl.forbidden(edges, robots(asked + more)).where("url like '%tenders'").count() == n
+    assert crawl.forbidden(edges, robots([])).count() == 0 == crawl.forbidden(edges.limit(0), robots(asked)).count()
     rows = crawl.page_listings(got, pages, src).collect()
     assert any(r.title == "RFP one" and r.deadline == D(2027, 3, 3) for r in rows)
     found = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b"), ("s", 2, "a"), ("s", 3, "c"), ("t", 0, None)], "section string, page int, listing_url string")
