@@ -113,10 +113,11 @@ def upsert_sources_or_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH {SOURCES_SQL}, s(monitor_url, kind) AS (VALUES {', '.join(f"({q.q(m)}, {q.q(t)})" for _, _, m, t in v.SEED_SOURCES)})
-    SELECT monitor_url, source_type, confidence_score, is_approved, 'keep' AS action FROM srcs UNION ALL SELECT monitor_url, kind, 100.0, true, 'insert' FROM s""")
+    SELECT monitor_url, domain, source_type, confidence_score, is_approved, 'keep' AS action FROM srcs
+    UNION ALL SELECT monitor_url, {q.domain(q.host('monitor_url'))}, kind, 100.0, true, 'insert' FROM s""")
 def seed_upsert(spark: SparkSession, d: str) -> DataFrame:
     out = upsert.seed_sources(views.sources(spark, d), tables.seeds(spark), now())
-    return out.select("monitor_url", "source_type", "confidence_score", "is_approved", "action")
+    return out.select("monitor_url", "domain", "source_type", "confidence_score", "is_approved", "action")
 
 
 @query(f"""
@@ -552,3 +553,78 @@ def run_totals(spark: SparkSession, d: str) -> DataFrame:
     per = rows.groupBy("scanner").agg(F.count("*").alias("found")).withColumns({c: F.lit(0).cast("long") for c in ("relevant", "saved", "updated")})
     failed, _ = scan.run_scanners({"portal": {"cards": read(spark, d, "orders"), "details": read(spark, d, "region"), "portal_name": "P"}})
     return scan.run_totals(per, failed, *scan.broken(rows))
+
+
+_ASKED = f"{q.path('url')} || CASE WHEN {q.piece('url', 4)} <> '' THEN '?' || {q.piece('url', 4)} ELSE '' END"
+
+
+@query(f"""
+    SELECT url, {_ASKED} AS asked FROM (SELECT DISTINCT url, length(lower({q.host('url')})) % 3 = 0 AS named FROM pages)
+    WHERE CASE WHEN named THEN starts_with({_ASKED}, '/de') ELSE starts_with({_ASKED}, '/en/') AND NOT starts_with({_ASKED}, '/en/1') END""")
+def robots_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that their host's rules forbid: a third of the hosts name the crawler, the others have rules for all."""
+    p = read(spark, d, "pages").select("url")
+    hosts = p.select(urls.netloc("url").alias("host")).distinct()
+    rule = lambda agent, n, path, allow: F.struct(F.lit(agent).alias("agent"), F.lit(n).alias("ordinal"), F.lit(path).alias("path"), F.lit(allow).alias("allow"))
+    every = [rule("*", 0, "/en/1", True), rule("*", 1, "/en/", False)]
+    own = [rule("Sluice", 2, "/de", False), rule("sluice", 3, "/", True), rule("other", 4, "/", False)]
+    rules = hosts.select("host", F.explode(F.when(F.length("host") % 3 == 0, F.array(*every, *own)).otherwise(F.array(*every))).alias("r")).select("host", "r.*")
+    asked = F.concat(urls.path("url"), F.when(urls.query("url") != "", F.concat(F.lit("?"), urls.query("url"))).otherwise(F.lit("")))
+    return crawl.forbidden(p, rules).select("url", asked.alias("asked"))
+
+
+_CALL = "Request for proposal for the supply of goods and of services to the districts of the country."
+
+
+@query(f"""
+    WITH o AS (SELECT *, 'https://c' || o_custkey || '.opportunities.example/p/' AS site, CASE WHEN o_custkey % 7 <> 0 THEN 'Customer ' || o_custkey END AS org, 'c' || o_custkey || '.example' AS domain FROM orders)
+    SELECT coalesce(org, domain) AS organisation_name, 'Notice ' || o_orderkey AS title, coalesce(org, domain) AS source_name, site || o_orderkey AS source_url,
+           {q.q(_CALL)} || ' Deadline: ' || strftime(o_orderdate, '%-d %B %Y') AS description, CAST(o_orderdate AS DATE) AS deadline, o_orderkey AS ordinal FROM o WHERE o_orderkey % 4 = 1
+    UNION ALL
+    SELECT coalesce(org, domain), 'Call For Proposals For Roads ' || o_orderkey, coalesce(org, domain), site || 'call-for-proposals-for-roads-' || o_orderkey || '.pdf',
+           'Opportunity document discovered on ' || coalesce(org, domain) || ': Call For Proposals For Roads ' || o_orderkey, NULL, o_orderkey FROM o
+    WHERE o_orderkey % 4 = 0 AND length('Call For Proposals For Roads ' || o_orderkey || ' ' || site || 'call-for-proposals-for-roads-' || o_orderkey || '.pdf') >= 80""")
+def website_listings(spark: SparkSession, d: str) -> DataFrame:
+    """Visited pages and documents as raw listings: every fourth is a call, a document, too short, or about something else."""
+    o, k, c = read(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    site = F.concat(F.lit("https://c"), c, F.lit(".opportunities.example/p/"))
+    url = F.when(k % 4 == 0, F.concat(site, F.lit("call-for-proposals-for-roads-"), k.cast("string"), F.lit(".pdf"))).otherwise(F.concat(site, k.cast("string")))
+    call = F.concat(F.lit(_CALL + " Deadline: "), F.date_format("o_orderdate", "d MMMM yyyy"))
+    body = F.when(k % 4 == 1, call).when(k % 4 == 2, F.repeat(F.lit("The weather was fine. "), F.lit(9))).otherwise("Tender notice")
+    html = F.concat(F.lit("<html><nav>Menu</nav><h1>Notice "), k.cast("string"), F.lit("</h1><article>"), body, F.lit("</article></html>"))
+    rows = o.select(F.col("o_custkey").alias("source_id"), url.alias("url"), k.alias("position"), html.alias("html"))
+    sources = o.select(F.col("o_custkey").alias("id"), F.when(F.col("o_custkey") % 7 != 0, F.concat(F.lit("Customer "), c)).alias("organisation_name"), F.concat(F.lit("c"), c, F.lit(".example")).alias("domain")).distinct()
+    return crawl.page_listings(rows.drop("html"), rows.select("url", "html"), sources)
+
+
+@query(f"""
+    WITH {SOURCES_SQL} SELECT id, true AS is_approved, CASE WHEN scan_interval_hours < 1 THEN 24 ELSE scan_interval_hours END AS scan_interval_hours,
+           CASE WHEN id % 9 <> 0 THEN priority_score ELSE {q.health('confidence_score', 'url_relevance_score', 'total_opportunities_found', 'consecutive_failures', 'last_successful_scan_at IS NOT NULL', 'is_auto_disabled')} END AS priority_score FROM srcs""")
+def scan_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Sources made fit for a crawl; every ninth lacks its priority."""
+    s = views.sources(spark, d).withColumn("priority_score", F.when(F.col("id") % 9 != 0, F.col("priority_score")))
+    return upsert.repair_for_scan(s).select("id", "is_approved", "scan_interval_hours", "priority_score")
+
+
+@query("""
+    WITH e AS (SELECT event_type AS job_name, max(CAST(ts AS TIMESTAMP)) AS last_success FROM events GROUP BY event_type)
+    SELECT coalesce(job_name, 'new') AS job_name, strftime(last_success, '%Y-%m-%d %H:%M:%S') AS last_success,
+           CASE WHEN coalesce(job_name, 'new') IN ('error', 'new') THEN 'failed' END AS status, CASE WHEN coalesce(job_name, 'new') IN ('error', 'new') THEN 1.235::DOUBLE END AS duration_seconds,
+           CASE WHEN coalesce(job_name, 'new') IN ('error', 'new') THEN 'no answer' END AS last_error
+    FROM e FULL JOIN (SELECT 'new' AS n) ON job_name = n""")
+def run_bookkeeping(spark: SparkSession, d: str) -> DataFrame:
+    """Event types as jobs: the one named error and one without state fail."""
+    last = read(spark, d, "events").groupBy(F.col("event_type").alias("job_name")).agg(F.max("ts").cast("timestamp").alias("last_success"))
+    state = schemas.evolve(last, schemas.JOB_STATE)
+    for job in ("error", "new"):
+        state = schedule.record_run(schedule.record_run(state, job, now(), None), job, now(), False, 1.23456, "no answer")
+    return state.select("job_name", F.date_format("last_success", "yyyy-MM-dd HH:mm:ss").alias("last_success"), "status", "duration_seconds", "last_error")
+
+
+@query(f"""
+    SELECT 'search' AS list, CAST(i - 1 AS INTEGER) AS ordinal, x AS query FROM (SELECT unnest({q.arr(v.SEARCH_QUERIES)}) AS x, unnest(range(1, {len(v.SEARCH_QUERIES) + 1})) AS i)
+    UNION ALL SELECT 'discovery', CAST(i - 1 AS INTEGER), x FROM (SELECT unnest({q.arr(v.DISCOVERY_QUERIES[:20])}) AS x, unnest(range(1, 21)) AS i)""")
+def search_queries(spark: SparkSession, d: str) -> DataFrame:
+    """All of the one list, the first twenty of the other."""
+    named = lambda which, n: tables.queries(spark, which, n).withColumn("list", F.lit(which))
+    return named("search", None).unionByName(named("discovery", 20)).select("list", "ordinal", "query")
