@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, neardup, packing, simhash, suffixes, tokencount, topk, urlfilter
+from . import htmltext, langid, merkle, mixing, neardup, packing, simhash, suffixes, tokencount, topk, urlfilter
 from .common import materialise
+from .manifest_sql import manifest_sql
 
 #: (host, path, verdict): the rules of the production URL policy.
 URL_RULES = [
@@ -130,7 +131,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maintext, op2_topk, op3_langid, op4_fingerprint, op5_tokens, op6_neardup, op7_mix, op8_urlfilter, op9_packing, op10_repeats)}
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_maintext, op2_topk, op3_langid, op4_fingerprint, op5_tokens, op6_neardup, op7_mix, op8_urlfilter, op9_packing, op10_repeats, op12_manifest)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in URL_RULES)
 _LISTED_SQL = ", ".join(f"('{s}.{d}', '', 'block', false)" for s in LISTED_SITES for d in LISTED_SUFFIXES)
@@ -213,4 +218,5 @@ ORACLE_SQL = {
         SELECT p.page_id, p.host, p.path, CASE WHEN f.is_rule THEN f.h || f.q END AS rule, coalesce(f.v, 'allow') AS verdict
         FROM p LEFT JOIN f ON p.page_id = f.page_id AND f.n = 1
     """,
+    "op12_manifest": manifest_sql(),
 }
