@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, merkle, mixing, neardup, packing, simhash, suffixes, tokencount, topk, urlfilter
+from . import htmltext, langid, merkle, mixing, neardup, packing, quantise, simhash, suffixes, tokencount, topk, urlfilter
 from .common import materialise
 from .manifest_sql import manifest_sql
+from .quantise_sql import codes_sql
 
 #: (host, path, verdict): the rules of the production URL policy.
 URL_RULES = [
@@ -135,7 +136,13 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maintext, op2_topk, op3_langid, op4_fingerprint, op5_tokens, op6_neardup, op7_mix, op8_urlfilter, op9_packing, op10_repeats, op12_manifest)}
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = quantise.compress(table(spark, sf_dir, "embeddings"))
+    rows = quantise.with_label_error(coded).withColumn("codebooks_sha256", F.lit(books.sha256()))
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_maintext, op2_topk, op3_langid, op4_fingerprint, op5_tokens, op6_neardup, op7_mix, op8_urlfilter, op9_packing, op10_repeats, op12_manifest, op13_codes)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in URL_RULES)
 _LISTED_SQL = ", ".join(f"('{s}.{d}', '', 'block', false)" for s in LISTED_SITES for d in LISTED_SUFFIXES)
@@ -219,4 +226,5 @@ ORACLE_SQL = {
         FROM p LEFT JOIN f ON p.page_id = f.page_id AND f.n = 1
     """,
     "op12_manifest": manifest_sql(),
+    "op13_codes": codes_sql(),
 }
