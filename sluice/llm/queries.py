@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, merkle, mixing, neardup, packing, quantise, simhash, suffixes, tokencount, topk, urlfilter
+from . import htmltext, langid, merkle, mixing, neardup, packing, quantise, simhash, suffixes, tokencount, topk, toxicity, urlfilter
 from .common import materialise
 from .manifest_sql import manifest_sql
 from .quantise_sql import codes_sql
@@ -132,6 +132,13 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.predict(docs, model).withColumnRenamed("toxicity", "score")
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_readings")
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
@@ -142,7 +149,7 @@ def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_maintext, op2_topk, op3_langid, op4_fingerprint, op5_tokens, op6_neardup, op7_mix, op8_urlfilter, op9_packing, op10_repeats, op12_manifest, op13_codes)}
+QUERIES = {f.__name__: f for f in (op1_maintext, op2_topk, op3_langid, op4_fingerprint, op5_tokens, op6_neardup, op7_mix, op8_urlfilter, op9_packing, op10_repeats, op11_toxicity, op12_manifest, op13_codes)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}', true)" for h, p, v in URL_RULES)
 _LISTED_SQL = ", ".join(f"('{s}.{d}', '', 'block', false)" for s in LISTED_SITES for d in LISTED_SUFFIXES)
