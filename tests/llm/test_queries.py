@@ -21,6 +21,8 @@ COLUMNS = {
     "op5_tokens": "doc_id n_chars n_tokens edited_chars edited_tokens reencoded_chars", "op6_neardup": "doc_id fingerprint component_id",
     "op7_mix": "doc_id size source_size target taken", "op8_urlfilter": "page_id host path rule verdict",
     "op9_packing": "doc_id piece start length ids_crc32 sequence_id offset", "op10_repeats": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op11_toxicity": "doc_id held_out score predicted n_readings", "op12_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_codes": "vec_id code error label_error codebooks_sha256",
 }
 
 
@@ -40,7 +42,7 @@ def test_runs_with_its_columns(spark, duck, name):
     assert out.columns == COLUMNS[name].split()
     rows = sorted(repr(tuple(r)) for r in out.collect())
     kind = "pages" if "page_id" in out.columns else "documents"
-    if name not in ("op2_topk", "op9_packing"):
+    if name not in ("op2_topk", "op9_packing", "op13_codes"):
         assert len(rows) == duck.execute(f"SELECT count(*) FROM {kind}").fetchone()[0]
     if name in ORACLE_SQL:
         cur = duck.execute(ORACLE_SQL[name])
@@ -105,3 +107,9 @@ def test_one_offset_can_miss_the_target(spark):
     one, many = worst(1), worst(mixing.DRAWS)
     print(f"worst source: one offset {one:.3f}, {mixing.DRAWS} offsets {many:.3f}")
     assert many <= one
+
+
+def test_toxic_words_of_held_out_documents(spark):
+    rows = QUERIES["op11_toxicity"](spark, DATA.replace("0.001", "0.1")).join(table(spark, DATA.replace("0.001", "0.1"), "labels"), "doc_id").where("held_out").collect()
+    caught = sum(r.predicted for r in rows if r.toxic == 1)
+    assert caught >= 0.85 * sum(r.toxic for r in rows) and sum(r.predicted for r in rows if r.toxic == 0) <= 0.01 * len(rows)
