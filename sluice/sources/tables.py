@@ -1,4 +1,4 @@
-"""Snapshot tables, captured pages, search payloads, seeds and state."""
+"""Captured pages, search payloads, seeds, state and JDBC tables."""
 
 from __future__ import annotations
 
@@ -7,12 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vocabulary as v
 from ..functions.text import clean_text
 from ..functions.urls import is_http
-from ..schemas import evolve
 
 #: Search API payload: only what is read of it.
 PAYLOAD = "web struct<results: array<struct<title: string, url: string, description: string>>>"
@@ -37,40 +35,6 @@ def replace_file(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(aside.makeQualified(fs.getUri(), fs.getWorkingDirectory()), to.makeQualified(fs.getUri(), fs.getWorkingDirectory()), how)
 
 
-def _pointer(spark: SparkSession, root: str) -> list[str]:
-    """The current snapshot's name and its mark, if any; none before the first."""
-    fs, now = _fs(spark, f"{root}/CURRENT")
-    return [r.value for r in spark.read.text(f"{root}/CURRENT").collect()] if fs.exists(now) else []
-
-
-def write_snapshot(df: DataFrame, root: str, mark: str = "") -> str:
-    """Write a new snapshot beside the old ones, then move the pointer to it.
-
-    The table that ``df`` may be read from is never overwritten; a failed write
-    leaves the pointer where it was.  ``mark`` goes into the pointer, so it moves
-    with the rows or not at all.
-    """
-    spark, name = df.sparkSession, f"snapshot-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{name}")
-    replace_file(spark, f"{root}/CURRENT", f"{name}\n{mark}" if mark else name)
-    return f"{root}/{name}"
-
-
-def snapshot_mark(spark: SparkSession, root: str) -> str:
-    return "".join(_pointer(spark, root)[1:2])
-
-
-def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """The current snapshot; with ``schema`` columns it lacks are added, and none yet is an empty table."""
-    at = _pointer(spark, root)
-    if not at:
-        if schema is None:
-            raise FileNotFoundError(root)
-        return spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
-    df = spark.read.parquet(f"{root}/{at[0]}")
-    return evolve(df, schema) if schema is not None else df
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, parts: int = 32, **options: str) -> DataFrame:
     """A database table, read in ``parts`` ranges of a key."""
     if url.startswith(("postgres://", "postgresql://")):

@@ -303,14 +303,7 @@ def test_schemas_and_backfill(spark):
     assert one(joined).lead.status == "Under Review" and one(joined).proposal is None
 
 
-def test_snapshots_state_and_payloads(spark, tmp_path):
-    root = f"file://{tmp_path}/t"
-    assert tables.read_snapshot(spark, root, schemas.JOB_STATE).count() == 0
-    one_row = frame(spark, schemas.JOB_STATE, {"job_name": "a"})
-    tables.write_snapshot(one_row, root)
-    both = upsert.keyed_overwrite(tables.read_snapshot(spark, root, schemas.JOB_STATE), frame(spark, schemas.JOB_STATE, {"job_name": "a", "status": "x"}, {"job_name": "b"}), "job_name")
-    tables.write_snapshot(both, root)
-    assert {(r.job_name, r.status) for r in tables.read_snapshot(spark, root, schemas.JOB_STATE).collect()} == {("a", "x"), ("b", None)}
+def test_state_and_payloads(spark):
     docs = spark.createDataFrame([('{"scan": {"last_success": "2027-01-01T00:00:00Z", "status": "completed"}}',), ("broken",)], "value string")
     assert [(r.job_name, r.last_success) for r in tables.parse_state(docs).collect()] == [("scan", dt.datetime(2027, 1, 1))]
     payload = '{"web": {"results": [{"title": " A  b ", "url": "https://x"}, {"title": "", "url": "https://y"}, {"title": "z", "url": "ftp://q"}]}}'
@@ -321,6 +314,7 @@ def test_snapshots_state_and_payloads(spark, tmp_path):
 
 
 def test_whole_scan_and_stream(spark, tmp_path):
+    from sluice.sources.snapshots import KeyedTable
     from sluice.streaming import listings as streaming
 
     found = {"a": spark.createDataFrame([AUDIT], LISTING), "b": spark.createDataFrame([(*AUDIT[:4], "https://b", *AUDIT[5:]), ("x", "y", "", "", "z", None, 1)], LISTING)}
@@ -334,38 +328,7 @@ def test_whole_scan_and_stream(spark, tmp_path):
     rows.drop("scanner").write.parquet(src)
     q = streaming.stream_listings(spark.readStream.schema(rows.drop("scanner").schema).parquet(src), root, f"{tmp_path}/ck", lambda: (F.lit(NOW), F.lit(AS_OF)))
     q.awaitTermination(120)
-    assert q.exception() is None and tables.read_snapshot(spark, root, schemas.OPPORTUNITIES).count() == 2
-
-
-def test_the_pointer_moves_whole_or_not_at_all(spark, tmp_path, monkeypatch):
-    root = f"file://{tmp_path}/snap"
-    first = spark.createDataFrame([(1,)], "x int")
-    tables.write_snapshot(first, root, "m#0")
-    monkeypatch.setattr(tables, "replace_file", lambda *a: (_ for _ in ()).throw(OSError("killed")))
-    with pytest.raises(OSError):
-        tables.write_snapshot(first.union(first), root, "m#1")
-    monkeypatch.undo()
-    assert tables.read_snapshot(spark, root).count() == 1 and tables.snapshot_mark(spark, root) == "m#0"
-    tables.write_snapshot(first.union(first), root)
-    assert tables.read_snapshot(spark, root).count() == 2 and tables.snapshot_mark(spark, root) == ""
-    assert not [p for p in (tmp_path / "snap").iterdir() if ".tmp-" in p.name and not p.name.endswith(".crc")]
-
-
-def test_a_replayed_batch_changes_nothing(spark, tmp_path):
-    from sluice.streaming import listings as streaming
-
-    root = f"file://{tmp_path}/sources"
-    tables.write_snapshot(frame(spark, schemas.SOURCES, {"id": 1, "consecutive_failures": 0, "total_opportunities_found": 0, "is_active": True}), root)
-    kind = "source_id long, ts timestamp, seq long, ok boolean, duration_seconds double, http_status int, opportunities_found int, error_message string"
-    batch = spark.createDataFrame([(1, NOW, 1, False, 1.0, 500, 0, "e"), (1, NOW, 2, False, 1.0, 500, 0, "f")], kind)
-    run = streaming.once_per_batch(root, "ck", lambda b: health.apply_scans(tables.read_snapshot(spark, root, schemas.SOURCES), b))
-    fails = lambda: tables.read_snapshot(spark, root).first().consecutive_failures
-    for number, want in ((0, 2), (0, 2), (1, 4), (0, 4), (1, 4)):
-        run(batch, number)
-        assert fails() == want
-    again = streaming.once_per_batch(root, "other", lambda b: tables.read_snapshot(spark, root, schemas.SOURCES))
-    again(batch, 0)
-    assert tables.snapshot_mark(spark, root) == "other#0"
+    assert q.exception() is None and KeyedTable(spark, root).read().count() == 2
 
 
 def test_job_state_is_written_and_read_back(spark, tmp_path):
