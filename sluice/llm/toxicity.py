@@ -41,6 +41,8 @@ LEVELS = 4
 LEVEL_FROM = (1.5, 2.5, 3.5, 5.0)
 #: Words or stems learned, the surest first: bounds what the driver and each task hold.
 MAX_TERMS = 50_000
+#: Labels learned from: beyond, as many as this about, chosen by their id's hash.  Bounds what is broadcast.
+MAX_LABELS = 250_000
 #: Different words before an insult (of 64 classes), so that copies of one toxic text make no lexicon of its words.
 MIN_CONTEXTS = 4
 STEMS, STEM_WORDS = range(4, 8), 3
@@ -275,14 +277,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, y) of the documents to learn from, as a table.
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> DataFrame:
+    """(text, y) of the documents to learn from, as a table; no text is shuffled.
 
     An id with several labels is toxic if one of them says so; null labels are none.
     """
-    own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    own = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    own = materialise(own, "labels")
+    if (n := own.count()) > most:
+        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
     rows = docs.where(~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return materialise(rows.join(own.where(~held_out()), "doc_id").select("text", "y"), "labelled")
+    return materialise(rows.join(F.broadcast(own), "doc_id").select("text", "y"), "labelled")
 
 
 def _count_words(batches):

@@ -96,3 +96,10 @@ def test_no_labels_nulls_clashes_and_empty_tables(spark):
     by_id = {r.doc_id: r.toxicity for r in got}
     assert by_id[1] > 0.5 > by_id[2] == by_id[3] == by_id[None]
     assert t.predict(docs.limit(0), t.learn(docs.limit(0), none.limit(0))).collect() == []
+
+
+def test_the_bound_on_labels_is_kept(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'x' AS text")
+    marks = spark.range(4000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    whole, part = t.labelled(docs, marks).count(), t.labelled(docs, marks, most=500).count()
+    assert 2400 < whole < 2900 and 400 < part < 600
