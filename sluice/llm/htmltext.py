@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import release
 
+#: Comments, declarations and tags as HTML reads them: a quote opens a value only behind an equals sign; ``<!-->`` is a
+#: whole comment, ``--!>`` ends one; what else begins with ``<!``, ``<?`` or ``</`` and no letter is a comment up to the next ``>``.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+|(?=>)))*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
@@ -31,6 +33,7 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their contents are never text of the page.
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title xmp noembed noframes".split())
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 #: What may lie in a head; anything else ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset(
@@ -67,7 +70,10 @@ _STATE = re.compile(r"(?:has|with|without|no|is|not)(?:[-_]|(?=[A-Z]))")
 INSIDE_TAGS = frozenset(("article", "main"))
 INSIDE_NAMES = frozenset("article articlebody post entry story content main maincontent body text".split())
 _BOILER = re.compile(
-    r"©|all rights reserved|cookies?\b|privacy policy|terms of (?:use|service)|subscribe|sign up|log ?in|read more|share this|click here|advertis", re.I
+    r"©|all rights reserved|cookies?\b|privacy policy|terms of (?:use|service)|subscribe|sign up|log ?in|read more|share this|click here|advertis"
+    r"|alle rechte vorbehalten|datenschutz|impressum|nutzungsbedingungen|weiterlesen|abonnieren|jetzt anmelden|anzeige\b"
+    r"|tous droits réservés|mentions légales|politique de confidentialité|lire la suite|s'abonner|partager sur|publicité"
+    r"|todos los derechos reservados|aviso legal|política de privacidad|leer más|suscr[ií]b|compartir en|publicidad", re.I
 )
 
 #: Classifier weights as log-odds towards content.  What an element is (a footer, hidden) outweighs
@@ -175,6 +181,8 @@ def blocks(page: str) -> list[Block]:
     stack, is_open = [_Open("", 0, "", None)], Counter()
     number, at, now = 0, 0, None
     in_head = False
+    # Raw elements that no end tag follows: looked for once a page.
+    endless: set[str] = set()
 
     def text(raw: str) -> None:
         nonlocal now, in_head
@@ -216,8 +224,6 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                text(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
         if tag == "head":
@@ -231,7 +237,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW:
             if not close and not attrs.rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                stop = None if tag in endless else _END[tag].search(page, at)
+                if stop is None:
+                    endless.add(tag)
                 # Without its end tag only a script or a style has no text behind it.
                 at = stop.end() if stop else len(page) if tag in ("script", "style") else at
             if tag not in ("svg", "math"):
@@ -350,6 +358,10 @@ def labelled(page: str) -> list[tuple[str, float, bool]]:
     pairs = [(b, t) for b in blocks(page) if (t := _clean(b))]
     has_inside = any(b.inside for b, _ in pairs)
     scores = [round(100 * _score(b, t, has_inside)) for b, t in pairs]
+    if scores and max(scores) <= 0:
+        # Nothing on the page is better: words that nothing speaks against are its text, however few.
+        plain = [not b.outside and 2 * b.linked < b.size and any(map(str.isalnum, t)) and not _BOILER.search(t) for b, t in pairs]
+        scores = [100 if ok else x for x, ok in zip(scores, plain)]
     edges, last_kind, last_grand = [], {}, {}
     for i, (b, _) in enumerate(pairs):
         if i:
