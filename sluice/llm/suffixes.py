@@ -228,6 +228,9 @@ def _sort_blocks(length: int):
     """Repeated strings of distinct blocks, sorted group by group."""
 
     def solve(h, blk, n, ctx):
+        # Equal rows bring the same block more than once.
+        one = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (blk[1:] != blk[:-1])])
+        h, blk, n, ctx = h[one], blk[one], n[one], [ctx[i] for i in one.tolist()]
         sizes = np.array([len(c) for c in ctx], np.int64)
         base = np.cumsum(sizes) - sizes
         strings = sizes - length + 1
@@ -381,9 +384,9 @@ def repeated_ranges(src: DataFrame, length: int = LENGTH, hot_blocks: int = HOT_
     by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "blk", "n", "off", "first", "last", "hot")).alias("want"))
     ctx = materialise(src.join(by_text, "key").select("text", "want").mapInArrow(
         _contexts(length), "h long, blk long, n long, i int, rel int, ctx binary"), "contexts")
-    plain = ctx.where("i < 0").repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h")
+    plain = ctx.where("i < 0").repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "blk")
     sorted_out = plain.select("h", "blk", "n", "ctx").mapInPandas(_sort_blocks(length), "h long, blk long, lo int, hi int")
-    hot = ctx.where("i >= 0")
+    hot = ctx.where("i >= 0").dropDuplicates(["h", "blk", "i", "rel"])
     twice = hot.groupBy("h", "i", "ctx").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
     # A row per block with its repeated strings as ranges: what is joined to the
     # documents' blocks stays one row a block.
@@ -398,7 +401,8 @@ def repeated_ranges(src: DataFrame, length: int = LENGTH, hot_blocks: int = HOT_
         .unionByName(dup.where("alike").select("key", whole.alias("s")))
         .unionByName(marks.where("n = 0").select("key", whole.alias("s")))
     )
-    return spans.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    # Rows of one key have the same ranges: each is kept once, so that copies stay linear.
+    return spans.groupBy("key").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
 
 def _cut(length: int, as_text: bool):

@@ -84,6 +84,37 @@ def test_deep_and_long_pages_take_linear_time(spark):
     assert df.limit(0).select(htmltext.extract_text(F.col("html")).alias("t")).count() == 0
 
 
+PARAGRAPH = "<p>" + "A long enough paragraph of an article, with words and a full stop at its end. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("page, holds, lacks", [
+    ("<article><a title=it's>first</a>" + PARAGRAPH + "<p title='a'>b</p></article>", "first\nA long", "it's"),
+    ("<article><!-->" + PARAGRAPH + "<!-- x --></article>", "A long", "x "),
+    ("<article><!--->" + PARAGRAPH + "<!-- gone --!>" + PARAGRAPH + "</article>", "A long", "gone"),
+    ("<article>" + PARAGRAPH + "<p><![CDATA[hidden]]></p></article>", "A long", "hidden"),
+    ("<article>" + PARAGRAPH + "</ nothing></></article>", "A long", "nothing"),
+    ('<article><p data-x=a="b>c</p>' + PARAGRAPH + "</article>", "c\nA long", "b>"),
+    ("<p>Hi</p>", "Hi", "<"), ("plain words", "plain words", "<"), ("<nav><a href=x>Home</a></nav><p>Hi</p>", "Hi", "Home"),
+])
+def test_markup_by_the_rules_of_html(page, holds, lacks):
+    got = htmltext.main_text(page)
+    assert holds in got and lacks not in got
+
+
+def test_pages_without_text_of_their_own_stay_empty():
+    for page in ("<nav><a href=x>Home</a></nav>", "<p>Read more</p>", "<p>Alle Rechte vorbehalten</p>", "<p><a href=x>a</a></p>", "<footer>Hi</footer>"):
+        assert htmltext.main_text(page) == ""
+
+
+def test_unclosed_raw_elements_take_one_look():
+    import time
+
+    began = time.time()
+    assert htmltext.main_text("<iframe>" * 100_000 + PARAGRAPH).startswith("A long")
+    htmltext.main_text("<a ='" * 20_000), htmltext.main_text("<a b=" * 50_000), htmltext.main_text("<!--" * 50_000)
+    assert time.time() - began < 5
+
+
 def test_broken_markup_does_not_end_the_page():
     assert htmltext.main_text(f"<head><title>x</title><meta a=b><p>{ARTICLE}") == ARTICLE
     assert htmltext.main_text(f"<head><title>x</title></head><article><p>{ARTICLE}</article>") == ARTICLE
@@ -606,6 +637,28 @@ def test_repeats(spark, hot):
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_of_equal_rows(spark):
+    """Rows that are equal to the id, null ids too, beside texts that share a part of theirs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6)))
+    long = " ".join(word() for _ in range(400))
+    texts = [long] * 12 + [long[300:700] + " other " + word()] * 3 + [word() + long[900:1150] + word(), long[:199], " ".join(word() for _ in range(80))]
+    df = spark.createDataFrame([(None if i < 15 else i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, at int")
+    for hot in (2_048, 0):
+        out = suffixes.remove_repeats(df, hot_blocks=hot).orderBy("at").collect()
+        assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out] == brute_repeats(texts, 200)
+
+
+def test_repeated_ranges_of_equal_rows_are_kept_once(spark):
+    text = " ".join(str(i * i) for i in range(2000))
+    sizes = []
+    for n in (2, 60):
+        src = spark.range(n).select(F.lit(b"k").alias("key"), F.lit(text).alias("text"))
+        (row,) = suffixes.repeated_ranges(src).collect()
+        sizes.append(len(row.spans))
+    assert sizes[0] == sizes[1]
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error(spark):
     from types import SimpleNamespace
 
@@ -635,4 +688,4 @@ def test_scratch_keeps_only_what_it_is_told(spark):
 def test_sql_names_are_queries():
     from sluice.llm.queries import QUERIES
 
-    assert set(ORACLE_SQL) <= set(QUERIES) and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(ORACLE_SQL) <= set(QUERIES) and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
