@@ -35,10 +35,27 @@ def iso_or_parsed(x: Column | str) -> Column:
     return F.coalesce(F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd")), parse_date(t))
 
 
+def iso_date(x: Column | str) -> Column:
+    """An ISO 8601 calendar or week date, with hyphens throughout or none: 2024-01-31, 20240131, 2024-W05-3, 2024W05; null for anything else.
+
+    A week without a day is its Monday.
+    """
+    t = c(x)
+    year, week = F.substring(t, 1, 4).cast("int"), F.try_to_number(F.nullif(F.regexp_extract(t, r"W(\d{2})", 1), F.lit("")), F.lit("99")).cast("int")
+    day = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(t, r"W\d{2}-?(\d)$", 1), F.lit("")), F.lit("9")).cast("int"), F.lit(1))
+    weeks = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))
+    of_week = F.date_add(F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))).cast("date"), (week - 1) * 7 + day - 1)
+    found = (
+        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd")).when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd"))
+        .when(t.rlike(r"^(\d{4}-W\d{2}(-\d)?|\d{4}W\d{2}\d?)$") & (year > 0) & week.between(1, weeks) & day.between(1, 7), of_week)
+    )
+    return F.when(~t.startswith("0000"), found)
+
+
 def form_date(x: Column | str) -> Column:
     """struct(value, problem) of a form's ISO date: blank is no date; what is no ISO date names the problem."""
     t = F.trim(filled(x))
-    value = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
+    value = iso_date(t)
     problem = F.when((t != "") & value.isNull(), F.concat(F.lit("Invalid isoformat string: "), t))
     return F.struct(value.alias("value"), problem.alias("problem"))
 
@@ -54,9 +71,28 @@ def extract_deadline(x: Column | str, patterns=v.CRAWL_DEADLINES) -> Column:
     return let(clean_text(x), first)
 
 
+#: Date, any one character, time of day with or without colons, zone.
+_ISO_TIME = (
+    r"^(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-\d)?|\d{4}W\d{2}\d?)"
+    r"(?:(?s:.)(\d{2})(?:(:?)(\d{2})(?:\3(\d{2})(?:[.,](\d+))?)?)?(?:(Z)|([+-])(\d{2})(?:(:?)(\d{2})(?:\10(\d{2})(?:\.(\d+))?)?)?)?)?$"
+)
+
+
 def parse_timestamp(x: Column | str) -> Column:
-    """ISO timestamp, UTC if it names no zone, null if it is none."""
-    return F.try_to_timestamp(F.nullif(filled(x), F.lit("")))
+    """ISO 8601 date or timestamp, UTC if it names no zone; null for anything else: neither a clock time nor a year alone is one."""
+
+    def read(t: Column) -> Column:
+        number = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, _ISO_TIME, i), F.lit("")).cast("long"), F.lit(0).cast("long"))
+        micros = lambda i: F.rpad(F.substring(F.regexp_extract(t, _ISO_TIME, i), 1, 6), 6, "0").cast("long")
+        hour, minute, second, off_h, off_m, off_s = (number(i) for i in (2, 4, 5, 9, 11, 12))
+        day = F.unix_date(iso_date(F.regexp_extract(t, _ISO_TIME, 1)))
+        offset = (off_h * 3600 + off_m * 60 + off_s) * 1_000_000 + micros(13)
+        at = ((day * 24 + hour) * 60 + minute) * 60_000_000 + second * 1_000_000 + micros(6)
+        right = (hour < 24) & (minute < 60) & (second < 60) & (off_h < 24) & (off_m < 60) & (off_s < 60)
+        zoned = at - F.when(F.regexp_extract(t, _ISO_TIME, 8) == "-", -offset).otherwise(offset)
+        return F.when(t.rlike(_ISO_TIME) & right, F.timestamp_micros(zoned))
+
+    return let(filled(x), read)
 
 
 def is_expired(deadline: Column | str, as_of: Column) -> Column:
