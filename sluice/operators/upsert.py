@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as v
 from ..functions.dates import is_expired
 from ..functions.text import organisation_name
 from . import lifecycle
@@ -28,24 +29,46 @@ def fold_last(batch: DataFrame, key: str, filled_only: tuple[str, ...], ordinal:
     return batch.groupBy(key).agg(*aggs)
 
 
-def upsert_opportunities(existing: DataFrame, batch: DataFrame, now: Column, as_of: Column) -> DataFrame:
+def fold_expiry(batch: DataFrame, key: str, as_of: Column, ordinal: str = "ordinal") -> DataFrame:
+    """What a key's rows, one after the other, do to its expiry state: (key, _past, _undated).
+
+    The machine's steps compose: a passed deadline takes an active status to Expired, one to come
+    takes Expired to New, and a row without a deadline repeats the step before.  So a sequence
+    comes down to its last step and to whether any step was a passed one: ``_past`` among the dated rows,
+    and by the stored deadline if the sequence begins undated.  Aggregates that combine on the map
+    side, whatever the length of a key's history.
+    """
+    return batch.groupBy(key).agg(
+        F.coalesce(F.max(F.col("deadline") < as_of), F.lit(False)).alias("_past"), F.min(F.struct(ordinal, F.col("deadline").isNull().alias("u")))["u"].alias("_undated"),
+    )
+
+
+def upsert_opportunities(existing: DataFrame, batch: DataFrame, now: Column, as_of: Column, row_by_row: bool = False) -> DataFrame:
     """Opportunities after a scan, with ``action`` insert, update or keep and ``changed``.
 
     ``batch``: classified listings with ordinal.  Empty text and a null deadline
     leave the stored value; source_name, category, reason and score are
-    replaced.  New rows are New or Expired by deadline.
+    replaced.  New rows are New or Expired by deadline.  A key's rows are folded to
+    the last before the expiry rule; ``row_by_row`` applies the rule after each of them, as if they came one at a time.
     """
     clean = batch.withColumn("organisation_name", organisation_name("organisation_name"))
     new = fold_last(clean, "source_url", ("organisation_name", "title", "description", "deadline"))
     soft, hard = ("organisation_name", "title", "description", "deadline"), ("source_name", "category", "match_reason", "match_score")
-    n = new.select(F.col("source_url").alias("_k"), *[F.col(c).alias(f"_{c}") for c in (*soft, *hard)])
+    if row_by_row:
+        new = new.join(fold_expiry(clean, "source_url", as_of), "source_url")
+    steps = ("_past", "_undated") if row_by_row else ()
+    n = new.select(F.col("source_url").alias("_k"), *[F.col(c).alias(f"_{c}") for c in (*soft, *hard)], *steps)
     rows = existing.withColumn("_old", F.lit(True)).join(n, existing.source_url == F.col("_k"), "full_outer")
     old, met = F.col("_old").isNotNull(), F.col("_k").isNotNull()
     both, fresh = old & met, ~old
     value = {c: F.when(met, F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")) if c != "deadline" else F.col(f"_{c}"), F.col(c))).otherwise(F.col(c)) for c in soft}
     value |= {c: F.when(met, F.col(f"_{c}")).otherwise(F.col(c)) for c in hard}
     rows = rows.withColumns({f"v_{c}": x for c, x in value.items()})
-    gone, status = lifecycle.expiry_columns(as_of, F.col("v_deadline"))
+    before = F.col("status")
+    if row_by_row:
+        passed = F.col("_past") | (F.col("_undated") & is_expired("deadline", as_of))
+        before = F.when(passed & before.isin(*v.ACTIVE_STATUSES), "Expired").otherwise(before)
+    gone, status = lifecycle.expiry_columns(as_of, F.col("v_deadline"), before)
     rows = rows.withColumns({
         "v_is_expired": F.when(fresh, is_expired("v_deadline", as_of)).when(both, gone).otherwise(F.col("is_expired")),
         "v_status": F.when(fresh, F.when(is_expired("v_deadline", as_of), "Expired").otherwise("New")).when(both, status).otherwise(F.col("status")),

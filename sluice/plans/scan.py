@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import classify, crawl, lifecycle, quality, upsert
+from ..sources.snapshots import KeyedTable
 
 #: name -> function that returns raw listings.
 SCANNERS: dict[str, Callable[..., DataFrame]] = {}
@@ -57,6 +59,68 @@ def run_scanners(inputs: dict[str, dict]) -> tuple[DataFrame, DataFrame | None]:
     return spark.createDataFrame(problems, "scanner string, problem string"), gather(found) if found else None
 
 
+#: A scanner's outcome; counts are null where its run did not get so far.
+OUTCOME = "scanner string, found long, relevant long, saved long, updated long, classification_failures long, save_failures long, problem string"
+
+
+def scan_into(table: KeyedTable, inputs: dict[str, dict], now: Column, as_of: Column, root: str, rules: classify.Rules = classify.Rules()) -> DataFrame:
+    """Run every named scanner into ``table`` (opportunities by source_url), each by itself; a row of OUTCOME a scanner.
+
+    A scanner that fails, when planned or while it runs, is counted with its problem, and
+    the others' rows are saved.  Counts are observed on the writes, so nothing is read twice for
+    them.  ``root``: a shared folder for what the scanners found.
+    """
+    spark, outcomes, run = table.spark, [], uuid.uuid4().hex
+    for name in (n for n in SCANNERS if n in inputs):
+        counts: dict[str, int] = {}
+        problem = None
+        try:
+            raw = _written(SCANNERS[name](**inputs[name]).withColumn("scanner", F.lit(name)), f"{root}/{run}/{name}/raw", counts, {
+                "found": F.count(F.lit(1)), "classification_failures": F.count_if(_blank("title")), "save_failures": F.count_if(~_blank("title") & _blank("source_url"))})
+            cols = ["organisation_name", "title", "description", "deadline", "source_name", "source_url", "category", "match_score", "match_reason", "ordinal"]
+            accepted = classify.classify(raw.where(~_blank("title") & ~_blank("source_url")), rules).select(*cols)
+            accepted = _written(accepted, f"{root}/{run}/{name}/accepted", counts, {"relevant": F.count(F.lit(1))})
+            seen: list[Observation] = []
+
+            def update(stored: DataFrame, batch: DataFrame) -> DataFrame:
+                seen.append(Observation())
+                out = upsert.upsert_opportunities(stored, batch, now, as_of, row_by_row=True)
+                out = out.observe(seen[-1], F.count_if(F.col("action") == "insert").alias("saved"), F.count_if(F.col("action") == "update").alias("updated"))
+                return out.drop("action", "changed")
+
+            table.merge(accepted, update)
+            counts |= seen[-1].get
+        except Exception as e:
+            problem = f"{type(e).__name__}: {_cause(e)}"[:500]
+        outcomes.append((name, *(counts.get(c) for c in ("found", "relevant", "saved", "updated", "classification_failures", "save_failures")), problem))
+    return spark.createDataFrame(outcomes, OUTCOME)
+
+
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(c), F.lit("")) == ""
+
+
+def _cause(e: BaseException) -> str:
+    """The last line of an error that is not blank: what Python code on an executor raised comes last."""
+    lines = [line.strip() for line in str(e).split("JVM stacktrace")[0].splitlines() if line.strip()]
+    raised = [line for line in lines if line.split(":")[0].endswith(("Error", "Exception"))]
+    return (raised or lines or [""])[-1]
+
+
+def _written(df: DataFrame, path: str, counts: dict, metrics: dict[str, Column]) -> DataFrame:
+    """Write ``df``, observe ``metrics`` on the way into ``counts``, and read it back."""
+    seen = Observation()
+    df.observe(seen, *[m.alias(k) for k, m in metrics.items()]).write.parquet(path)
+    counts |= seen.get
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def totals(outcomes: DataFrame) -> DataFrame:
+    """One row of a run's outcomes: sums, and how many scanners failed."""
+    names = ("found", "relevant", "saved", "updated", "classification_failures", "save_failures")
+    return outcomes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], F.count("problem").alias("scan_failures"))
+
+
 def gather(found: dict[str, DataFrame]) -> DataFrame:
     """All scanners' listings with the scanner's name; ordinals order them across scanners."""
     parts = [

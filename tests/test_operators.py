@@ -346,3 +346,58 @@ def test_a_scanner_that_fails_does_not_stop_the_others(spark):
     assert scan.scanner_names()[:2] == ["portal", "websites"]
     failed, found = scan.run_scanners({"websites": {"sources": cards, "pages": details}, "portal": {"cards": cards, "details": details, "portal_name": "P"}})
     assert [r.scanner for r in failed.collect()] == ["websites"] and [r.scanner for r in found.collect()] == ["portal"]
+
+
+def test_a_scanner_that_fails_while_running_is_counted_and_the_others_are_saved(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sluice.sources.snapshots import KeyedTable
+
+    table = KeyedTable(spark, f"file://{tmp_path}/t")
+    table.create(frame(spark, schemas.OPPORTUNITIES), "source_url", 4)
+    rows = spark.createDataFrame([AUDIT, (*AUDIT[:4], "https://b", *AUDIT[5:]), ("", "y", "", "", "z", None, 1), ("t", "y", "", "", None, None, 2), ("x", "y", "", "", "z", None, 3)], LISTING)
+
+    @F.udf("string")
+    def broken(x):
+        raise ValueError("no such page")
+
+    monkeypatch.setitem(scan.SCANNERS, "portal", lambda rows: rows.withColumn("description", broken("title")))
+    monkeypatch.setitem(scan.SCANNERS, "websites", lambda rows: rows)
+    monkeypatch.setitem(scan.SCANNERS, "planned", lambda rows: rows.select("nothing"))
+    try:
+        for saved, updated in ((2, 0), (0, 2)):
+            out = scan.scan_into(table, {n: {"rows": rows} for n in ("portal", "websites", "planned")}, F.lit(NOW), F.lit(AS_OF), f"file://{tmp_path}/run")
+            got = {r.scanner: r for r in out.collect()}
+            assert "no such page" in got["portal"].problem and got["portal"].saved is None and "AnalysisException" in got["planned"].problem
+            assert tuple(got["websites"])[1:] == (5, 2, saved, updated, 1, 1, None)
+            assert tuple(scan.totals(out).first()) == (5, 2, saved, updated, 1, 1, 2)
+    finally:
+        monkeypatch.undo()
+    assert {r.source_url for r in table.read().collect()} == {AUDIT[4], "https://b"}
+
+
+def test_rows_one_at_a_time_are_what_the_row_by_row_fold_gives(spark):
+    """Random histories of several keys against one upsert a row."""
+    import random
+
+    rng = random.Random(3)
+    past, future = D(2026, 1, 1), D(2028, 1, 1)
+    statuses = ["New", "Seen", "Interested", "Applied", "Expired", "Rejected"]
+    old = [opp(source_url=f"u{i}", status=rng.choice(statuses), deadline=rng.choice([None, past, future]), is_expired=False, title="t") for i in range(20)]
+    rows = [("t", "", "", "s", f"u{rng.randrange(30)}", rng.choice([None, past, future]), i, "Y", 70, "r") for i in range(60)]
+    stored = frame(spark, schemas.OPPORTUNITIES, *old)
+    got = upsert.upsert_opportunities(stored, spark.createDataFrame(rows, BATCH), F.lit(NOW), F.lit(AS_OF), row_by_row=True)
+    state = {r["source_url"]: (r["status"], r["deadline"], r["is_expired"]) for r in old}
+    for r in rows:
+        key, deadline = r[4], r[5]
+        status, kept, _ = state.get(key, (None, None, None))
+        deadline = deadline or kept
+        gone = deadline is not None and deadline < AS_OF
+        if status is None:
+            status = "Expired" if gone else "New"
+        elif gone and status in ("New", "Seen", "Interested"):
+            status = "Expired"
+        elif not gone and status == "Expired":
+            status = "New"
+        state[key] = (status, deadline, gone)
+    assert {r.source_url: (r.status, r.deadline, r.is_expired) for r in got.collect()} == state
