@@ -30,8 +30,14 @@ def _kind(x: Column) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """A JSON text as a VARIANT, null if it is none; of a repeated key the last counts where the session allows them."""
-    return F.try_parse_json(text)
+    """A JSON text as a VARIANT, null if it is none; of a repeated key the last counts where the session allows them.
+
+    The parser stops at a value's end and does not mind what follows.  In brackets and in braces at once
+    nothing can follow: what closes the one early is an error in the other.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", _LIST)
+    held = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.when(held.isNotNull() & (F.size(listed) == 1), F.get(listed, F.lit(0)))
 
 
 def _string(x: Column) -> Column:

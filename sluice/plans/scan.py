@@ -63,19 +63,20 @@ def run_scanners(inputs: dict[str, dict]) -> tuple[DataFrame, DataFrame | None]:
 OUTCOME = "scanner string, found long, relevant long, saved long, updated long, classification_failures long, save_failures long, problem string"
 
 
-def scan_into(table: KeyedTable, inputs: dict[str, dict], now: Column, as_of: Column, root: str, rules: classify.Rules = classify.Rules()) -> DataFrame:
+def scan_into(table: KeyedTable, inputs: dict[str, dict], now: Column, as_of: Column, root: str, rules: classify.Rules = classify.Rules(), scanners: dict[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
     """Run every named scanner into ``table`` (opportunities by source_url), each by itself; a row of OUTCOME a scanner.
 
     A scanner that fails, when planned or while it runs, is counted with its problem, and
     the others' rows are saved.  Counts are observed on the writes, so nothing is read twice for
-    them.  ``root``: a shared folder for what the scanners found.
+    them.  ``root``: a shared folder for what the scanners found; ``scanners``: others than the registered ones.
     """
     spark, outcomes, run = table.spark, [], uuid.uuid4().hex
-    for name in (n for n in SCANNERS if n in inputs):
+    known = SCANNERS if scanners is None else scanners
+    for name in (n for n in known if n in inputs):
         counts: dict[str, int] = {}
         problem = None
         try:
-            raw = _written(SCANNERS[name](**inputs[name]).withColumn("scanner", F.lit(name)), f"{root}/{run}/{name}/raw", counts, {
+            raw = _written(known[name](**inputs[name]).withColumn("scanner", F.lit(name)), f"{root}/{run}/{name}/raw", counts, {
                 "found": F.count(F.lit(1)), "classification_failures": F.count_if(_blank("title")), "save_failures": F.count_if(~_blank("title") & _blank("source_url"))})
             cols = ["organisation_name", "title", "description", "deadline", "source_name", "source_url", "category", "match_score", "match_reason", "ordinal"]
             accepted = classify.classify(raw.where(~_blank("title") & ~_blank("source_url")), rules).select(*cols)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,16 @@ def session(app: str = "sluice", master: str | None = None, **conf: str) -> Spar
     for k, x in {**defaults, **{k.replace("__", "."): str(x) for k, x in conf.items()}}.items():
         b = b.config(k, x)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors both reach it: under ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a session on one machine takes a temporary folder; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sluice-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -71,3 +71,18 @@ def test_links_as_a_table(spark):
         got.setdefault(r.id, []).append((r.ordinal, r.href, r.link_text))
     for i, t in enumerate(texts):
         assert got.get(i, []) == [(a["ordinal"], a["href"], a["link_text"]) for a in htmldom.anchors(t or "")]
+
+
+def test_what_is_json_is_what_the_standard_reader_takes(spark):
+    texts = ["{}", "{}}", "1", "1],[2", "{} {}", "1,2", "],[", "", " ", " [1] ", "[1]]", "{\"a\":1}, \"b\":2", "nul", "null", "\"x\"", "{'a':1}", "[1,]", "01", "tru"]
+
+    def takes(x):
+        try:
+            json.loads(x)
+        except ValueError:
+            return False
+        return True
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.ok for r in df.select("t", structured.parsed(F.col("t")).isNotNull().alias("ok")).collect()}
+    assert got == {t: takes(t) for t in texts}
