@@ -48,13 +48,57 @@ def tokens_of(text: Column | str) -> Column:
     return F.concat(F.lit(" "), F.replace(c(text), F.lit("."), F.lit(" . ")), F.lit(" "))
 
 
+def _trie_pattern(terms: list[str]) -> str:
+    """A pattern that matches the longest of the terms; common beginnings are read once."""
+    ends, kids = "" in terms, {}
+    for t in terms:
+        if t:
+            kids.setdefault(t[0], []).append(t[1:])
+    if not kids:
+        return ""
+    ways = [re.escape(k) + _trie_pattern(rest) for k, rest in sorted(kids.items())]
+    one = ways[0] if len(ways) == 1 and not ends else "(?:" + "|".join(ways) + ")"
+    return one + "?" if ends else one
+
+
+class TermIndex:
+    """Many terms looked up in one pass over a text: cost follows the text, not the dictionaries.
+
+    At every word the longest term that begins there is read off a trie; the terms that
+    are its own beginnings occur with it.
+    """
+
+    def __init__(self, *dictionaries):
+        self.words = {t: n for d in dictionaries for t in d if (n := normalise_term(t))}
+
+    def found(self, padded: Column | str) -> Column:
+        """All terms that occur as whole words, in any order, some perhaps twice; ``padded`` comes from tokens_of."""
+        if not self.words:
+            return F.expr("cast(array() as array<string>)")
+        by_text: dict[str, list[str]] = {}
+        for t, n in self.words.items():
+            by_text.setdefault(n, []).append(t)
+        begins = {n: [t for m, ts in sorted(by_text.items()) if n == m or n.startswith(m + " ") for t in ts] for n in by_text}
+        longest = F.regexp_extract_all(c(padded), F.lit(f"(?<= )(?=({_trie_pattern(sorted(by_text))}) )"), F.lit(1))
+        # Most terms stand for themselves alone; only the others are looked up.
+        more = {n: ts for n, ts in begins.items() if ts != [n]}
+        if not more:
+            return longest
+        implied = F.create_map(*[x for n, ts in sorted(more.items()) for x in (F.lit(n), F.array(*map(F.lit, ts)))])
+        return F.flatten(F.transform(longest, lambda n: F.when(n.isin(*more), implied[n]).otherwise(F.array(n))))
+
+    @staticmethod
+    def among(found: Column | str, terms) -> Column:
+        """Sorted distinct terms of one dictionary among those found."""
+        usable = sorted({t for t in terms if normalise_term(t)})
+        if not usable:
+            return F.expr("cast(array() as array<string>)")
+        return F.array_sort(F.array_distinct(F.filter(c(found), lambda t: t.isin(*usable))))
+
+
 def find_terms(padded: Column | str, terms) -> Column:
     """Sorted distinct terms that occur as whole words; ``padded`` comes from tokens_of."""
-    usable = sorted({t for t in terms if normalise_term(t)})
-    if not usable:
-        return F.expr("cast(array() as array<string>)")
-    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(f" {normalise_term(t)} ").alias("n")) for t in usable])
-    return let(padded, lambda p: F.transform(F.filter(table, lambda s: F.contains(p, s["n"])), lambda s: s["t"]))
+    return TermIndex.among(TermIndex(terms).found(padded), terms)
 
 
 def contains_term(text: Column | str, term: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import computed_once, ends_with_any, filled, find_terms, normalise_term, tokens_of, txt
+from ..functions.text import TermIndex, computed_once, ends_with_any, filled, find_terms, normalise_term, tokens_of, txt
 from ..functions.urls import path
 
 
@@ -47,9 +47,10 @@ def evidence(listings: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     doc_text = tokens_of(txt(F.concat(filled("title"), F.lit(" "), F.lower(path("source_url")))))
     texts = computed_once(listings, {"_text": searchable(listings), "_title": txt("title"), "_doc": doc_text})
-    padded = computed_once(texts, {"_pad": tokens_of("_text")})
+    index = TermIndex(*(getattr(rules, k) for k in EVIDENCE), *(terms for _, *both in rules.categories for terms in both))
+    padded = computed_once(texts, {"_terms": index.found(tokens_of("_text"))})
     is_document = ends_with_any(F.lower(path("source_url")), rules.extensions) & (F.size(find_terms("_doc", rules.hints)) > 0)
-    found = {f"_{k}": find_terms("_pad", getattr(rules, k)) for k in EVIDENCE}
+    found = {f"_{k}": TermIndex.among("_terms", getattr(rules, k)) for k in EVIDENCE}
     return computed_once(padded, {**found, "_document": is_document, "_dated": F.col("deadline").isNotNull()})
 
 
@@ -77,7 +78,7 @@ def scored(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
         + at_most(5, 2, "_abbreviations") - at_most(30, 10, "_generic") - at_most(25, 10, "_employment")
     )
     hits = F.array(*[
-        F.struct(F.lit(-i).alias("o"), F.lit(name).alias("category"), find_terms("_pad", strong).alias("s"), find_terms("_pad", broad).alias("b"))
+        F.struct(F.lit(-i).alias("o"), F.lit(name).alias("category"), TermIndex.among("_terms", strong).alias("s"), TermIndex.among("_terms", broad).alias("b"))
         for i, (name, strong, broad) in enumerate(rules.categories)
     ])
     rows = computed_once(found, {"_shared": shared, "_hits": hits})
