@@ -3,7 +3,8 @@
 A document is kept as a segment tree: leaves are runs of whole pre-tokens, inner
 nodes sum characters and tokens.  An edit touches a few leaves; only those, and
 neighbours as far as a pre-token could reach across, are encoded again, and the
-sums above them are updated.
+sums above them are updated.  A leaf that grows full is split; the tree keeps gaps between
+leaves and grows by a level when it has too few.
 """
 
 from __future__ import annotations
@@ -65,14 +66,9 @@ class TokenTree:
 
     def __init__(self, text: str, encode, size: int = LEAF):
         self.encode, self.size, self.encoded_chars = encode, size, 0
-        self.leaf = leaves_of(text, size)
-        self.n = 1 << (len(self.leaf) - 1).bit_length()
-        self.leaf += [""] * (self.n - len(self.leaf))
-        self.chars, self.tokens = [0] * (2 * self.n), [0] * (2 * self.n)
-        for i, x in enumerate(self.leaf):
-            self.chars[self.n + i], self.tokens[self.n + i] = len(x), self._count(x)
-        for i in range(self.n - 1, 0, -1):
-            self._sum(i)
+        self.n = 1
+        self.leaf, self.chars, self.tokens = [""], [0, 0], [0, 0]
+        self._put(0, 0, [(x, len(x), self._count(x)) for x in leaves_of(text, size)])
 
     def _count(self, x: str) -> int:
         self.encoded_chars += len(x)
@@ -109,33 +105,71 @@ class TokenTree:
         end = max(start, min(end, self.n_chars))
         (lo, a), (hi, b) = self._find(start), self._find(end)
         body = self.leaf[lo][:a] + new + self.leaf[hi][b:]
+        old = {lo, hi}
         # Boundary context: go on until both ends are safe places again.
-        while lo > 0 and not self._safe(self._last(lo - 1), body[:1]):
-            lo -= 1
-            body = self.leaf[lo] + body
-        while hi < self.n - 1 and not self._safe(body[-1:], self._first(hi + 1)):
-            hi += 1
-            body += self.leaf[hi]
-        parts = leaves_of(body, self.size)
-        room = hi - lo + 1
-        if len(parts) > room:
-            parts = [*parts[: room - 1], "".join(parts[room - 1 :])]
-        parts += [""] * (room - len(parts))
-        for i, x in enumerate(parts, lo):
-            if x != self.leaf[i]:
-                self.leaf[i] = x
-                self.chars[self.n + i], self.tokens[self.n + i] = len(x), self._count(x)
-        lo, hi = (lo + self.n) // 2, (hi + self.n) // 2
+        while (k := self._beside(lo, -1)) is not None and not self._safe(self.leaf[k][-1], body[:1]):
+            lo, body = k, self.leaf[k] + body
+            old.add(k)
+        while (k := self._beside(hi, 1)) is not None and not self._safe(body[-1:], self.leaf[k][0]):
+            hi, body = k, body + self.leaf[k]
+            old.add(k)
+        known = {self.leaf[k]: self.tokens[self.n + k] for k in old}
+        # A leaf that is full becomes two halves, not a whole one and a scrap.
+        piece = len(body) // 2 if self.size < len(body) <= 2 * self.size else self.size
+        parts = leaves_of(body, piece) if body else []
+        self._put(lo, hi, [(x, len(x), known[x] if x in known else self._count(x)) for x in parts])
+
+    def _put(self, lo: int, hi: int, parts: list[tuple[str, int, int]]) -> None:
+        """Put ``parts`` (text, characters, tokens) in place of the leaves lo..hi.
+
+        What does not fit there is spread over the least subtree around that is not too full, gaps
+        left between; a subtree may be the fuller the smaller it is, so leaves move seldom. If
+        all is too full the tree gets a level more.
+        """
+        width = 1
+        while lo // width != hi // width:
+            width *= 2
+        while True:
+            a = lo // width * width
+            around = [self._entry(k) for k in range(a, lo) if self.leaf[k]], [self._entry(k) for k in range(hi + 1, a + width) if self.leaf[k]]
+            used = [*around[0], *parts, *around[1]]
+            levels = max(1, self.n.bit_length() - 1)
+            if len(used) <= width * (1 - 0.5 * (width.bit_length() - 1) / levels) or (width == self.n and len(used) <= width <= 2):
+                break
+            if width < self.n:
+                width *= 2
+                continue
+            while len(used) > self.n // 2:
+                self.n *= 2
+            self.leaf, self.chars, self.tokens = [""] * self.n, [0] * (2 * self.n), [0] * (2 * self.n)
+            a, width = 0, self.n
+            break
+        for k in range(a, a + width):
+            self.leaf[k], self.chars[self.n + k], self.tokens[self.n + k] = "", 0, 0
+        for j, entry in enumerate(used):
+            k = a + j * width // len(used)
+            self.leaf[k], self.chars[self.n + k], self.tokens[self.n + k] = entry
+        lo, hi = (a + self.n) // 2, (a + width - 1 + self.n) // 2
         while lo:
             for i in range(lo, hi + 1):
                 self._sum(i)
             lo, hi = lo // 2, hi // 2
 
-    def _last(self, i: int) -> str:
-        return next((self.leaf[k][-1] for k in range(i, -1, -1) if self.leaf[k]), "")
-
-    def _first(self, i: int) -> str:
-        return next((self.leaf[k][0] for k in range(i, self.n) if self.leaf[k]), "")
+    def _entry(self, k: int) -> tuple[str, int, int]:
+        return self.leaf[k], self.chars[self.n + k], self.tokens[self.n + k]
+
+    def _beside(self, k: int, step: int) -> int | None:
+        """The nearest leaf with text before (step -1) or behind (1) a leaf, found by the sums."""
+        i = self.n + k
+        while i > 1:
+            if (i & 1) == (step < 0) and self.chars[i + step]:
+                i += step
+                while i < self.n:
+                    i = 2 * i + (step < 0)
+                    i = i if self.chars[i] else i ^ 1
+                return i - self.n
+            i //= 2
+        return None
 
     @staticmethod
     def _safe(before: str, after: str) -> bool:

@@ -423,6 +423,29 @@ def test_token_tree():
             assert tree.text() == s and tree.n_chars == len(s) and tree.n_tokens == len(encode(s))
 
 
+@pytest.mark.parametrize("where", ["end", "start", "middle", "anywhere"])
+def test_a_token_tree_grows_with_its_text(where):
+    """After thousands of inserts the edit of a character still encodes under four leaves."""
+    encode = tokencount._encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng, tree, size = random.Random(7), tokencount.TokenTree("short", encode, 64), 64
+    for i in range(10_000 if where == "end" else 2_000):
+        at = {"end": tree.n_chars, "start": 0, "middle": tree.n_chars // 2, "anywhere": rng.randint(0, tree.n_chars)}[where]
+        tree.edit(at, at, f" some words {i}")
+    assert max(map(len, tree.leaf)) < 2 * size and sum(map(bool, tree.leaf)) < 4 * tree.n_chars / size
+    for at in (0, 1, tree.n_chars // 3, tree.n_chars - 1):
+        before = tree.encoded_chars
+        tree.edit(at, at + 1, "x")
+        assert tree.encoded_chars - before < 4 * size
+    assert tree.n_tokens == len(encode(tree.text())) and tree.n_chars == len(tree.text())
+    tree.edit(50, tree.n_chars - 50, "")
+    tree.edit(40, 60, "")
+    assert tree.n_tokens == len(encode(tree.text())) and tree.n_chars == 80
+    tree.edit(0, 80, "")
+    assert (tree.n_tokens, tree.n_chars, tree.text()) == (0, 0, "")
+    tree.edit(0, 0, "again " * 300)
+    assert tree.n_tokens == len(encode("again " * 300))
+
+
 def test_token_counts(spark):
     long = "some words and more " * 20_000
     df = docs(spark, [None, "", long, "a b"])
