@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_batch, queries_core, queries_sources
+from . import queries_batch, queries_core, queries_portal, queries_sources
 from .operators import dashboard
 from .views import AS_OF, opportunities
 
@@ -18,8 +18,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**queries_core.QUERIES, **queries_batch.QUERIES, **queries_sources.QUERIES}
+    return {**queries_core.QUERIES, **queries_batch.QUERIES, **queries_sources.QUERIES, **queries_portal.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**queries_core.SQL, **queries_batch.SQL, **queries_sources.SQL}
+    return {**queries_core.SQL, **queries_batch.SQL, **queries_sources.SQL, **queries_portal.SQL}
