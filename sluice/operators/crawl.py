@@ -71,7 +71,9 @@ def crawl(sources: DataFrame, edges: DataFrame, pages: DataFrame, disallowed: Da
             level = level.join(forbidden(level, robots), "url", "left_anti")
         if visited is not None:
             level = level.join(visited.select("source_id", "url"), ["source_id", "url"], "left_anti")
-        level = level.withColumn("depth", F.lit(depth))
+        # What lies further back than max_pages in its own level is never reached, nor is what it leads to.
+        place = F.row_number().over(Window.partitionBy("source_id").orderBy("path"))
+        level = level.withColumn("_place", place).where(F.col("_place") <= max_pages).drop("_place").withColumn("depth", F.lit(depth))
         visited = level if visited is None else visited.unionByName(level)
         if depth < max_depth:
             onward = level.where(~is_document("url")).join(links, F.col("url") == F.col("_from"))

@@ -401,3 +401,18 @@ def test_rows_one_at_a_time_are_what_the_row_by_row_fold_gives(spark):
             status = "New"
         state[key] = (status, deadline, gone)
     assert {r.source_url: (r.status, r.deadline, r.is_expired) for r in got.collect()} == state
+
+
+def test_a_wide_site_is_cut_level_by_level(spark):
+    """A start page with 500 links whose pages have 40 each: 30 pages are visited, and no level carries more."""
+    url = "https://a.example"
+    src = spark.createDataFrame([(1, url, url, "a.example")], "id long, monitor_url string, base_url string, domain string")
+    rows = [(f"{url}/", f"{url}/p{i}", i + 1) for i in range(500)] + [(f"{url}/p{i}", f"{url}/p{i}/q{j}", j + 1) for i in range(500) for j in range(40)]
+    edges = spark.createDataFrame(rows, "page_url string, url string, rank int")
+    pages = edges.select("url").union(spark.createDataFrame([(f"{url}/",)], "url string")).distinct()
+    out = crawl.crawl(src, edges, pages)
+    got = sorted((r.position, r.url, r.depth) for r in out.collect())
+    assert got == [(1, f"{url}/", 0)] + [(i + 2, f"{url}/p{i}", 1) for i in range(29)]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    narrow = crawl.crawl(src, edges.where("rank <= 3"), pages, max_pages=8).orderBy("position").collect()
+    assert [r.url.removeprefix(url) for r in narrow] == ["/", "/p0", "/p1", "/p2", "/p0/q0", "/p0/q1", "/p0/q2", "/p1/q0"]
