@@ -62,13 +62,15 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_within: for documents whose id is divisible by 20, how many other
-    fingerprints of the corpus the block tables find within 3 bits; else null."""
+    """n_within: for documents whose id is divisible by 20, how many other documents' fingerprints
+    the block tables find within 3 bits; else null."""
     made = materialise(simhash.fingerprint_edits(table(spark, sf_dir, "documents")), "edits")
     seen = made.groupBy("doc_id").agg(F.min_by("fp", "text_md5").alias("next_fp")).withColumnRenamed("doc_id", "nid")
     asking = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
     pairs = simhash.near_fingerprints(made.select("fp").distinct(), made.where(asking).select("fp").distinct(), 3)
-    within = pairs.groupBy("query_fp").agg(F.count_if(F.col("fp") != F.col("query_fp")).alias("n"))
+    # A fingerprint stands for all documents that have it.
+    shared = made.groupBy("fp").agg(F.count("*").alias("n"))
+    within = pairs.join(shared, "fp").groupBy("query_fp").agg((F.sum("n") - 1).alias("n"))
     rows = made.join(seen, made.next_id == seen.nid, "left").join(within, made.fp == within.query_fp, "left")
     return rows.select(
         "doc_id",

@@ -18,6 +18,9 @@ from .common import ascii_lower, fresh, materialise, release, small_batches, wor
 from .ordering import successors
 
 _FIELD = 0x0000000100000001
+#: Words of more characters are read as overlapping runs of PIECE characters: a text without
+#: white space has terms of its own length, and an edit changes only those it touches.
+LONG_WORD, PIECE = 24, 4
 
 
 def vote(rows: DataFrame, keys: list[str], hash_col: str, weight_col: str | None = None) -> DataFrame:
@@ -57,6 +60,18 @@ def likeness(a: Column, b: Column) -> Column:
     return 1.0 - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
+def units(word_col: Column) -> Column:
+    """The words, long ones as their pieces."""
+
+    def pieces(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(w) - (PIECE - 1)), lambda i: F.substring(w, i, F.lit(PIECE)))
+
+    long = lambda w: F.length(w) > LONG_WORD
+    cut = F.flatten(F.transform(word_col, lambda w: F.when(long(w), pieces(w)).otherwise(F.array(w))))
+    # Few texts have any: the others' words stay the array they are.
+    return F.when(F.exists(word_col, long), cut).otherwise(word_col)
+
+
 def weighted_terms(word_col: Column) -> Column:
     """Adjacent word pairs as (hash, weight): longer words say more, so they weigh more."""
     # The length must not overflow with the start: slice would give an empty array.
@@ -138,7 +153,7 @@ def shingle_fingerprints(docs: DataFrame, carry: list[str], shingle: int = 3, te
 def text_fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """Weighted fingerprint per row; ``keys`` must tell rows apart."""
     ws, t = fresh(rows, "ws", "t")
-    split = rows.select(*keys, words(F.col(text_col)).alias(ws))
+    split = rows.select(*keys, words(F.col(text_col)).alias(ws)).select(*keys, units(F.col(ws)).alias(ws))
     terms = split.select(*keys, F.explode_outer(weighted_terms(F.col(ws))).alias(t))
     terms = terms.select(*keys, F.col(f"{t}.h").alias("_h"), F.col(f"{t}.w").alias("_wt"))
     return vote(terms, keys, "_h", "_wt")
@@ -179,7 +194,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     as many, or all, from the start of the next document by ascending doc_id
     (after the last: the first).  Of rows that share an id the one with the
     smallest md5 of its text is the document that others see.  A row with a null
-    id has no next document: its last quarter is cut.
+    id has no next document: its last quarter is cut.  Null and empty texts stay
+    empty; texts may be of any length; an empty table gives no rows.
 
     The order is found on ids alone.  Texts are shuffled once, by doc_id; of the
     next text only as much travels as the edit can use.
@@ -212,7 +228,11 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id, n_chars, text_md5, edited_sha256, fp, edited_fp per row."""
+    """doc_id, next_id, n_chars, text_md5, edited_sha256, fp, edited_fp per row.
+
+    Null and empty texts have the fingerprint 0; repeated rows are rows each; a text's
+    words must weigh less than 2**32 bytes twice over; an empty table gives no rows.
+    """
     made = ["doc_id", "next_id", "n_chars", "text_md5", "edited_sha256"]
     rows = edited_pairs(docs).withColumn("edited_sha256", F.sha2("edited", 256))
     rows = rows.select("row", F.struct(*made).alias("doc"), "text", "edited")

@@ -239,6 +239,19 @@ def near_pairs(fps, radius=3):
     return {(a, b): bin((a ^ b) % (1 << 64)).count("1") for a in fps for b in fps if bin((a ^ b) % (1 << 64)).count("1") <= radius}
 
 
+def test_texts_without_spaces_have_terms_of_their_own_length(spark):
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + rng.randrange(3000)) for _ in range(900)]
+    texts = ["".join(rng.choices(letters, k=rng.randint(600, 1500))) for _ in range(30)]
+    rows = simhash.fingerprint_edits(docs(spark, texts)).collect()
+    by_id = {r.doc_id: r for r in rows}
+    like = lambda a, b: 1 - bin((a ^ b) % (1 << 64)).count("1") / 64
+    edited = [like(r.fp, r.edited_fp) for r in rows]
+    following = [like(r.fp, by_id[r.next_id].fp) for r in rows]
+    assert sum(edited) / len(edited) > 0.75 and 0.4 < sum(following) / len(following) < 0.6
+    assert len({r.fp for r in rows}) == len(rows)
+
+
 def some_fingerprints(rng, n, groups=6):
     base, out = [rng.getrandbits(64) for _ in range(groups)], set()
     while len(out) < n:
