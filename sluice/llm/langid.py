@@ -54,7 +54,8 @@ def trigrams(text: str | None) -> np.ndarray:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
     """Log-likelihood table of every language in ``docs``: (names, matrix).
 
-    Rows with a null language or text are left out; repeated rows count each.
+    Rows with a null language or text are left out; repeated rows count each; texts
+    may be of any length; no rows make a model without languages.
     Counts cover all rows; what comes to the driver is at most languages x
     BUCKETS sums, as Arrow columns of 12 bytes a sum.
     """
@@ -136,7 +137,8 @@ def guess(model, text: Column) -> Column:
     """struct(lang_pred, score, lang_set, lang_share) of a text.
 
     A null text, one without letters, and any text when no language was
-    learned give ``und``, score 0 and empty arrays.
+    learned give ``und``, score 0 and empty arrays.  Whole texts of any length count; equally
+    likely languages go by name; equal texts give equal results.
     """
     names, table = model
     kind = "lang_pred string, score double, lang_set array<string>, lang_share array<double>"
@@ -158,7 +160,7 @@ def guess(model, text: Column) -> Column:
 
 
 def predict(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """``docs`` with the fields of ``guess`` as columns; columns of those names are replaced."""
+    """``docs`` with the fields of ``guess`` as columns; columns of those names are replaced; an empty table gives no rows."""
     made = ("lang_pred", "score", "lang_set", "lang_share")
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     (g,) = fresh(docs, "_guess")

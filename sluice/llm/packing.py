@@ -353,10 +353,12 @@ def place_table(plan: _Plan) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY) -> DataFrame:
     """Per piece of ``docs``: ``carry`` columns, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null texts are empty documents; repeated rows are packed each; an empty
-    table gives no rows.  A piece that fills a sequence is one (its number is
+    Null texts are empty documents; texts may be of any length; repeated rows are
+    packed each; an empty table gives no rows.  ``carry`` must name none of the made columns.  A piece that fills a sequence is one (its number is
     negative); all others find their place by rank among those of their length.
     """
+    if clash := {"piece", "start", "length", "ids_crc32", "sequence_id", "offset", "_text"}.intersection(c.lower() for c in carry):
+        raise ValueError(f"carried columns have names of made ones: {sorted(clash)}")
     small_batches(docs.sparkSession)
     (mid, part, rank, at) = fresh(docs.select(*carry), "_mid", "_part", "_rank", "_at")
     cut = materialise(pieces(docs, tokenizer_path, carry, capacity).withColumn(mid, F.monotonically_increasing_id()), "pieces")

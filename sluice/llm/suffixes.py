@@ -386,7 +386,8 @@ def repeated_ranges(src: DataFrame, length: int = LENGTH, hot_blocks: int = HOT_
         _contexts(length), "h long, blk long, n long, i int, rel int, ctx binary"), "contexts")
     plain = ctx.where("i < 0").repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "blk")
     sorted_out = plain.select("h", "blk", "n", "ctx").mapInPandas(_sort_blocks(length), "h long, blk long, lo int, hi int")
-    hot = ctx.where("i >= 0").dropDuplicates(["h", "blk", "i", "rel"])
+    # Equal rows bring strings more than once: those are repeats in any case.
+    hot = ctx.where("i >= 0")
     twice = hot.groupBy("h", "i", "ctx").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
     # A row per block with its repeated strings as ranges: what is joined to the
     # documents' blocks stays one row a block.
@@ -446,7 +447,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     Rows that repeat another row's text whole lose all of it, as its strings
     start elsewhere too.  Bytes are cut as bytes: ``kept`` may end or begin
     inside a character; ``as_text`` makes it a string, without the characters
-    that a cut runs through.  Columns of the four names are replaced.
+    that a cut runs through.  Columns of the four names are replaced.  Texts may be of any length;
+    an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     made = ("n_bytes", "n_removed", "n_spans", "kept")

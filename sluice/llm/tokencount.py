@@ -184,7 +184,8 @@ def count_tokens(text: Column, edits: Column, ranks_path: str, pattern: str) ->
     ``edits``: array<struct<start int, end int, new string>>, applied in order
     to the whole text (positions in code points, of the text as edited so far;
     out of range: moved into it; a null field: 0, 0 or empty; a null array: no
-    edit).  A null text is empty; repeated rows are counted each; an empty table gives no rows.
+    edit).  A null text is empty; texts may be of any length; repeated rows are counted each; an
+    empty table gives no rows.
     """
 
     def run(texts: pd.Series, changes: pd.Series) -> pd.DataFrame:
