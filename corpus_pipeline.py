@@ -47,14 +47,22 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times."""
+    """Each document as often as the mix takes it, up to three times.
+
+    Texts without words are never taken; a null source is a source of its own, last in order;
+    texts may be of any length, rows may repeat, and an empty table stays empty.
+    """
     mixed = mixing.mix(docs)
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return mixed.where("copies > 0").select(*docs.columns, copies.alias("_copy")).drop("_copy")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048: one row per piece of a document."""
+    """Token sequences of at most 2048: one row per piece of a document.
+
+    A null text is an empty document, of one token; texts may be of any length, rows may
+    repeat, and an empty table gives no rows.
+    """
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
