@@ -51,15 +51,15 @@ def top_k(rows: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int =
     spark = rows.sparkSession
     base = rows.select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), is_query.alias("is_query")
-    ).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
+    ).where(F.col("id").isNotNull() & F.col("vec").isNotNull()).withColumn("row", F.monotonically_increasing_id())
     width = F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0))
     n, wide, nq, wide_q = base.agg(F.count("*"), width, F.coalesce(F.count_if("is_query"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("is_query"), F.size("vec").cast("long"))), F.lit(0))).first()
     q = max(1, -(-wide_q // BLOCK_COMPONENTS))
     c = max(1, -(-wide // BLOCK_COMPONENTS), min(n, -(-2 * parallelism(spark) // q)))
-    spread = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts)).cast("int")
+    # Dealt by row: an id that many rows share is in all blocks alike.
+    spread = lambda parts, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    numbered = base.where("is_query").withColumn("row", F.monotonically_increasing_id())
-    queries = numbered.select(spread(q, 1).alias("qb"), every(c).alias("cb"), "id", "row", "vec")
+    queries = base.where("is_query").select(spread(q, 1).alias("qb"), every(c).alias("cb"), "id", "row", "vec")
     candidates = base.select(every(q).alias("qb"), spread(c, 2).alias("cb"), "id", F.lit(0).cast("long").alias("row"), "vec")
     best = (
         queries.groupBy("qb", "cb")

@@ -198,6 +198,21 @@ def test_languages(spark):
     assert all(r.h == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
 
 
+def test_top_k_deals_a_common_id_to_all_blocks(spark, monkeypatch):
+    """Rows of one id, queries among them, over several blocks: results as from all pairs, and no block holds them all."""
+    monkeypatch.setattr(topk, "BLOCK_COMPONENTS", 60)
+    rng = random.Random(14)
+    rows = [(20, [rng.randint(-9, 9) for _ in range(4)]) for _ in range(40)] + [(i, [rng.randint(-9, 9) for _ in range(4)]) for i in range(1, 60) if i != 20]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in topk.top_k(df, "vec_id", "v", F.col("vec_id") % 20 == 0, 5).collect())
+    want = []
+    for i, v in rows:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in rows if j != i)[:5]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 # --- 4 and 6: fingerprints --------------------------------------------------------
 
 
