@@ -251,7 +251,7 @@ SEEDS = 6
 BANDS, ROWS = 32, 4
 #: What makes a near copy: Jaccard similarity of the sets of five-word shingles.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Shingles that one task holds of one candidate group; larger groups are cut into chunks.
+#: Shingles that one task holds of one candidate group; larger groups are led by as many.
 CHUNK_SHINGLES = 400_000
 
 
@@ -293,19 +293,6 @@ def _drop_led(g: pd.DataFrame) -> np.ndarray:
     return gone
 
 
-def _pairs_across(g: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of like rows, the earlier first: of the two chunks, or within the one."""
-    group, side, key = _Group(g["sh"].tolist()), g["own"].to_numpy(), g["key"].to_numpy()
-    within, a, b = bool((side == side[0]).all()), [], []
-    for i in range(len(g)):
-        hit = group.alike(i) & (within | (side != side[i]))
-        hit[: i + 1] = False
-        later = np.flatnonzero(hit)
-        a.append(np.full(len(later), i))
-        b.append(later)
-    return pd.DataFrame({"key": key[np.concatenate(a)], "later": key[np.concatenate(b)]})
-
-
 def _dropped(solve):
     """The keys that ``solve`` drops of a group."""
     return lambda g: pd.DataFrame({"key": g["key"].to_numpy()[solve(g)]})
@@ -373,8 +360,8 @@ def near_copies(texts: DataFrame, chunk: int = CHUNK_SHINGLES) -> DataFrame:
     A group within ``chunk`` shingles is settled by one task.  Of a larger one
     the first ``chunk`` shingles by (id, key) are; those that stay lead, and what
     is like a leader goes.  The rest begins anew until a round drops less than a
-    tenth of it; then chunks are compared pair by pair, and ``first_come`` settles
-    the like pairs found.  So a group's size never changes the result.
+    tenth of it; then ``like_pairs`` finds the like pairs that are left, and ``first_come``
+    settles them.  So a group's size never changes the result.
     """
     left, gone = texts, None
     while True:
@@ -403,15 +390,42 @@ def near_copies(texts: DataFrame, chunk: int = CHUNK_SHINGLES) -> DataFrame:
             return gone.distinct()
         if after > 0.9 * rest.count():
             break
-    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    sizes = left.groupBy("root").agg(F.ceil(F.sum(F.size("sh")) / chunk).cast("int").alias("parts"))
-    split = left.join(sizes, "root").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = split.withColumn("_o", other).withColumn("part", F.least("own", "_o") * F.col("parts") + F.greatest("own", "_o"))
-    alike = _solved(cells.select("root", "part", "own", "id", "key", "sh"), _pairs_across, "key string, later string")
+    alike = materialise(like_pairs(left), "pairs")
     return gone.unionByName(first_come(alike)).distinct()
 
 
+def meeting(texts: DataFrame) -> DataFrame:
+    """(root, key, later): pairs of a group's texts that may be SIMILARITY like, each once, the one of smaller (id, key) first.
+
+    By prefixes: of its shingles, rarest in the group first, a text shares one of the first
+    n - ceil(SIMILARITY n) + 1 with every text that is like it.  Texts meet by those shingles alone, so
+    the work follows the pairs that share rare shingles, not the group's size squared.
+    """
+    each = texts.select("root", "id", "key", F.size("sh").alias("n"), F.explode("sh").alias("t"))
+    common = each.groupBy("root", "t").agg(F.count("*").alias("c"))
+    ranked = each.join(common, ["root", "t"]).groupBy("root", "id", "key", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"))
+    # A thousandth of a shingle less than the bound, as the bound is not exact in binary.
+    needed = F.ceil(F.col("n") * SIMILARITY - 1e-3)
+    rare = F.filter(F.slice("ts", 1, (F.col("n") - needed + 1).cast("int")), lambda x: x["c"] > 1)
+    first = materialise(ranked.select("root", F.struct("id", "key").alias("at"), "n", F.explode(rare).alias("x")).select("root", "at", "n", "x.t"), "prefixes")
+    other = first.select("root", "t", F.col("at").alias("at2"), F.col("n").alias("n2"))
+    near = (F.col("n2") >= F.col("n") * SIMILARITY - 1e-3) & (F.col("n") >= F.col("n2") * SIMILARITY - 1e-3)
+    met = first.join(other, ["root", "t"]).where((F.col("at") < F.col("at2")) & near)
+    return met.select("root", F.col("at.key").alias("key"), F.col("at2.key").alias("later")).distinct()
+
+
+def like_pairs(texts: DataFrame) -> DataFrame:
+    """The pairs (key, later) of ``meeting`` that are at least SIMILARITY like: none of the group's like pairs is missed.
+
+    ``texts``: root, id, key, sh.
+    """
+    bag = lambda k, s: texts.select("root", F.col("key").alias(k), F.col("sh").alias(s))
+    sets = meeting(texts).join(bag("key", "a"), ["root", "key"]).join(bag("later", "b"), ["root", "later"])
+    shared = sets.withColumn("shared", F.size(F.array_intersect("a", "b")))
+    held = shared.where(F.col("shared") * 1.0 >= SIMILARITY * (F.size("a") + F.size("b") - F.col("shared")))
+    return held.select("key", "later").distinct()
+
+
 def band_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(set, band) keys of the non-empty sets of uint64 hashes that begin at ``starts``.
 

@@ -398,6 +398,22 @@ def test_near_copies_against_all_pairs(spark):
         assert all(any(order[s] < order[g] and s[0] == g[0] and alike(s, g) for s in sets) for g in gone)
 
 
+def test_unlike_texts_of_a_large_group_do_not_meet(spark):
+    """20,000 texts of one candidate group that share half their shingles, 40 like pairs among them: only those meet."""
+    rng = random.Random(15)
+    shared = list(range(10))
+    rows, pairs = [], set()
+    for i in range(20_000):
+        own = [rng.randrange(1 << 40) + 100 for _ in range(10)]
+        rows.append((1, i, f"k{i:05}", shared + own))
+        if i < 40:
+            pairs.add((f"k{i:05}", f"m{i:05}"))
+            rows.append((1, 50_000 + i, f"m{i:05}", shared + own[:9] + [rng.randrange(1 << 40) + 100]))
+    df = spark.createDataFrame(rows, "root long, id long, key string, sh array<long>").repartition(8)
+    assert {(r.key, r.later) for r in neardup.meeting(df).collect()} == pairs
+    assert {r.key for r in neardup.near_copies(df, chunk=2_000).collect()} == {b for _, b in pairs}
+
+
 def test_near_copies_do_not_depend_on_chunks(spark):
     # Chains: each text is like the next one only, so every second one stays.
     rows = [("abc"[c], i, f"{'abc'[c]}{i:02d}", list(range(1000 * c + 10 * i, 1000 * c + 10 * i + 100))) for c in range(3) for i in range(9)]
