@@ -386,7 +386,8 @@ def repeated_ranges(src: DataFrame, length: int = LENGTH, hot_blocks: int = HOT_
         _contexts(length), "h long, blk long, n long, i int, rel int, ctx binary"), "contexts")
     plain = ctx.where("i < 0").repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "blk")
     sorted_out = plain.select("h", "blk", "n", "ctx").mapInPandas(_sort_blocks(length), "h long, blk long, lo int, hi int")
-    # Equal rows bring strings more than once: those are repeats in any case.
+    # Equal rows bring strings more than once: those are repeats in any case, and telling them apart
+    # would shuffle all hot strings again.
     hot = ctx.where("i >= 0")
     twice = hot.groupBy("h", "i", "ctx").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
     # A row per block with its repeated strings as ranges: what is joined to the
