@@ -64,9 +64,8 @@ def extract_deadline(x: Column | str, patterns=v.CRAWL_DEADLINES) -> Column:
     """Of each pattern the first match; of these, in pattern order, the first that is a date."""
 
     def first(t: Column) -> Column:
-        said = F.array(*[F.regexp_extract(t, f"(?i){p}", 1) for p in patterns])
-        found = F.transform(F.filter(said, lambda m: m != ""), parse_date)
-        return F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
+        # Nothing is looked for once a date is found.
+        return F.coalesce(*[let(F.regexp_extract(t, f"(?i){p}", 1), lambda m: F.when(m != "", parse_date(m))) for p in patterns])
 
     return let(clean_text(x), first)
 

@@ -514,11 +514,6 @@ def pipeline_remove(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.remove_from_pipeline(views.opportunities(spark, d)).select("id", "status", "is_lead")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {q.q(x)})' for i, x in enumerate(v.SEARCH_QUERIES))}) AS s(ordinal, query)")
-def search_queries(spark: SparkSession, d: str) -> DataFrame:
-    return tables.queries(spark)
-
-
 @query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {q.q(x)})' for i, x in enumerate(v.DISCOVERY_QUERIES[:20]))}) AS s(ordinal, query)")
 def first_queries(spark: SparkSession, d: str) -> DataFrame:
     return tables.queries(spark, "discovery", 20)
