@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, materialise, shuffle_partitions
+from .common import ascii_lower, materialise, scratch, shuffle_partitions
 
 ARITY = 16
 #: Partial parents that a task holds; beyond, their children go on as frontier.
@@ -269,8 +269,9 @@ def manifest(docs: DataFrame, arity: int = ARITY) -> Manifest:
     Any of the five may be null.  Repeated rows are leaves each; equal ids are ordered
     by digest, a null id comes first.  An empty table has no leaves, runs or root.
     """
-    rows, n_trees = placed(leaves(docs))
-    rows = materialise(rows, "leaves")
+    with scratch(docs.sparkSession) as keep:
+        rows, n_trees = placed(leaves(docs))
+        rows = keep(materialise(rows, "leaves"))
     return Manifest(rows, build(rows, n_trees, arity), n_trees, arity)
 
 

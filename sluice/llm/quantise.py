@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, small_batches
+from .common import discard, materialise, scratch, small_batches
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Components beyond count as this, so that every sum of squares fits a long (up to 2,048 components).
@@ -142,20 +142,22 @@ def train(rows: DataFrame, seeds: list, carry: list[str], parts: int = PARTS, ro
     length = len(seeds[0]) // parts if seeds else 0
     books = Codebooks(np.array([[s[p * length : (p + 1) * length] for s in seeds] for p in range(parts)], np.int64).reshape(parts, len(seeds), length))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    total = None
-    for r in range(rounds if seeds else 0):
-        made = materialise(rows.mapInArrow(_assign(books, carry), f"{fields}, part int, entry int, n long, sums array<long>"), f"assigned{r}")
-        change = made.where("part is not null").select("part", "entry", "n", "sums")
-        whole = change if total is None else total.unionByName(change)
-        place = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(length)]
-        now = materialise(whole.groupBy("part", "entry").agg(F.sum("n").alias("n"), *place).select("part", "entry", "n", F.array(*[f"s{k}" for k in range(length)]).cast("array<bigint>").alias("sums")), "sums")
-        # At most parts x ENTRIES rows.
-        books = books.moved({(x.part, x.entry): (x.n, x.sums) for x in now.collect()})
-        if total is not None:
-            discard(total)
-        if r:
-            discard(rows)
-        rows, total = made.where("part is null").select(*carry, "ints", "code"), now
+    total, spark = None, rows.sparkSession
+    # Nothing of a round is read once the codebooks are made.
+    with scratch(spark):
+        for r in range(rounds if seeds else 0):
+            made = materialise(rows.mapInArrow(_assign(books, carry), f"{fields}, part int, entry int, n long, sums array<long>"), f"assigned{r}")
+            change = made.where("part is not null").select("part", "entry", "n", "sums")
+            whole = change if total is None else total.unionByName(change)
+            place = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(length)]
+            now = materialise(whole.groupBy("part", "entry").agg(F.sum("n").alias("n"), *place).select("part", "entry", "n", F.array(*[f"s{k}" for k in range(length)]).cast("array<bigint>").alias("sums")), "sums")
+            # At most parts x ENTRIES rows.
+            books = books.moved({(x.part, x.entry): (x.n, x.sums) for x in now.collect()})
+            if total is not None:
+                discard(total)
+            if r:
+                discard(rows)
+            rows, total = made.where("part is null").select(*carry, "ints", "code"), now
     return books
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialise, release, small_batches
+from .common import fresh, materialise, release, scratch, small_batches
 
 #: Closed classes, in the four languages of the corpus.
 TARGETS = "you your yours yourself u vous votre vos toi tu tes du dich dir dein deine euch ihr usted ustedes vosotros".split()
@@ -341,9 +341,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         # A word known beforehand stays unless clean rows use it as much.
         if (k := level(r.sure)) or r.clean >= MIN_CONTEXTS:
             known[r.word] = k
-    lexicon = Lexicon({w: k for w, k in known.items() if k}, {r.stem: level(r.sure) for r in surest(stems, "stem")})
-    discard(vocabulary)
-    return lexicon
+    return Lexicon({w: k for w, k in known.items() if k}, {r.stem: level(r.sure) for r in surest(stems, "stem")})
 
 
 @dataclass
@@ -390,7 +388,12 @@ def calibrate(bins: dict[int, tuple[int, int]]) -> list[float]:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents outside ``held_out``; with none of a label the priors stand."""
     small_batches(docs.sparkSession)
-    rows = labelled(docs, labels)
+    # The model is all that stays.
+    with scratch(docs.sparkSession):
+        return _learn(labelled(docs, labels))
+
+
+def _learn(rows: DataFrame) -> Model:
     lexicon = learn_lexicon(rows)
     machine = grammar()
 
@@ -414,7 +417,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     total = sum((F.get("found", F.lit(k)) * weights[r] for k, r in enumerate(READINGS)), F.lit(0.0))
     place = F.least(F.ceil(total / STEP), F.lit(int(TOP / STEP))).cast("int")
     bins = {r.place: (r.t, r.c) for r in read_rows.groupBy(place.alias("place")).agg(F.sum("y").alias("t"), F.count("*").alias("c")).collect()}
-    discard(rows, read_rows)
     return Model(lexicon, weights, calibrate(bins))
 
 
