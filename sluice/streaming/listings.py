@@ -58,8 +58,8 @@ def stream_health(events: DataFrame, root: str, checkpoint: str, late: str = "1
     spark.conf.set(*health_state.PROVIDER)
     if due_root and not (table := KeyedTable(spark, due_root)).exists():
         table.create(spark.createDataFrame([], "source_id long, due_at timestamp"), "source_id", 16)
-    # A stream that goes on has its own state and does not read this again.
-    rows = health_state.health_stream(events, KeyedTable(spark, root).read(), late, retry_hours)
+    # What a stream that goes on has state of is not read from here again.  Timers cost every source a call, so only who asks what is due has them.
+    rows = health_state.health_stream(events, KeyedTable(spark, root).read(), late, retry_hours, timers=due_root is not None)
     into = once_per_batch(root, checkpoint, health_state.apply_health, "source_id")
     due = once_per_batch(due_root, checkpoint, lambda stored, batch: overwrite(stored, batch, "source_id")) if due_root else None
 
