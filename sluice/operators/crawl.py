@@ -95,8 +95,9 @@ def page_listings(visited: DataFrame, pages: DataFrame, sources: DataFrame) -> D
     """
     who = sources.select(F.col("id").alias("source_id"), "organisation_name", F.coalesce("organisation_name", "domain").alias("source_name"))
     here = visited.join(who, "source_id")
-    html = pages.select(crawl_url("url").alias("url"), "html").dropDuplicates(["url"]).join(visited.select("url").distinct(), "url", "left_semi")
-    fields = html.select("url", crawl_page("html").alias("f")).select("url", "f.title", "f.description")
+    # Documents are told by their address: their pages are not read.
+    html = pages.select(crawl_url("url").alias("url"), "html").where(~is_document("url")).dropDuplicates(["url"]).join(visited.select("url").distinct(), "url", "left_semi")
+    fields = html.select("url", crawl_page("html", "title", "description").alias("f")).select("url", "f.title", "f.description")
     web = here.where(~is_document("url")).join(fields, "url")
     web = web.withColumn("_all", clean_text(F.concat_ws(" ", "title", "description")))
     web = web.where(looks_like_opportunity(F.col("_all"))).withColumn("title", F.coalesce(F.nullif("title", F.lit("")), slug_title("url", v.CRAWL_DOCUMENT_EXTENSIONS)))
