@@ -130,10 +130,13 @@ def gather(found: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def run_scan(opportunities: DataFrame, listings: DataFrame, now: Column, as_of: Column, rules: classify.Rules = classify.Rules()) -> DataFrame:
-    """Opportunities after maintenance, classification and upsert, with action and changed."""
+def run_scan(opportunities: DataFrame, listings: DataFrame, now: Column, as_of: Column, rules: classify.Rules = classify.Rules(), accepted: DataFrame | None = None) -> DataFrame:
+    """Opportunities after maintenance, classification and upsert, with action and changed.
+
+    ``accepted``: what ``classify`` has made of the listings, if that is at hand.
+    """
     kept = lifecycle.apply_expiry(opportunities, as_of, only_dated=True).drop("changed")
-    accepted = classify.classify(listings, rules)
+    accepted = classify.classify(listings, rules) if accepted is None else accepted
     cols = ["organisation_name", "title", "description", "deadline", "source_name", "source_url", "category", "match_score", "match_reason", "ordinal"]
     return upsert.upsert_opportunities(kept, accepted.select(*cols), now, as_of)
 

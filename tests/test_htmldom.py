@@ -30,3 +30,18 @@ def test_fields_come_in_pieces_and_in_order(spark, values):
     assert got == [(f"T {i}", []) if i % 5 else (got[i][0], []) for i in range(n)]
     df = spark.range(1).select(htmldom.crawl_page(htmldom.F.lit(PAGE), "title").alias("f"))
     assert df.schema["f"].dataType.names == ["title"]
+
+
+def test_a_scans_listings_are_classified_once(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from sluice import registry
+    from sluice.operators import classify
+
+    data, calls = "/root/testdata/sf0.001", []
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    monkeypatch.setattr(classify, "classify", lambda *a, f=classify.classify: calls.append(1) or f(*a))
+    assert registry.queries()["scan_counters"](spark, data).count() == 2 and len(calls) == 1
