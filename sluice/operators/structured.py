@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import clean_text
+from ..functions.text import clean_text, let
 
 _LAST = 2**31 - 1
 _LIST = "array<variant>"
@@ -95,7 +95,8 @@ def structured(scripts: DataFrame, keep: Callable[[DataFrame], DataFrame] = Data
     values = {}
     for field, names in _KEYS.items():
         value = F.coalesce(*[_filled(_get(F.col("item"), n)) for n in names])
-        values[field] = _name(value) if field == "organisation_name" else clean_text(_string(value))
+        # A name that stands in many places is worked out in each of them.
+        values[field] = let(value, _name if field == "organisation_name" else lambda x: clean_text(_string(x)))
     rows = o.select("id", "place", *[x.alias(f) for f, x in values.items()])
     first = lambda f: F.coalesce(F.min_by(F.col(f), F.when(F.coalesce(F.col(f), F.lit("")) != "", F.col("place"))), F.lit("")).alias(f)
     return rows.groupBy("id").agg(*[first(f) for f in _KEYS])
